@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -75,12 +75,23 @@ def split_command_line(command_line: Column) -> Column:
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates ``value`` once and hands it to ``body``, also where a lambda repeats it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def last_wins_map(entries: Column) -> Column:
     """``array<struct<key,value>>`` to a map; of equal keys the last entry stays."""
-    backwards = F.reverse(entries)
-    keys = F.transform(backwards, lambda e: e["key"])
-    kept = F.filter(backwards, lambda e, i: F.array_position(keys, e["key"]) == (i + 1))
-    return F.map_from_entries(kept)
+    bound = let(
+        F.reverse(entries),
+        lambda r: F.struct(r.alias("entries"), F.transform(r, lambda e: e["key"]).alias("keys")),
+    )
+    return let(
+        bound,
+        lambda b: F.map_from_entries(
+            F.filter(b["entries"], lambda e, i: F.array_position(b["keys"], e["key"]) == (i + 1))
+        ),
+    )
 
 
 def parse_hashes(value: Column) -> Column:
