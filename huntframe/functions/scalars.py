@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -203,3 +203,13 @@ def join_human(values: Column) -> Column:
         .when(n == 2, F.array_join(values, " and "))
         .otherwise(F.concat(F.array_join(head, ", "), F.lit(", and "), F.element_at(values, -1)))
     )
+
+
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on costly computed columns without their being computed twice.
+
+    A plain filter would be pushed below the projection that computes its inputs, with the whole
+    expressions copied into it for every use. A generator is not pushed.
+    """
+    once = F.when(condition, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
+    return df.withColumn("_kept", F.explode(once)).drop("_kept")

@@ -178,7 +178,7 @@ def anomaly_alerts(scored: DataFrame, created_at: str | dt.datetime | None = Non
         F.col("score"),
         F.array_join("reasons", "; "),
     ]
-    df = scored.where(F.col("is_anomaly") & (F.col("score") >= F.col("threshold")))
+    df = S.where_computed(scored, F.col("is_anomaly") & (F.col("score") >= F.col("threshold")))
     none = lambda t: F.lit(None).cast(t)
     return df.select(
         F.struct(

@@ -50,20 +50,25 @@ def field_text(path: str) -> Column:
 
 
 def prepare(events: DataFrame) -> DataFrame:
-    """Adds ``_t``: the lower-cased texts that rules share, computed once per event.
+    """Adds the ``_t_`` columns: the lower-cased texts that rules share, computed once per event.
 
-    ``_t.code`` is the event code as a number; where the reader saw it as text
-    (``code_is_string``) it is null, because typed gates do not match text codes.
+    They are top-level columns and not one struct, because the optimizer unfolds struct fields
+    into every place that reads them. ``_t_code`` is the event code as a number; where the reader
+    saw it as text (``code_is_string``) it is null, because typed gates do not match text codes.
     """
-    lowered = [F.lower(field_text(path)).alias(name) for path, name in _PREPARED.items()]
     code = F.col("event.code")
     if "code_is_string" in events.columns:
         code = F.when(~F.coalesce(F.col("code_is_string"), F.lit(False)), code)
-    return events.withColumn("_t", F.struct(*lowered, code.alias("code")))
+    texts = {f"_t_{name}": F.lower(field_text(path)) for path, name in _PREPARED.items()}
+    return events.withColumns({**texts, "_t_code": code})
+
+
+def unprepare(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_t_")])
 
 
 def lowered(path: str) -> Column:
-    return F.col(f"_t.{_PREPARED[path]}")
+    return F.col(f"_t_{_PREPARED[path]}")
 
 
 def _event_text(paths: Sequence[str]) -> Column:
@@ -114,7 +119,7 @@ def download_rule() -> Column:
         & is_tool
         & S.lower_contains_any(lowered("process.command_line"), catalog.DOWNLOAD_MARKERS)
     )
-    code = F.coalesce(F.col("_t.code"), F.lit(-1))
+    code = F.coalesce(F.col("_t_code"), F.lit(-1))
     marker = ("EDR_DEMO_T1105",)
     in_command = S.lower_contains_any(lowered("process.command_line"), marker)
     in_data = S.lower_contains_any(lowered("sysmon.event_data"), marker)
@@ -149,7 +154,7 @@ def run_key_rule() -> Column:
     """A value set below a Run or RunOnce key whose data names a payload."""
     details = F.concat_ws(" ", lowered("registry.data.strings"), lowered("sysmon.event_data.Details"))
     hit = (
-        (F.coalesce(F.col("_t.code"), F.lit(-1)) == 13)
+        (F.coalesce(F.col("_t_code"), F.lit(-1)) == 13)
         & has_category("registry")
         & (lowered("registry.value") != "")
         & S.lower_contains_any(lowered("registry.path"), catalog.RUN_KEY_PATHS)
@@ -239,7 +244,7 @@ def _condition(condition: Condition) -> Column:
 
 def _gate(rule: Rule) -> Column:
     """Dataset and typed code equality; the Sigma-like gate also treats two missing values as equal."""
-    dataset, code = F.col("event.dataset"), F.col("_t.code")
+    dataset, code = F.col("event.dataset"), F.col("_t_code")
     if rule.engine == "sigma-like":
         code_lit = F.lit(rule.event_codes[0]) if rule.event_codes else F.lit(None).cast("int")
         return dataset.eqNullSafe(F.lit(rule.dataset)) & code.eqNullSafe(code_lit)
@@ -263,7 +268,7 @@ def evaluate(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """
     if not rules:
         return events.withColumn("rule_id", F.lit("")).withColumn("matched_fields", _none()).where(F.lit(False))
-    prepared = events if "_t" in events.columns else prepare(events)
+    prepared = events if "_t_code" in events.columns else prepare(events)
     hits = F.array(
         *[
             F.struct(
@@ -274,7 +279,7 @@ def evaluate(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         ]
     )
     hits = F.filter(hits, lambda h: F.size(h["matched_fields"]) > 0)
-    return (
+    matched = (
         prepared.withColumn("_hit", F.explode(hits))
         .withColumns(
             {
@@ -283,8 +288,9 @@ def evaluate(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                 "matched_fields": F.col("_hit.matched_fields"),
             }
         )
-        .drop("_hit", "_t")
+        .drop("_hit")
     )
+    return unprepare(matched)
 
 
 RULE_SCHEMA = T.StructType(

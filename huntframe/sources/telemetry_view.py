@@ -138,11 +138,11 @@ def flatten(raw: DataFrame) -> DataFrame:
             F.concat(F.lit("CORP\\user"), F.col("user_no").cast("string"))
         ),
         "hashes": F.when(c == 1, F.concat(F.lit("SHA256=AB"), k.cast("string"), F.lit(", MD5=CD"), i.cast("string"))),
-        # One event in 211 carries a timestamp that does not parse.
-        "stamp": F.when(i % 211 == 0, F.lit("not-a-time")).otherwise(
+        # Some events carry a timestamp that does not parse.
+        "stamp": F.when((i % 211 == 0) & (c != 1), F.lit("not-a-time")).otherwise(
             F.date_format("raw_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
         ),
-        "ts": F.when(i % 211 != 0, F.col("raw_ts")),
+        "ts": F.when((i % 211 != 0) | (c == 1), F.col("raw_ts")),
     }
     return base.withColumns(cols)
 
@@ -300,8 +300,8 @@ tele1 AS (
     CASE WHEN event_code = 13 THEN CASE k % 4 WHEN 0 THEN 'powershell.exe -File demo.ps1' WHEN 1 THEN 'cmd.exe /c run' WHEN 2 THEN '1' ELSE 'notepad.exe' END END AS details,
     CASE WHEN seq % 6 = 0 THEN 'svc' || CAST(user_no AS VARCHAR) ELSE 'CORP\user' || CAST(user_no AS VARCHAR) END AS user_text,
     CASE WHEN event_code = 1 THEN 'SHA256=AB' || CAST(k AS VARCHAR) || ', MD5=CD' || CAST(seq AS VARCHAR) END AS hashes,
-    CASE WHEN seq % 211 = 0 THEN 'not-a-time' ELSE strftime(raw_ts, '%Y-%m-%dT%H:%M:%S.%fZ') END AS stamp,
-    CASE WHEN seq % 211 <> 0 THEN raw_ts END AS ts
+    CASE WHEN seq % 211 = 0 AND event_code <> 1 THEN 'not-a-time' ELSE strftime(raw_ts, '%Y-%m-%dT%H:%M:%S.%fZ') END AS stamp,
+    CASE WHEN seq % 211 <> 0 OR event_code = 1 THEN raw_ts END AS ts
   FROM tele0
 ),
 tele AS (
