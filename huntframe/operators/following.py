@@ -128,3 +128,34 @@ def _nearest_runs(run_probes: DataFrame, heads: DataFrame, by: Sequence[str], de
     return rows.where("is_cand = 0").select(
         *by, F.col("probe._run").alias("_run"), F.col("probe._sub").alias("_sub"), found.alias("ahead")
     )
+
+
+def nearest_by_label(
+    probes: DataFrame, candidates: DataFrame, by: Sequence[str], labels: Sequence[str]
+) -> DataFrame:
+    """Each probe with the next candidate of every label, one struct column per label.
+
+    Candidates carry ``label``. One sort serves all labels.
+    """
+    cand_type = candidates.schema["cand"].dataType
+    probe_type = probes.schema["probe"].dataType
+    keep = [*by, "t", "o"]
+    rows = probes.select(
+        *keep, F.lit(0).alias("is_cand"), "probe", F.lit(None).cast("string").alias("label"),
+        F.lit(None).cast(cand_type).alias("cand"),
+    ).unionByName(
+        candidates.select(
+            *keep, F.lit(1).alias("is_cand"), F.lit(None).cast(probe_type).alias("probe"), "label", "cand"
+        )
+    )
+    before = (
+        Window.partitionBy(*by)
+        .orderBy(F.col("t").desc(), F.col("o").desc(), F.col("is_cand"))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    next_of = {
+        label: F.last(F.when(F.col("label") == label, F.col("cand")), ignorenulls=True).over(before)
+        for label in labels
+    }
+    found = rows.select(*keep, "is_cand", "probe", *[c.alias(label) for label, c in next_of.items()])
+    return found.where("is_cand = 0").drop("is_cand")

@@ -90,3 +90,14 @@ ENVELOPE = T.StructType(
 SEARCH_RESPONSE = _struct(
     hits=_struct(hits=T.ArrayType(_struct(_index=_S, _id=_S, _source=EVENT)))
 )
+
+
+def with_text_code(event: T.StructType) -> T.StructType:
+    """The event schema with the code read as text, since writers send both ``1`` and ``"1"``."""
+    meta = T.StructType([T.StructField(f.name, _S) if f.name == "code" else f for f in EVENT_META])
+    return T.StructType([T.StructField(f.name, meta) if f.name == "event" else f for f in event])
+
+
+ENVELOPE_WIRE = T.StructType(
+    [T.StructField("event", with_text_code(EVENT)) if f.name == "event" else f for f in ENVELOPE]
+)
