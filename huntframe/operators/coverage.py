@@ -121,10 +121,11 @@ def aggregate_techniques(
 
     def facts(df: DataFrame, **parts: Column) -> DataFrame:
         """Long form: one row per technique, kind of fact and value."""
-        pieces = [
-            F.transform(F.coalesce(values, empty), lambda v, kind=kind: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
-            for kind, values in parts.items()
-        ]
+
+        def tagged(kind: str, values: Column) -> Column:
+            return F.transform(F.coalesce(values, empty), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+        pieces = [tagged(kind, values) for kind, values in parts.items()]
         return (
             df.where(known("technique_id"))
             .select(F.trim("technique_id").alias("technique_id"), F.explode(F.concat(*pieces)).alias("f"))

@@ -232,7 +232,7 @@ def with_episodes(activity: DataFrame, bucket_seconds: int = 4) -> DataFrame:
     )
     order = Window.partitionBy("case_id").orderBy("_bucket")
     gap = F.unix_micros("first") - F.unix_micros(F.lag("last").over(order))
-    starts = ends.withColumn("_new", F.when(gap.isNull() | (gap > F.col("w") * 1_000_000), 1).otherwise(0))
+    starts = ends.withColumn("_new", F.when(gap.isNull() | (gap > F.col("w").cast("bigint") * 1_000_000), 1).otherwise(0))
     numbered = starts.withColumn("episode", F.sum("_new").over(order).cast("bigint"))
     return rows.join(numbered.select("case_id", "_bucket", "episode"), ["case_id", "_bucket"]).drop("_bucket")
 
@@ -269,7 +269,7 @@ def evaluate_episodes(sightings: DataFrame, alerts: DataFrame, as_of: Column) ->
         F.max("fits").alias("fits"),
         F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("actual_rule_ids"),
     )
-    expired = F.unix_micros(as_of) - F.unix_micros("first_seen") >= F.col("window_seconds") * 1_000_000
+    expired = F.unix_micros(as_of) - F.unix_micros("first_seen") >= F.col("window_seconds").cast("bigint") * 1_000_000
     expected = F.col("expected_alert")
     outcome = (
         F.when(expected & F.col("fits"), F.lit("true_positive"))

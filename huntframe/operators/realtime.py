@@ -16,6 +16,7 @@ from ..catalog import Rule
 from ..functions import ids
 from ..functions import scalars as S
 from ..functions import timestamps as TS
+from ..session import cut_lineage
 from . import alerts as A
 from . import following
 from . import rules as R
@@ -293,12 +294,14 @@ def correlation_input(events: DataFrame, order: str = "seq", host_scoped: bool =
         correlation_keys().alias("keys"),
         S.text(F.col("host.name")).alias("host_name"),
     )
-    slim = S.where_computed(slim, F.col("ts").isNotNull())
-    key = F.explode("keys")
-    rows = slim.select("eid", "stamp", "ts", "o", "step", key.alias("key"), "host_name")
-    if host_scoped:
-        rows = rows.withColumn("key", F.concat("host_name", F.lit("|"), "key"))
-    return rows
+    scope = F.concat("host_name", F.lit("|")) if host_scoped else F.lit("")
+    # Step and key leave through one generator, so that later filters on them are not pushed into the
+    # text search above.
+    placed = F.transform(
+        F.when(F.col("ts").isNotNull(), F.col("keys")),
+        lambda k: F.struct(F.concat(scope, k).alias("key"), F.col("step").alias("step"), F.col("ts").alias("ts")),
+    )
+    return slim.select("eid", "stamp", "o", F.explode(placed).alias("_k")).select("eid", "stamp", "o", "_k.*")
 
 
 def _behavioral_alert(trios: DataFrame) -> DataFrame:
@@ -332,8 +335,10 @@ def correlate(
     """
     width = window_seconds * _MICROS
     rows = correlation_input(events, order, host_scoped).withColumn("t", F.unix_micros("ts"))
+    # Few events are steps; they are read three times, so they are materialised.
+    steps = cut_lineage(rows.where("step IS NOT NULL"))
     own = F.floor(F.col("t") / width)
-    cands = rows.where("step IS NOT NULL").select(
+    cands = steps.select(
         "key", "t", "o", F.explode(F.array(own, own - 1)).alias("_bucket"), F.col("step").alias("label"),
         F.struct("eid", "t", "o", "stamp").alias("cand"),
     )

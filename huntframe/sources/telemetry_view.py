@@ -322,3 +322,72 @@ tele AS (
   FROM tele1
 )
 """
+
+
+def xml_documents(v: DataFrame) -> DataFrame:
+    """Flat telemetry rows as raw event documents: ``seq`` and ``xml``."""
+    esc = lambda c: F.replace(F.replace(S.text(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    data = lambda n, c: F.concat(F.lit(f'<Data Name="{n}">'), esc(c), F.lit("</Data>"))
+    code = F.col("event_code")
+    only = lambda c, *parts: F.when(code == c, F.concat(*parts)).otherwise(F.lit(""))
+    parent_image = F.concat(F.lit("C:\\Windows\\"), F.col("parent_name"))
+    return v.select(
+        "seq",
+        F.concat(
+            F.lit('<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System>'),
+            F.lit(f'<Provider Name="{catalog.PROVIDER}"/><EventID>'), code.cast("string"),
+            F.lit('</EventID><TimeCreated SystemTime="'), F.col("stamp"), F.lit('"/><EventRecordID>'),
+            F.col("seq").cast("string"), F.lit(f"</EventRecordID><Channel>{catalog.LOG_NAME}</Channel><Computer>"),
+            esc(F.col("host_name")), F.lit("</Computer></System><EventData>"),
+            data("ProcessGuid", F.col("entity_id")), data("ProcessId", F.col("pid")),
+            data("Image", F.col("executable")), data("User", F.col("user_text")),
+            only(
+                1,
+                data("UtcTime", F.date_format("raw_ts", "yyyy-MM-dd HH:mm:ss.SSS")),
+                data("CommandLine", F.col("command_line")), data("Hashes", F.col("hashes")),
+                data("ParentProcessGuid", F.col("parent_entity_id")), data("ParentProcessId", F.lit("4")),
+                data("ParentImage", parent_image),
+            ),
+            only(
+                3,
+                data("Protocol", F.col("protocol")), data("Initiated", F.col("initiated")),
+                data("SourceIp", F.lit("10.1.1.1")), data("SourcePort", F.lit("50000")),
+                data("DestinationIp", F.col("dest_ip")), data("DestinationHostname", F.col("dest_domain")),
+                data("DestinationPort", F.col("dest_port")),
+            ),
+            only(11, data("TargetFilename", F.col("file_path"))),
+            only(13, data("TargetObject", F.col("registry_path")), data("Details", F.col("details"))),
+            F.lit("</EventData></Event>"),
+        ).alias("xml"),
+    )
+
+
+def log_records(v: DataFrame) -> DataFrame:
+    """Flat telemetry rows as event-log records that carry only message text."""
+    line = lambda n, c: F.when(c.isNotNull(), F.concat(F.lit(f"{n}: "), c.cast("string")))
+    message = F.concat_ws(
+        "\n",
+        F.lit("Telemetry record:"),
+        line("ProcessId", F.col("pid")), line("ProcessGuid", F.col("entity_id")), line("Image", F.col("executable")),
+        line("CommandLine", F.col("command_line")), line("Protocol", F.col("protocol")),
+        line("Initiated", F.col("initiated")), line("DestinationIp", F.col("dest_ip")),
+        line("DestinationPort", F.col("dest_port")), line("DestinationHostname", F.col("dest_domain")),
+        line("TargetFilename", F.col("file_path")), line("TargetObject", F.col("registry_path")),
+        line("Details", F.col("details")), F.lit("  continued text"), line("Computer", F.col("host_name")),
+    )
+    return v.select(
+        F.col("seq").alias("record_id"), F.col("event_code").alias("event_id"),
+        F.date_format("raw_ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("time_created"), F.lit("").alias("provider_name"),
+        message.alias("message"), F.lit("").alias("xml"),
+    )
+
+
+def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """The events table as a file stream of flat telemetry rows of supported codes."""
+    table = f"{sf_dir.rstrip('/')}/events.parquet"
+    schema = spark.read.parquet(table).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", str(max_files))
+    wanted = [t for t, c in EVENT_TYPES.items() if c in catalog.SUPPORTED_CODES]
+    return flatten(reader.parquet(sf_dir).where(F.col("event_type").isin(*wanted)))

@@ -1,7 +1,9 @@
 """Stateful stream form of the process, network, file correlator.
 
-State per key: the step events inside the window, and which triples were emitted. Both are bounded by
-the window. Events of a batch are taken in event-time order.
+State is kept per key and time bucket of the window's width, so a key that many hosts share is not
+one group. A step event is also carried into the next bucket, where later events may still complete it.
+State holds the step events in reach and the triples already emitted, and a timer clears it once no row can
+arrive for it. Events of a batch are taken in event-time order.
 """
 
 from __future__ import annotations
@@ -25,39 +27,44 @@ class _WindowedTriples(StatefulProcessor):
         self._width = window_seconds * _MICROS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._queue = handle.getListState("queue", "step string, eid string, t bigint, stamp string")
-        self._emitted = handle.getListState("emitted", "triple string, t bigint")
+        self._handle = handle
+        self._queue = handle.getListState("queue", "step string, eid string, t bigint, o bigint, stamp string")
+        self._emitted = handle.getMapState("emitted", "triple string", "t bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["t", "o"], kind="stable")
         queue = [tuple(r) for r in self._queue.get()] if self._queue.exists() else []
-        emitted = {r[0]: r[1] for r in self._emitted.get()} if self._emitted.exists() else {}
         out = []
-        for step, eid, t, stamp in zip(batch["step"], batch["eid"], batch["t"], batch["stamp"]):
+        columns = (batch[c] for c in ("step", "eid", "t", "o", "stamp", "trigger"))
+        for step, eid, t, o, stamp, trigger in zip(*columns):
             if isinstance(step, str):
-                queue.append((step, eid, int(t), stamp))
-            start = 0
-            while start < len(queue) and queue[start][2] < t - self._width:
-                start += 1
-            queue = queue[start:]
+                queue.append((step, eid, int(t), int(o), stamp))
+            if not trigger:
+                continue
             first: dict[str, tuple] = {}
             for row in queue:
-                first.setdefault(row[0], row)
+                if row[2] >= t - self._width:
+                    first.setdefault(row[0], row)
             if len(first) < len(RT.STEPS):
                 continue
-            triple = tuple(first[s] for s in RT.STEPS)
-            name = "|".join(row[1] for row in triple)
-            if name not in emitted:
-                emitted[name] = min(row[2] for row in triple)
-                out.append((*[row[1] for row in triple], triple[2][3], int(t)))
-        newest = int(batch["t"].max())
-        self._queue.put(queue) if queue else self._queue.clear()
-        live = [(n, t) for n, t in emitted.items() if t >= newest - self._width]
-        self._emitted.put(live) if live else self._emitted.clear()
+            triple = [first[s] for s in RT.STEPS]
+            name = ("|".join(row[1] for row in triple),)
+            if not self._emitted.containsKey(name):
+                self._emitted.updateValue(name, (int(t),))
+                out.append((*[row[1] for row in triple], triple[2][4], int(t)))
+        if queue:
+            self._queue.put(queue)
+        # Rows of this bucket end with it; its carried rows lie before it.
+        self._handle.registerTimer((int(key[1]) + 2) * self._width // 1000)
         frame = pd.DataFrame(out, columns=["process_id", "network_id", "file_id", "timestamp", "_t"])
         frame["ts"] = pd.to_datetime(frame.pop("_t"), unit="us")
         yield frame
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._queue.clear()
+        self._emitted.clear()
+        yield pd.DataFrame()
+
     def close(self) -> None:
         pass
 
@@ -73,12 +80,17 @@ def correlate_stream(
 
     Keys are not scoped to a host unless ``host_scoped`` is set. Rows later than the watermark are dropped.
     """
+    width = window_seconds * _MICROS
+    own = F.floor(F.unix_micros("ts") / width)
+    placed = F.struct(own.alias("bucket"), F.lit(True).alias("trigger"))
+    carried = F.when(F.col("step").isNotNull(), F.struct((own + 1).alias("bucket"), F.lit(False).alias("trigger")))
     rows = (
         RT.correlation_input(events, order, host_scoped)
         .withWatermark("ts", watermark)
-        .withColumn("t", F.unix_micros("ts"))
+        .withColumn("_place", F.explode(F.array_compact(F.array(placed, carried))))
+        .select("key", "_place.bucket", "_place.trigger", "step", "eid", "stamp", "o", F.unix_micros("ts").alias("t"), "ts")
     )
-    return rows.groupBy("key").transformWithStateInPandas(
+    return rows.groupBy("key", "bucket").transformWithStateInPandas(
         statefulProcessor=_WindowedTriples(window_seconds),
         outputStructType=_OUTPUT,
         outputMode="Append",

@@ -1,8 +1,9 @@
 """Stateful stream form of the realtime evaluation: one state per labelled case, with timers.
 
 Input rows are marker sightings (``kind = 'event'``) and alerts (``kind = 'alert'``) with their case columns.
-To keep a busy marker off one task, sightings are first combined per short time slice; the state machine only
-needs a slice's first and last time and its count.
+There are only as many keys as cases, so a busy marker would put its whole batch into one group. Sightings
+are therefore combined per short time slice inside the map tasks; the state machine only needs a slice's first
+and last time and its count.
 """
 
 from __future__ import annotations
@@ -124,20 +125,37 @@ def evaluation_input(sightings: DataFrame, alerts: DataFrame) -> DataFrame:
     return seen.unionByName(fired).withColumns({"first_t": t, "last_t": t, "n": F.lit(1).cast("bigint")})
 
 
-def combine_slices(rows: DataFrame, slice_seconds: int = 1) -> DataFrame:
-    """Batch-side pre-aggregation of tracker input per case, kind, rule and time slice."""
+_SLICED = (
+    "case_id string, expected_alert boolean, window_seconds int, ts timestamp, kind string, kind_order int, "
+    "rule_id string, fits boolean, first_t bigint, last_t bigint, n bigint"
+)
+
+
+def combine_in_tasks(rows: DataFrame, slice_seconds: int = 1) -> DataFrame:
+    """Combines tracker rows per case, kind, rule and time slice inside each task, before the shuffle.
+
+    The slice must be shorter than every window.
+    """
     width = slice_seconds * _MICROS
+    names = [part.strip().split(" ")[0] for part in _SLICED.split(",")]
     keys = ["case_id", "expected_alert", "window_seconds", "kind", "kind_order", "rule_id", "fits"]
-    grouped = rows.groupBy(*keys, F.floor(F.col("first_t") / width).alias("_slice"))
-    return grouped.agg(
-        F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t"), F.sum("n").alias("n"), F.max("ts").alias("ts")
-    ).drop("_slice")
+
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["_slice"] = batch["first_t"] // width
+            grouped = batch.groupby([*keys, "_slice"], as_index=False, sort=False).agg(
+                first_t=("first_t", "min"), last_t=("last_t", "max"), n=("n", "sum"), ts=("ts", "max")
+            )
+            yield grouped[names]
+
+    return rows.select(*names).mapInPandas(combine, _SLICED)
 
 
 def track_cases(rows: DataFrame, watermark: str = "10 seconds") -> DataFrame:
     """Episode states of a stream of tracker rows, as they change and as windows run out."""
     return (
-        rows.withWatermark("ts", watermark)
+        combine_in_tasks(rows)
+        .withWatermark("ts", watermark)
         .groupBy("case_id")
         .transformWithStateInPandas(
             statefulProcessor=_CaseTracker(), outputStructType=_OUTPUT, outputMode="Update", timeMode="EventTime"

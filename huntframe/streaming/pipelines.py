@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import session
 from ..operators import alerts as A
@@ -69,7 +70,7 @@ def drain_batches(stream: DataFrame, label: str, mode: str = "update") -> DataFr
         .start()
     )
     query.awaitTermination()
-    schema = stream.schema.add("batch_id", "bigint")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
     return spark.read.schema(schema).option("basePath", target).parquet(target)
 
 
