@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import catalog
 from ..catalog import EvaluationCase
 from ..functions import scalars as S
+from ..session import cut_lineage
 
 CLASSES = ("true_positive", "true_negative", "false_positive", "false_negative")
 
@@ -168,7 +169,8 @@ def rule_id_checks(expected: DataFrame, actual: DataFrame) -> DataFrame:
     ``expected``: ``case_id, rule_id, expected_count``; ``actual``: ``case_id, rule_id``. A case passes if all its
     expected rules fired and the alert count is the expected one.
     """
-    fired = actual.groupBy("case_id", "rule_id").agg(F.count("*").alias("n"))
+    # Read twice below, and small next to the alerts it counts.
+    fired = cut_lineage(actual.groupBy("case_id", "rule_id").agg(F.count("*").alias("n")))
     totals = fired.groupBy("case_id").agg(F.sum("n").alias("actual_alert_count"))
     wanted = expected.groupBy("case_id").agg(F.max("expected_count").alias("expected_alert_count"))
     missing = (

@@ -519,7 +519,7 @@ def expected_rule_checks(spark: SparkSession, sf: str) -> DataFrame:
     wanted = cases.where("expected_alert").select(
         "case_id", F.lit("det.t1105.lolbin_download").alias("rule_id"), F.lit(2).cast("bigint").alias("expected_count")
     )
-    return V.rule_id_checks(wanted, alerts.join(wanted.select("case_id"), "case_id"))
+    return V.rule_id_checks(wanted, alerts)
 
 
 def unknown_cases(spark: SparkSession, sf: str) -> DataFrame:
