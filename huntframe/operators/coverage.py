@@ -294,7 +294,7 @@ def capability_status(capabilities: DataFrame, validations: DataFrame) -> DataFr
     counts as failed; a capability without validations has passed.
     """
     needs = capabilities.select("capability", F.explode_outer("validation_ids").alias("id"))
-    joined = needs.join(F.broadcast(validations.select("id", "status")), "id", "left")
+    joined = needs.join(validations.select("id", "status"), "id", "left")
     ok = F.col("id").isNull() | F.coalesce(F.col("status") == "passed", F.lit(False))
     return joined.groupBy("capability").agg(
         F.when(F.bool_and(ok), F.lit("passed")).otherwise(F.lit("failed")).alias("status")

@@ -59,7 +59,8 @@ def highest_severity(case_rules: DataFrame, inventory: DataFrame) -> DataFrame:
     ``case_rules``: ``case_id, rule_id``.
     """
     known = inventory.select("rule_id", "severity")
-    joined = case_rules.join(F.broadcast(known), "rule_id", "left")
+    # No hint: the tables are the caller's, so their measured size decides how they join.
+    joined = case_rules.join(known, "rule_id", "left")
     severity = F.coalesce("severity", F.lit("unknown"))
     return joined.groupBy("case_id").agg(F.max_by(severity, severity_rank(severity)).alias("severity"))
 
@@ -191,7 +192,7 @@ def first_case_of_alerts(alerts: DataFrame, states: DataFrame) -> DataFrame:
         .drop("_by_rule_id", "_by_alert_id")
     )
     details = states.select("case_ord", "case_id", "status", "classification", "expected_alert")
-    return matched.join(F.broadcast(details), "case_ord", "left")
+    return matched.join(details, "case_ord", "left")
 
 
 def alert_table(alerts: DataFrame, states: DataFrame) -> DataFrame:

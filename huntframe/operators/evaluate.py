@@ -87,7 +87,7 @@ def case_rows(cases: DataFrame, alerts: DataFrame, events: DataFrame, responses:
 
 def with_failures(rows: DataFrame, failures: DataFrame) -> DataFrame:
     """Adds ``status`` and ``error``; cases that failed (``case_id, error``) keep their row."""
-    df = rows.join(F.broadcast(failures.select("case_id", "error")), "case_id", "left")
+    df = rows.join(failures.select("case_id", "error"), "case_id", "left")
     return df.withColumn("status", F.when(F.col("error").isNull(), F.lit("passed")).otherwise(F.lit("failed")))
 
 

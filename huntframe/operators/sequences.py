@@ -159,11 +159,14 @@ def step_hits(events: DataFrame, definitions: Sequence[SequenceDefinition] = SEQ
     return prepared.withColumn("_hit", F.explode(hits))
 
 
-def _slim(events: DataFrame, definitions: Sequence[SequenceDefinition], key: str, order: str) -> DataFrame:
+def _slim(
+    events: DataFrame, definitions: Sequence[SequenceDefinition], key: str, order: str, scope: str | None
+) -> DataFrame:
     """Per definition its step-matching events with only what matching and the alert need."""
     ts = TS.event_time(F.col("`@timestamp`"), F.col("event.created"))
     flagged = step_hits(events, definitions)
     host = F.coalesce(S.non_empty(F.col("host.name")), F.lit(UNKNOWN_HOST))
+    scope_text = F.lit("") if scope is None else S.text(F.col(scope))
     doc = F.col("src_doc.document_id") if "src_doc" in events.columns else F.lit(None).cast("string")
     stamp = F.coalesce(S.non_empty(F.col("`@timestamp`")), S.non_empty(F.col("event.created")), F.lit(""))
     process = A.selected_process()
@@ -174,7 +177,7 @@ def _slim(events: DataFrame, definitions: Sequence[SequenceDefinition], key: str
         F.col(order).cast("bigint").alias("o"),
         F.coalesce(F.unix_micros(ts), F.lit(0)).alias("t"),
         ts.isNotNull().alias("timed"),
-        host.alias("host"),
+        F.concat(scope_text, F.lit("|"), host).alias("host"),
         S.text(F.col("process.entity_id")).alias("entity"),
         S.text(F.col("process.parent.entity_id")).alias("parent"),
         S.text(F.col("process.pid")).alias("pid"),
@@ -186,6 +189,7 @@ def _slim(events: DataFrame, definitions: Sequence[SequenceDefinition], key: str
             F.col("event.code").alias("code"),
             F.col("host").alias("host"),
             process.alias("process"),
+            scope_text.alias("scope"),
         ).alias("doc"),
     )
 
@@ -248,15 +252,16 @@ def match_sequences(
     window_seconds: int | None = None,
     key: str = "seq",
     order: str = "seq",
+    scope: str | None = None,
 ) -> DataFrame:
     """Matched sequences: ``def``, ``host``, ``anchor`` and ``matched`` (array of step, eid, doc).
 
     ``key`` names a column with a unique event id and ``order`` one with the arrival number that
-    breaks ties between equal times. Every anchor yields its own match. Events without a readable time
+    breaks ties between equal times. With ``scope``, events only match inside the same value of that column. Every anchor yields its own match. Events without a readable time
     sort first and pass every window test.
     """
     definitions = [d.with_window(window_seconds) for d in definitions]
-    base = cut_lineage(_slim(events, definitions, key, order))
+    base = cut_lineage(_slim(events, definitions, key, order, scope))
     width = _per_definition("def", [d.window_seconds * _MICROS for d in definitions], "bigint")
 
     event = F.struct("eid", "t", "o", "doc")
@@ -368,9 +373,13 @@ def behavioral_alerts(
     window_seconds: int | None = None,
     key: str = "seq",
     order: str = "seq",
+    scope: str | None = None,
 ) -> DataFrame:
-    """Alert documents for the matched sequences of the given definitions."""
-    found = match_sequences(events, definitions, window_seconds, key, order)
+    """Alert documents for the matched sequences of the given definitions.
+
+    With ``scope`` the alerts carry that column too.
+    """
+    found = match_sequences(events, definitions, window_seconds, key, order, scope)
     df = found.join(F.broadcast(sequence_rules_df(events.sparkSession, definitions)), "def")
     # Documents without an id of their own get one from definition, anchor and position.
     document_ids = F.transform(
@@ -429,6 +438,7 @@ def behavioral_alerts(
             F.col("_docs").alias("document_ids"),
         ).alias("src_doc"),
         none("art"),
+        *([] if scope is None else [F.col("matched")[0]["doc"]["scope"].alias(scope)]),
     )
 
 

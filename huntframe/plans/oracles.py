@@ -607,8 +607,8 @@ FROM rows_ LEFT JOIN sev USING (case_id)""",
   contains(rules, 'det.t1105.lolbin_download') AND alert_count = 2 AS passed FROM rows_ WHERE expected_alert""",
         *CASES,
     ),
-    "unknown_cases": """SELECT DISTINCT 'case_' || CAST(user_id * 7 + event_id % 7 AS VARCHAR) AS case_id FROM events WHERE user_id % 2 = 0
-  AND user_id * 7 + event_id % 7 NOT IN (SELECT user_id * 7 + event_id % 7 FROM events WHERE event_id % 2 = 1)""",
+    "unknown_cases": """SELECT DISTINCT 'case_' || CAST(user_id * 7 + event_id % 7 AS VARCHAR) AS case_id FROM events
+  WHERE user_id * 7 + event_id % 7 NOT IN (SELECT user_id * 7 + event_id % 7 FROM events WHERE event_type = 'view')""",
     "episode_sessions": tele(
         f"""SELECT case_id, episode, CASE WHEN classification = '' THEN 'pending' ELSE 'complete' END AS status, classification, {_TEXT_TS.format('first_seen')} AS first_seen,
   {_TEXT_TS.format('last_seen')} AS last_seen, event_count, alert_count, rules AS actual_rule_ids FROM done""",
@@ -645,8 +645,7 @@ LEFT JOIN latest l ON l.case_ord = m.case_ord""",
         "SELECT seq, rule_id, reason FROM rt QUALIFY row_number() OVER (PARTITION BY seq, rule_id ORDER BY rule_ord) = 1", LOWS, RT_HITS
     ),
     "daily_upsert": tele(
-        f"""SELECT strftime(ts, '%Y.%m.%d') AS day, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM tele WHERE {SUPPORTED} AND ts IS NOT NULL
-  AND CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-20' GROUP BY 1"""
+        f"""SELECT strftime(ts, '%Y.%m.%d') AS day, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM tele WHERE {SUPPORTED} AND ts IS NOT NULL GROUP BY 1"""
     ),
     "stream_rules_summary": tele("SELECT rule_id, severity, count(*) AS n FROM rt GROUP BY ALL", LOWS, RT_HITS),
     "stream_evaluation": tele(

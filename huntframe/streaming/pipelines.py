@@ -16,8 +16,17 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """State of any size on local disk with checkpoints in the shared folder; needed by the trackers."""
+    """State of any size on local disk with checkpoints in the shared folder; needed by the trackers.
+
+    In a single local process every shuffle partition would open its own store on the same disk, so
+    there the partitions are cut to the cores. A cluster's setting is left alone.
+    """
     spark.conf.set(STATE_STORE_CONF, ROCKSDB)
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        cores = context.defaultParallelism
+        if int(spark.conf.get("spark.sql.shuffle.partitions")) > cores:
+            spark.conf.set("spark.sql.shuffle.partitions", str(cores))
 
 
 def distinct_records(records: DataFrame, key: str = "record_id", ts: str = "ts", watermark: str = "10 minutes") -> DataFrame:
