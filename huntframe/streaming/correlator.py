@@ -8,9 +8,11 @@ arrive for it. Events of a batch are taken in event-time order.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,7 +20,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .. import catalog
 from ..operators import realtime as RT
 
+# Workers get this module's classes by value, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _MICROS = 1_000_000
+_STEPS = RT.STEPS
 _OUTPUT = "process_id string, network_id string, file_id string, timestamp string, ts timestamp"
 
 
@@ -32,11 +38,16 @@ class _WindowedTriples(StatefulProcessor):
         self._emitted = handle.getMapState("emitted", "triple string", "t bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["t", "o"], kind="stable")
-        queue = [tuple(r) for r in self._queue.get()] if self._queue.exists() else []
-        out = []
-        columns = (batch[c] for c in ("step", "eid", "t", "o", "stamp", "trigger"))
-        for step, eid, t, o, stamp, trigger in zip(*columns):
+        batch = pd.concat(list(rows))
+        queue = [tuple(r) for r in self._queue.get()]
+        fresh = batch["step"].notna()
+        # Most groups hold no step event and never will; they leave no state behind.
+        if not queue and not fresh.any():
+            return
+        carried, out = len(queue), []
+        if len(batch) > 1:
+            batch = batch.sort_values(["t", "o"], kind="stable")
+        for step, eid, t, o, stamp, trigger in zip(*(batch[c] for c in ("step", "eid", "t", "o", "stamp", "trigger"))):
             if isinstance(step, str):
                 queue.append((step, eid, int(t), int(o), stamp))
             if not trigger:
@@ -45,25 +56,27 @@ class _WindowedTriples(StatefulProcessor):
             for row in queue:
                 if row[2] >= t - self._width:
                     first.setdefault(row[0], row)
-            if len(first) < len(RT.STEPS):
+            if len(first) < len(_STEPS):
                 continue
-            triple = [first[s] for s in RT.STEPS]
+            triple = [first[s] for s in _STEPS]
             name = ("|".join(row[1] for row in triple),)
             if not self._emitted.containsKey(name):
                 self._emitted.updateValue(name, (int(t),))
                 out.append((*[row[1] for row in triple], triple[2][4], int(t)))
-        if queue:
-            self._queue.put(queue)
-        # Rows of this bucket end with it; its carried rows lie before it.
-        self._handle.registerTimer((int(key[1]) + 2) * self._width // 1000)
-        frame = pd.DataFrame(out, columns=["process_id", "network_id", "file_id", "timestamp", "_t"])
-        frame["ts"] = pd.to_datetime(frame.pop("_t"), unit="us")
-        yield frame
+        if len(queue) > carried:
+            self._queue.appendList(queue[carried:])
+        if not carried:
+            # Rows of this bucket end with it; its carried rows lie before it.
+            self._handle.registerTimer((int(key[1]) + 2) * self._width // 1000)
+        if out:
+            frame = pd.DataFrame(out, columns=["process_id", "network_id", "file_id", "timestamp", "_t"])
+            frame["ts"] = pd.to_datetime(frame.pop("_t"), unit="us")
+            yield frame
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._queue.clear()
         self._emitted.clear()
-        yield pd.DataFrame()
+        yield from ()
 
     def close(self) -> None:
         pass

@@ -8,13 +8,18 @@ and last time and its count.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+# Workers get this module's classes by value, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _MICROS = 1_000_000
 _STATE = (
     "status string, classification string, first_seen bigint, last_seen bigint, events bigint, alerts bigint, "
