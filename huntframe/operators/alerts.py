@@ -63,25 +63,51 @@ def with_source(events: DataFrame, index: Column | None = None, document_id: Col
     )
 
 
-def _alert_id() -> Column:
-    """Id of a single-event alert; the two engines hash slightly different material."""
-    sigma = F.col("engine") == "sigma-like"
-    executable = F.coalesce(
-        F.when(sigma, F.col("process.executable")).otherwise(S.non_empty(F.col("process.executable"))),
-        F.when(~sigma, F.col("process.name")),
-    )
-    material = [
-        F.when(sigma, F.lit("sigma-like")).otherwise(F.lit("native")),
-        F.col("rule_id"),
+_PAYLOAD = ("event", "host", "user", "process", "file", "registry", "destination", "network", "src_doc", "art")
+
+
+def _id_material() -> list[Column]:
+    """Fields behind a single-event alert id, apart from engine, rule and executable."""
+    return [
         F.col("event.dataset"),
         F.col("event.code"),
         F.coalesce(S.non_empty(F.col("event.created")), F.col("`@timestamp`")),
         F.col("host.name"),
         F.col("process.entity_id"),
         F.col("process.pid"),
-        executable,
-        F.col("process.command_line"),
-        F.col("src_doc.document_id"),
+    ]
+
+
+def _with_payload(events: DataFrame) -> DataFrame:
+    """Adds the alert sections and id fields as flat ``_p_`` columns.
+
+    They are made before the rules multiply rows, so that nothing above the generator reaches into the
+    event structs.
+    """
+    sections = {"event": selected_event(), "process": selected_process()}
+    columns = {f"_p_{name}": sections.get(name, F.col(name)) for name in _PAYLOAD}
+    columns |= {f"_p_id{n}": c.cast("string") for n, c in enumerate(_id_material())}
+    columns |= {
+        "_p_executable": F.col("process.executable"),
+        "_p_name": F.col("process.name"),
+        "_p_command": F.col("process.command_line"),
+        "_p_document": F.col("src_doc.document_id"),
+    }
+    return events.withColumns(columns)
+
+
+def _alert_id() -> Column:
+    """Id of a single-event alert; the two engines hash slightly different material."""
+    sigma = F.col("engine") == "sigma-like"
+    # Native alerts fall back to the process name where the path is empty.
+    own = F.coalesce(S.non_empty(F.col("_p_executable")), F.col("_p_name"))
+    material = [
+        F.when(sigma, F.lit("sigma-like")).otherwise(F.lit("native")),
+        F.col("rule_id"),
+        *[F.col(f"_p_id{n}") for n in range(len(_id_material()))],
+        F.when(sigma, F.col("_p_executable")).otherwise(own),
+        F.col("_p_command"),
+        F.col("_p_document"),
     ]
     return ids.prefixed(ids.slug(F.col("rule_id")), material)
 
@@ -92,10 +118,12 @@ def detect(
     """Single-event alerts of the given rules over normalized events."""
     if "src_doc" not in events.columns:
         events = with_source(events)
-    hits = R.evaluate(events, rules)
+    hits = R.evaluate(_with_payload(events), rules)
+    hits = hits.select("rule_id", "matched_fields", *[c for c in hits.columns if c.startswith("_p_")])
     catalogue = R.rules_df(events.sparkSession, rules)
     df = hits.join(F.broadcast(catalogue), "rule_id")
     sigma = F.col("engine") == "sigma-like"
+    section = lambda n: F.col(f"_p_{n}").alias(n)
     return df.select(
         F.struct(
             _alert_id().alias("id"),
@@ -115,14 +143,7 @@ def detect(
             F.struct(F.col("technique_id").alias("id"), F.col("technique_name").alias("name")).alias("technique"),
             F.col("tactic").alias("tactic"),
         ).alias("attack"),
-        selected_event().alias("event"),
-        "host",
-        "user",
-        selected_process().alias("process"),
-        "file",
-        "registry",
-        "destination",
-        "network",
+        *[section(n) for n in ("event", "host", "user", "process", "file", "registry", "destination", "network")],
         # Native alerts carry no engine tag; readers default it.
         F.struct(
             F.when(sigma, F.lit("sigma-like")).alias("engine"),
@@ -134,11 +155,11 @@ def detect(
         ).cast(_DETECTION_TYPE).alias("detection"),
         F.lit(None).cast(_ML_TYPE).alias("ml"),
         F.struct(
-            F.col("src_doc.index").alias("index"),
-            F.col("src_doc.document_id").alias("document_id"),
+            F.col("_p_src_doc")["index"].alias("index"),
+            F.col("_p_document").alias("document_id"),
             F.lit(None).cast("array<string>").alias("document_ids"),
         ).cast(_SRC_TYPE).alias("src_doc"),
-        "art",
+        section("art"),
     )
 
 

@@ -232,7 +232,7 @@ def protection_records(decided: DataFrame, created_at: str | dt.datetime | None
     d = lambda n: F.col(f"decision.{n}")
     # A planned dry run without a pid stays planned with a null pid.
     material = [F.col("alert_id"), action, d("pid"), d("mode"), d("reason")]
-    return decided.where(F.col("decision").isNotNull()).select(
+    return S.where_computed(decided, F.col("decision").isNotNull()).select(
         F.struct(
             ids.prefixed("protection-kill-process", material).alias("id"), action.alias("action"),
             d("mode").alias("mode"), status.alias("status"), TS.created_literal(created_at).alias("created"),
