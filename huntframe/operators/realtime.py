@@ -343,7 +343,9 @@ def correlate(
         F.struct("eid", "t", "o", "stamp").alias("cand"),
     )
     bit = F.coalesce(*[F.when(F.col("label") == s, F.lit(1 << n)) for n, s in enumerate(STEPS)])
-    complete = (
+    # Written first, so that its real size can make the filter below a broadcast and spare the shuffle of
+    # all events.
+    complete = cut_lineage(
         cands.groupBy("key", "_bucket").agg(F.bit_or(bit).alias("_steps")).where(F.col("_steps") == 7).select("key", "_bucket")
     )
     probes = rows.select(

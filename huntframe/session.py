@@ -55,17 +55,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a selective intermediate once so that several consumers do not rescan the source.
+def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Writes a selective intermediate once, so that several consumers do not rescan the source.
 
-    Uses reliable ``checkpoint()``, so lost executors do not lose it. Without a shared folder the
-    plan stays lazy and each consumer recomputes it.
+    The table lies in the shared folder, so lost executors do not lose it, readers take only the columns
+    they need, and its real size decides whether it is broadcast. Without a shared folder the plan stays lazy
+    and each consumer recomputes it.
     """
     spark = df.sparkSession
-    base = shared_dir(spark)
-    if base is None:
+    if shared_dir(spark) is None:
         return df
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(base)
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
