@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import array_text, map_text, non_empty
+from .scalars import array_text, non_empty
 
 SEPARATOR = "\x1f"
 NULL_TEXT = "<null>"
@@ -84,7 +84,3 @@ def event_identity(timestamp: Column) -> Column:
         F.when(F.col("winlog.record_id") != 0, F.col("winlog.record_id").cast("string")),
         prefixed("local", [timestamp, F.col("event.code"), *section_material()]),
     )
-
-
-def map_material(m: Column) -> Column:
-    return map_text(m)

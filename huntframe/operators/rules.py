@@ -7,7 +7,6 @@ sit in one array that is filtered and exploded, so detection is a scan without j
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,8 +71,7 @@ def lowered(path: str) -> Column:
 
 
 def _event_text(paths: Sequence[str]) -> Column:
-    part = {"event.created": "event.created", "event.code": "event.code"}
-    return F.concat_ws(" ", *[F.lower(S.text(F.col(p))) if p in part else lowered(p) for p in paths])
+    return F.concat_ws(" ", *[lowered(p) if p in _PREPARED else F.lower(S.text(F.col(p))) for p in paths])
 
 
 def batch_event_text() -> Column:
