@@ -5,10 +5,12 @@ from __future__ import annotations
 from huntframe.llm import chat_format
 from huntframe.llm.chat_format import op10_chat_format
 from huntframe.llm.piece_encoding import op7_piece_encoding
+from huntframe.llm.pii import op5_pii_spans
 from huntframe.llm.token_counts import op2_token_counts
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op5_pii_spans": op5_pii_spans,
     "op7_piece_encoding": op7_piece_encoding,
     "op10_chat_format": op10_chat_format,
 }
