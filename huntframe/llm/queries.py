@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from huntframe.llm import chat_format, quality
+from huntframe.llm import chat_format, decontamination, quality, sharding
 from huntframe.llm.chat_format import op10_chat_format
+from huntframe.llm.decontamination import op9_winnowing
 from huntframe.llm.piece_encoding import op7_piece_encoding
 from huntframe.llm.pii import op5_pii_spans
 from huntframe.llm.quality import op3_quality_rules
+from huntframe.llm.sharding import op4_slot_shards
 from huntframe.llm.token_counts import op2_token_counts
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
+    "op4_slot_shards": op4_slot_shards,
     "op5_pii_spans": op5_pii_spans,
     "op7_piece_encoding": op7_piece_encoding,
+    "op9_winnowing": op9_winnowing,
     "op10_chat_format": op10_chat_format,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality.SQL,
+    "op4_slot_shards": sharding.SQL,
+    "op9_winnowing": decontamination.SQL,
     "op10_chat_format": chat_format.SQL,
 }
