@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from huntframe.llm import chat_format, decontamination, quality, sharding
+from huntframe.llm import chat_format, decontamination, quality, sharding, warc
 from huntframe.llm.chat_format import op10_chat_format
 from huntframe.llm.decontamination import op9_winnowing
 from huntframe.llm.piece_encoding import op7_piece_encoding
@@ -10,8 +10,10 @@ from huntframe.llm.pii import op5_pii_spans
 from huntframe.llm.quality import op3_quality_rules
 from huntframe.llm.sharding import op4_slot_shards
 from huntframe.llm.token_counts import op2_token_counts
+from huntframe.llm.warc import op1_warc_archives
 
 QUERIES = {
+    "op1_warc_archives": op1_warc_archives,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_slot_shards": op4_slot_shards,
@@ -22,6 +24,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc_archives": warc.SQL,
     "op3_quality_rules": quality.SQL,
     "op4_slot_shards": sharding.SQL,
     "op9_winnowing": decontamination.SQL,
