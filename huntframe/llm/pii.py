@@ -121,12 +121,9 @@ def _lookalikes() -> dict[str, str]:
 
 
 HOMOGLYPHS = _lookalikes()
-_GLYPH = "[" + "".join(map(re.escape, sorted(HOMOGLYPHS))) + "]"
 _DIGIT_WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 _ATS, _DOTS, _ENDINGS = "|".join(AT_WORDS), "|".join(DOT_WORDS), "|".join(ENDINGS)
 _WORD = r"[A-Za-z0-9_%+-]"
-_GLYPHS = re.compile(f"{_GLYPH}+")
-_NEEDS = re.compile(rf"[\[({{<]\s?(?:{_ATS}|{_DOTS}|@|\.)\s?[\])}}>]|\b(?:{_DOTS})\b|\b{_DIGIT_WORD}[ -]{_DIGIT_WORD}\b", re.I)
 _BRACKET = re.compile(rf"[ ]?[\[({{<]\s?(?:(?P<at>{_ATS}|@)|(?:{_DOTS}|\.))\s?[\])}}>][ ]?", re.I)
 _ADDRESS = re.compile(rf"(?<={_WORD})[ ](?:at)[ ](?={_WORD}{{1,63}}(?:(?:[ ]dot[ ]|\.){_WORD}{{1,63}}){{0,4}}[ ]dot[ ](?:{_ENDINGS})\b)|"
                       rf"(?<=[A-Za-z0-9])[ ](?:{_DOTS})[ ](?=[A-Za-z0-9])", re.I)
@@ -189,15 +186,24 @@ class Aligned:
         self.starts, self.sources, self.made = starts or [0], sources or [(0, 0)], made or [False]
 
 
+def _wanted(text: str) -> tuple[bool, bool, bool]:
+    """Whether a text can hold a run of spelled digits, a mark in brackets, or bare words for marks; each test is one quick pass."""
+    low = text.lower()
+    spelled = sum(map(SPELLED.__contains__, low.replace("-", " ").split(" "))) >= SPELLED_RUN - 2
+    return spelled, any(c in text for c in "[({<"), any(w in low for w in DOT_WORDS)
+
+
 def normalise(text: str) -> Aligned | None:
     """The rewritten text with its alignment, or None where there is nothing to rewrite."""
-    glyphs = not text.isascii()
-    if not glyphs and not _NEEDS.search(text):
+    found = () if text.isascii() else HOMOGLYPHS.keys() & set(text)
+    if not found and not any(_wanted(text)):
         return None
     a = Aligned(text)
-    if glyphs:
-        a.rewrite([(i, i + 1, HOMOGLYPHS[text[i]]) for m in _GLYPHS.finditer(text) for i in range(*m.span())])
-    if _NEEDS.search(a.text):
+    if found:
+        glyph = re.compile("[" + "".join(map(re.escape, sorted(found))) + "]")
+        a.rewrite([(m.start(), m.end(), HOMOGLYPHS[m[0]]) for m in glyph.finditer(text)])
+    spelled, brackets, dots = _wanted(a.text)
+    if spelled:
         edits = []
         for m in _SPELLED_RUN.finditer(a.text):
             words = list(_ONE.finditer(a.text, *m.span()))
@@ -207,7 +213,9 @@ def normalise(text: str) -> Aligned | None:
         a.rewrite(edits)
         if edits:
             a.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(a.text)])
+    if brackets:
         a.rewrite([(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKET.finditer(a.text)])
+    if dots:
         a.rewrite([(m.start(), m.end(), "@" if m[0].strip().lower() in AT_WORDS else ".") for m in _ADDRESS.finditer(a.text)])
     return a if a.text != text else None
 
