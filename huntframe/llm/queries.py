@@ -5,6 +5,7 @@ from __future__ import annotations
 from huntframe.llm import chat_format, decontamination, quality, sharding, warc
 from huntframe.llm.chat_format import op10_chat_format
 from huntframe.llm.decontamination import op9_winnowing
+from huntframe.llm.grouped_prefix_join import op8_grouped_prefix_join
 from huntframe.llm.piece_encoding import op7_piece_encoding
 from huntframe.llm.pii import op5_pii_spans
 from huntframe.llm.quality import op3_quality_rules
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_slot_shards": op4_slot_shards,
     "op5_pii_spans": op5_pii_spans,
     "op7_piece_encoding": op7_piece_encoding,
+    "op8_grouped_prefix_join": op8_grouped_prefix_join,
     "op9_winnowing": op9_winnowing,
     "op10_chat_format": op10_chat_format,
 }
@@ -27,6 +29,7 @@ ORACLES: dict[str, str] = {
     "op1_warc_archives": warc.SQL,
     "op3_quality_rules": quality.SQL,
     "op4_slot_shards": sharding.SQL,
+    "op8_grouped_prefix_join": op8_grouped_prefix_join,
     "op9_winnowing": decontamination.SQL,
     "op10_chat_format": chat_format.SQL,
 }
