@@ -1,24 +1,59 @@
-"""The training-data pipeline over ``documents``: each stage's result is written as Parquet and reread by the next one."""
+"""The training-data pipeline over ``documents``: each stage's result is written as Parquet and reread by the next one.
+
+1. Quality rules reject documents by the base rule and by distribution divergence.
+2. The n-gram Jaccard join keeps one document of each group: that of the smallest id.
+3. Benchmark decontamination drops documents that share a window of words with an item.
+4. Personal data, plain or disguised, is replaced by marks, and ``n_chars`` is counted anew.
+5. SentencePiece encoding yields token counts and digests of what is left.
+"""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from huntframe.llm import piece_encoding
+from huntframe.llm import decontamination, grouped_prefix_join, piece_encoding, pii, quality
 from huntframe.llm.storage import shared_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Shingle length and similarity of near duplicates.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.good_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return grouped_prefix_join.one_of_each(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    redacted = pii.redact_texts(docs)
+    if "n_chars" not in docs.columns:
+        return redacted
+    kind = docs.schema["n_chars"].dataType
+    return redacted.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text that is left, as digests."""
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_encoding.encode_digests(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("piece_encoding", encode)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("benchmark", benchmark),
+    ("personal_data", personal_data),
+    ("piece_encoding", encoding),
+]
 
 #: SQL cannot express subword encoding; the stages are tested against brute force.
 ORACLE_SQL: str | None = None
@@ -26,7 +61,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = shared_path(spark, f"corpus-{uuid.uuid4().hex}")
+    base = shared_path(spark, "corpus")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{base}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -10,6 +10,7 @@ from huntframe.llm.piece_encoding import op7_piece_encoding
 from huntframe.llm.pii import op5_pii_spans
 from huntframe.llm.quality import op3_quality_rules
 from huntframe.llm.sharding import op4_slot_shards
+from huntframe.llm.suffix_dedup import op6_suffix_dedup
 from huntframe.llm.token_counts import op2_token_counts
 from huntframe.llm.warc import op1_warc_archives
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_slot_shards": op4_slot_shards,
     "op5_pii_spans": op5_pii_spans,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_piece_encoding": op7_piece_encoding,
     "op8_grouped_prefix_join": op8_grouped_prefix_join,
     "op9_winnowing": op9_winnowing,
