@@ -13,7 +13,7 @@ import sys
 import time
 
 from huntframe.plans.queries import QUERIES
-from huntframe.session import local_session
+from huntframe.session import clean_scratch, local_session
 
 HEADLINE = (
     "normalize_route", "xml_events", "message_fields", "native_rule_matches", "sigma_like_matches", "alert_documents",
@@ -42,6 +42,7 @@ def main() -> None:
             times[name] = round(run(spark, name, sf_dir), 3)
             print(f"{name}: {times[name]}s", flush=True)
         rows = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+        clean_scratch(spark)
         spark.stop()
     total = round(sum(times.values()), 3)
     print(

@@ -196,7 +196,9 @@ def baseline_violations(profile: DataFrame) -> DataFrame:
 
 def load_baseline(spark: SparkSession, path: str) -> Baseline:
     """The one profile object of a JSON file, checked; raises ``ValueError`` with the bad fields."""
-    profile = spark.read.schema(BASELINE_SCHEMA).json(path, multiLine=True).limit(1)
+    profile = spark.read.schema(BASELINE_SCHEMA).json(path, multiLine=True)
+    if len(profile.take(2)) > 1:
+        raise ValueError(f"more than one baseline profile in {path}")
     bad = [r.violation for r in baseline_violations(profile).collect()]
     if bad:
         raise ValueError(f"bad baseline fields: {', '.join(bad)}")

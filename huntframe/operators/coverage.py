@@ -282,7 +282,9 @@ def case_matrix_totals(cases: DataFrame, stored: DataFrame | None = None) -> Dat
     )
     if stored is None:
         return counted
-    kept = stored.limit(1).select(*[F.col(n).alias(f"_{n}") for n in names])
+    # One stored row is asked for; more of them would be ambiguous, so they fail the run.
+    only = lambda n: F.when(F.count("*") > 1, F.raise_error(F.lit("more than one stored row of totals"))).otherwise(F.max(n))
+    kept = stored.agg(*[only(n).alias(f"_{n}") for n in names])
     joined = counted.join(F.broadcast(kept), how="left", on=F.lit(True))
     return joined.select(*[F.coalesce(F.nullif(F.col(f"_{n}"), F.lit(0)), F.col(n)).alias(n) for n in names])
 

@@ -225,12 +225,14 @@ def with_episodes(activity: DataFrame, bucket_seconds: int = 4) -> DataFrame:
     ``activity``: ``case_id, window_seconds, ts``, one row per sighting. A sighting later than the
     case's window after the one before it starts a new episode. Only gaps longer than the bucket can split, so the
     sightings are first reduced to the ends of each short time bucket; the running count then walks
-    buckets, not sightings. ``bucket_seconds`` must not exceed any window.
+    buckets, not sightings. A window shorter than ``bucket_seconds`` fails the run.
     """
     micros = bucket_seconds * 1_000_000
     rows = activity.withColumn("_bucket", F.floor(F.unix_micros("ts") / micros))
     ends = rows.groupBy("case_id", "_bucket").agg(
-        F.min("ts").alias("first"), F.max("ts").alias("last"), F.max("window_seconds").alias("w")
+        F.min("ts").alias("first"), F.max("ts").alias("last"),
+        F.when(F.min("window_seconds") < bucket_seconds, F.raise_error(F.lit("a case's window is shorter than bucket_seconds")))
+        .otherwise(F.max("window_seconds")).alias("w"),
     )
     order = Window.partitionBy("case_id").orderBy("_bucket")
     gap = F.unix_micros("first") - F.unix_micros(F.lag("last").over(order))

@@ -130,10 +130,14 @@ def parse_xml(df: DataFrame, xml: str = "xml") -> DataFrame:
     )
     # An EventData element without children parses to null; it still counts as present.
     has_data = F.col("_parsed.EventData").isNotNull() | F.col(xml).rlike(r"<(\w+:)?EventData[\s/>]")
+    # The parser stops after the first document; whatever else the text holds makes it malformed.
+    bare = F.regexp_replace(F.col(xml), r"(?s)<!--.*?-->", "")
+    whole = bare.rlike(r"(</(\w+:)?Event\s*>|/>)\s*$") & (F.regexp_count(bare, F.lit(r"</(\w+:)?Event\s*>")) <= 1)
     return (
         df.withColumn("_data", S.last_wins_map(F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>"))))
-        .withColumn("_sys", F.col("_parsed.System"))
-        .withColumn("_has_data", has_data)
+        .withColumn("_broken", F.coalesce(~whole | F.col("_parsed._corrupt_record").isNotNull(), F.lit(False)))
+        .withColumn("_sys", F.when(~F.col("_broken"), F.col("_parsed.System")))
+        .withColumn("_has_data", has_data & ~F.col("_broken"))
         .drop("_parsed")
     )
 
@@ -145,10 +149,7 @@ def _xml_error(get, code_text: Column, xml: str) -> Column:
     created = get("UtcTime")
     return F.coalesce(
         F.when(F.col(xml).isNull(), F.lit("missing_xml")),
-        F.when(
-            system.isNull() & ~F.coalesce(F.col("_has_data"), F.lit(False)),
-            F.lit("malformed_xml"),
-        ),
+        F.when(F.col("_broken"), F.lit("malformed_xml")),
         F.when(system.isNull(), F.lit("missing_element:System")),
         F.when(~F.col("_has_data"), F.lit("missing_element:EventData")),
         F.when(F.col("_sys.EventID").isNull(), F.lit("missing_element:EventID")),
@@ -173,7 +174,7 @@ def normalize_xml(df: DataFrame, xml: str = "xml", keep: tuple[str, ...] = ()) -
     df = parse_xml(df, xml)
     get = lambda key: S.text(F.element_at(F.col("_data"), key))
     code_text = S.strip(S.text(F.col("_sys.EventID")))
-    code = S.parse_long(code_text).cast("int")
+    code = S.parse_long(code_text).try_cast("int")
     category, kind, action = event_shape(code)
     user = get("User")
     namespace = F.coalesce(*[F.when(code == c, F.lit(ns)) for c, ns in _NAMESPACES.items()])

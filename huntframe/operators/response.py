@@ -143,13 +143,14 @@ def decide(
     """
     df = with_alert_ids(alerts)
     at = lambda p: _path(alerts, p)
-    pid = F.lit(explicit_pid).cast("bigint") if explicit_pid is not None else F.coalesce(
-        at("process.pid").cast("bigint"), at("alert.process.pid").cast("bigint")
-    )
-    name = S.non_empty(F.coalesce(at("process.name"), at("alert.process.name")))
+    # The alert's own process is taken as a whole where it is there, else the nested one; their fields never mix.
+    own = at("process").isNotNull()
+    process = lambda field: F.when(own, at(f"process.{field}").cast("string")).otherwise(at(f"alert.process.{field}").cast("string"))
+    pid = F.lit(explicit_pid).cast("bigint") if explicit_pid is not None else process("pid").try_cast("bigint")
+    name = S.non_empty(process("name"))
     # The policy reads the plain rule id before the one nested in the alert.
     rule_id = F.coalesce(at("rule.id"), at("alert.rule_id"), at("alert.rule.id"))
-    command = S.text(F.coalesce(at("process.command_line"), at("alert.process.command_line")))
+    command = S.text(process("command_line"))
     tags = F.array_join(F.col("tags"), " ") if "tags" in alerts.columns else F.lit("")
     art = F.array_join(F.map_values(F.col("art")), " ") if "art" in alerts.columns else F.lit("")
     haystack = F.concat_ws(" ", command, S.text(tags), S.text(art))

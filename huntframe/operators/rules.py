@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 
 from .. import catalog
 from ..catalog import Condition, Rule
+from ..functions import ids
 from ..functions import scalars as S
+from ..functions import timestamps as TS
 
 _TEXT_OF = {
     "sysmon.event_data": lambda: S.map_text(F.col("sysmon.event_data")),
@@ -322,8 +324,11 @@ def rules_df(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
-def candidates(events: DataFrame, limit: int = 100) -> DataFrame:
-    """The newest shell process-start candidates; rows without a timestamp come last."""
+def candidates(events: DataFrame, limit: int = 100, tie: Column | None = None) -> DataFrame:
+    """The newest shell process-start candidates by time; rows without a readable time come last.
+
+    Equal times are ordered by ``tie``, the event id by default.
+    """
     name, executable, command = F.col("process.name"), F.col("process.executable"), F.col("process.command_line")
     wanted = (
         (name == _SHELL_NAME)
@@ -332,7 +337,7 @@ def candidates(events: DataFrame, limit: int = 100) -> DataFrame:
     )
     return (
         events.where((F.col("event.dataset") == catalog.DATASET) & (F.col("event.code") == 1) & wanted)
-        .orderBy(F.col("`@timestamp`").desc_nulls_last())
+        .orderBy(TS.parse_iso(F.col("`@timestamp`")).desc_nulls_last(), ids.event_document_id() if tie is None else tie)
         .limit(limit)
     )
 
@@ -348,6 +353,9 @@ def rule_from_dict(spec: dict, engine: str = "native") -> Rule:
     if engine == "sigma-like":
         selection = spec["detection"]["selection"]
         tests = [(key.partition("|"), value) for key, value in selection.items()]
+        for (_, bar, op), _ in tests:
+            if bar and op not in ("equals", "endswith", "contains"):
+                raise ValueError(f"unknown operator {op!r} in rule {spec['id']}")
         code = selection.get("event.code")
         return Rule(
             **common, name=spec.get("title") or spec["name"], version=1, severity=spec["level"],
@@ -361,11 +369,14 @@ def rule_from_dict(spec: dict, engine: str = "native") -> Rule:
     gate = spec["data_source"]
     operators = ("equals_any", "endswith_any", "contains_any")
     found = [(c["field"], next((o for o in operators if o in c), None), c) for c in spec["match"]["any"]]
+    for path, op, _ in found:
+        if op is None:
+            raise ValueError(f"no known operator for {path} in rule {spec['id']}")
     return Rule(
         **common, name=spec["name"], version=spec["version"], severity=spec["severity"],
         dataset=gate["event_dataset"], event_codes=(gate["event_code"],),
         conditions=tuple(
-            Condition(path, op.removesuffix("_any"), tuple(c[op])) for path, op, c in found if op
+            Condition(path, op.removesuffix("_any"), tuple(c[op])) for path, op, c in found
         ),
     )
 

@@ -277,12 +277,9 @@ def match_sequences(
         F.array(F.struct(first.alias("step"), "eid", "t", "o", "doc")).alias("matched"),
     )
 
-    # Anchors without a readable time accept any later event; they need a lookup without a time limit,
-    # which is only planned where such anchors exist.
-    any_untimed = not base.where(~F.col("timed") & F.array_contains("steps", first)).isEmpty()
     total_steps = max(len(d.required_steps) + len(d.optional_steps) for d in definitions)
     for position in range(1, total_steps):
-        chains = _advance(chains, base, definitions, position, width, event, any_untimed)
+        chains = _advance(chains, base, definitions, position, width, event)
     return chains.drop("keys", "a_t", "a_o", "timed")
 
 
@@ -293,7 +290,6 @@ def _advance(
     position: int,
     width: Column,
     event: Column,
-    any_untimed: bool,
 ) -> DataFrame:
     """Adds the step at ``position`` of every definition that has one; the others pass through."""
     names, required, depth = [], [], 1
@@ -316,17 +312,16 @@ def _advance(
     )
     step_name = _per_definition("def", names, "string")
     candidates = base.where(F.array_contains("steps", step_name)).select(
-        "def", "host", "t", "o", F.explode(_candidate_keys()).alias("key"), event.alias("cand")
+        "def", "host", "t", "o", F.explode(_candidate_keys()).alias("key"), event.alias("cand"), F.col("timed").alias("cand_timed")
     )
 
-    if any_untimed:
-        found = following.nearest_within(
-            probes.where("probe.timed"), candidates, by, F.col("probe.a_t"), width, depth
-        ).unionByName(
-            following.nearest_anywhere(probes.where("NOT probe.timed"), candidates, by, width, depth)
-        )
-    else:
-        found = following.nearest_within(probes, candidates, by, F.col("probe.a_t"), width, depth)
+    # Anchors without a readable time accept any later event: a lookup without a time limit. Timed ones never take
+    # an event without a time, since that sorts before them.
+    found = following.nearest_within(
+        probes.where("probe.timed"), candidates.where("cand_timed").drop("cand_timed"), by, F.col("probe.a_t"), width, depth
+    ).unionByName(
+        following.nearest_anywhere(probes.where("NOT probe.timed"), candidates.drop("cand_timed"), by, width, depth)
+    )
 
     used = F.transform(F.col("probe.matched"), lambda m: m["eid"])
     in_window = lambda c: ~F.col("probe.timed") | (c["t"] - F.col("probe.a_t") <= width)

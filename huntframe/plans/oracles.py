@@ -513,7 +513,7 @@ FROM tele WHERE {SUPPORTED} AND raw_ts >= TIMESTAMP '2024-01-11 00:00:00'"""
     ),
     "candidate_topk": tele(
         """SELECT seq, stamp AS timestamp, process_name FROM low WHERE event_code = 1 AND (process_name = 'powershell.exe' OR ends_with(exe, '\\powershell.exe') OR contains(cmd, 'powershell.exe'))
-ORDER BY stamp DESC LIMIT 100""",
+ORDER BY stamp DESC, seq LIMIT 100""",
         LOWS,
     ),
     "evidence_projection": tele(
@@ -645,7 +645,7 @@ LEFT JOIN latest l ON l.case_ord = m.case_ord""",
         "SELECT seq, rule_id, reason FROM rt QUALIFY row_number() OVER (PARTITION BY seq, rule_id ORDER BY rule_ord) = 1", LOWS, RT_HITS
     ),
     "daily_upsert": tele(
-        f"""SELECT strftime(ts, '%Y.%m.%d') AS day, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM tele WHERE {SUPPORTED} AND ts IS NOT NULL GROUP BY 1"""
+        f"""SELECT strftime(ts, '%Y.%m.%d') AS day, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM tele WHERE {SUPPORTED} GROUP BY 1"""
     ),
     "stream_rules_summary": tele("SELECT rule_id, severity, count(*) AS n FROM rt GROUP BY ALL", LOWS, RT_HITS),
     "stream_evaluation": tele(

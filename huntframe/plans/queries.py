@@ -260,7 +260,7 @@ def realtime_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 def candidate_topk(spark: SparkSession, sf: str) -> DataFrame:
     ev = T.nested_view(T.flat_view(spark, sf, (1,)))
-    return R.candidates(ev).select("seq", F.col("`@timestamp`").alias("timestamp"), F.col("process.name").alias("process_name"))
+    return R.candidates(ev, tie=F.col("seq")).select("seq", F.col("`@timestamp`").alias("timestamp"), F.col("process.name").alias("process_name"))
 
 
 def evidence_projection(spark: SparkSession, sf: str) -> DataFrame:
@@ -627,9 +627,11 @@ def distinct_realtime_alerts(spark: SparkSession, sf: str) -> DataFrame:
 def daily_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """Events written to daily tables by id, twice as after a replay, and counted back per day."""
     path = session.scratch_path(spark, "daily-events")
-    ev = T.supported_events(spark, sf).where(F.col("ts").isNotNull()).select("seq", "ts", "`@timestamp`", "event", "host", "process", "sysmon")
+    ev = T.supported_events(spark, sf).select("seq", "ts", "`@timestamp`", "event", "host", "process", "sysmon")
     for _ in range(2):
         sinks.write_events(ev, path, F.col("ts").cast("date"))
+    # a later batch that touches the rows without a day only
+    sinks.write_events(ev.where(F.col("ts").isNull()), path, F.col("ts").cast("date"))
     back = readers.read_event_table(spark, path)
     return back.groupBy(F.date_format("index_date", TS.INDEX_DATE).alias("day")).agg(
         F.count("*").alias("n"), F.sum("seq").alias("seq_sum")
@@ -644,18 +646,19 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    SP.use_rocksdb(spark)
     triples = SC.correlate_stream(_stream(spark, sf), CORRELATION_WINDOW, "6 hours")
-    return SP.drain(SC.distinct_triples(triples), "correlation").select(
+    with SP.state_store(spark, spark.sparkContext.defaultParallelism):
+        drained = SP.drain(SC.distinct_triples(triples), "correlation")
+    return drained.select(
         "process_id", "network_id", "file_id", "timestamp", "rule_id"
     )
 
 
 def stream_evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    SP.use_rocksdb(spark)
     sightings, alerts = _evaluation(_stream(spark, sf).where(F.col("event.code") == 1))
     rows = SE.evaluation_input(sightings, alerts)
-    emitted = SP.drain_batches(SE.track_cases(rows), "evaluation")
+    with SP.state_store(spark, spark.sparkContext.defaultParallelism):
+        emitted = SP.drain_batches(SE.track_cases(rows), "evaluation")
     return SE.newest_states(emitted).select(
         "case_id", "episode", "classification", _micros_text("first_seen").alias("first_seen"),
         _micros_text("last_seen").alias("last_seen"), "event_count", "alert_count", "actual_rule_ids",

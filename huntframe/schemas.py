@@ -23,6 +23,7 @@ XML_RECORD = _struct(
         Computer=_S,
     ),
     EventData=_struct(Data=T.ArrayType(_struct(_Name=_S, _VALUE=_S))),
+    _corrupt_record=_S,
 )
 
 LOG_RECORD = _struct(

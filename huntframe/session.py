@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_scratch: list[str] = []
 
 
 def local_session(cpus: str = "*", app: str = "huntframe", shuffle_partitions: int = 8) -> SparkSession:
@@ -52,19 +53,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     base = shared_dir(spark)
     if base is None:
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Deletes the intermediate tables this process made. Call it when their readers are done, at a session's end."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Writes a selective intermediate once, so that several consumers do not rescan the source.
 
     The table lies in the shared folder, so lost executors do not lose it, readers take only the columns
-    they need, and its real size decides whether it is broadcast. Without a shared folder the plan stays lazy
-    and each consumer recomputes it.
+    they need, and its real size decides whether it is broadcast. A cluster without a shared folder is an error.
     """
     spark = df.sparkSession
-    if shared_dir(spark) is None:
-        return df
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

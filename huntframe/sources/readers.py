@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from .. import catalog, schemas
 from ..functions import scalars as S
@@ -91,10 +90,22 @@ def parse_search_hits(responses: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def read_alerts(spark: SparkSession, path: str, limit: int | None = 25) -> DataFrame:
-    """Stored alerts; the default limit is the response planner's batch size."""
+#: A page of the response planner (fixed value).
+ALERT_PAGE = 25
+
+
+def read_alerts(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Stored alerts; with a limit (such as ``ALERT_PAGE``) the newest ones, by time and then id."""
     df = spark.read.parquet(path)
-    return df if limit is None else df.limit(limit)
+    if limit is None:
+        return df
+    return df.orderBy(TS.parse_iso(F.col("alert.created")).desc_nulls_last(), F.col("alert.id")).limit(limit)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there. Any other trouble with it is an error and raised."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
 def read_alerts_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -110,7 +121,7 @@ def decode_log_rows(batches: DataFrame, value: str = "value") -> DataFrame:
     number = lambda f: F.coalesce(F.col(f"r.{f}").try_cast("bigint"), F.lit(0))
     return rows.where(F.col("r").isNotNull()).select(
         number("RecordId").cast("bigint").alias("record_id"),
-        number("Id").cast("int").alias("event_id"),
+        number("Id").try_cast("int").alias("event_id"),
         S.text(F.col("r.TimeCreated")).alias("time_created"),
         S.text(F.col("r.ProviderName")).alias("provider_name"),
         S.text(F.col("r.Message")).alias("message"),
@@ -180,9 +191,6 @@ def read_required(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 def read_optional(spark: SparkSession, path: str | None, schema: T.StructType) -> DataFrame:
     """Like ``read_required``; a missing input reads as an empty table."""
-    if path is not None:
-        try:
-            return read_required(spark, path, schema)
-        except AnalysisException:
-            pass
+    if path is not None and path_exists(spark, path):
+        return read_required(spark, path, schema)
     return spark.createDataFrame([], schema)

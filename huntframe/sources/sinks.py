@@ -2,34 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from .. import catalog
 from ..functions import ids
+from .readers import path_exists
+
+MAX_DAYS = 10_000
 
 
 def upsert_daily(df: DataFrame, path: str, doc_id: Column, index_date: Column, order: Column | None = None) -> None:
     """Writes documents by id into the partitions of their day; the same id replaces itself.
 
     Touched days are read back, merged and rewritten in one dynamic partition overwrite, which a
-    retried or lost task cannot leave half done. Untouched days are neither read nor written. A replayed batch
-    gives the same table. Within a batch the last document by ``order`` wins.
+    retried or lost task cannot leave half done. The batch is kept while it is used twice: first for its days, a few values
+    that select the partitions to read, then for its rows. Other days are neither read nor written; rows without a day have
+    a partition of their own. A replayed batch gives the same table. Within a batch the last document by ``order`` wins.
     """
     spark = df.sparkSession
     fresh = df.withColumns({"_doc_id": doc_id, "index_date": index_date})
     rank = order if order is not None else F.lit(0)
-    fresh = fresh.withColumn("_new", F.struct(F.lit(1).alias("fresh"), rank.alias("rank")))
+    fresh = fresh.withColumn("_new", F.struct(F.lit(1).alias("fresh"), rank.alias("rank"))).persist(StorageLevel.DISK_ONLY_2)
     try:
-        stored = spark.read.parquet(path)
-    except AnalysisException:
-        stored = None
+        _merge_days(spark, fresh, path)
+    finally:
+        fresh.unpersist()
+
+
+def _merge_days(spark: SparkSession, fresh: DataFrame, path: str) -> None:
     rows = fresh
-    if stored is not None:
-        days = fresh.select("index_date").distinct()
-        kept = stored.join(days, "index_date", "left_semi").withColumn(
+    if path_exists(spark, path):
+        stored = spark.read.parquet(path)
+        days = [r.index_date for r in fresh.select("index_date").distinct().limit(MAX_DAYS + 1).collect()]
+        if len(days) > MAX_DAYS:
+            raise ValueError(f"a batch touches more than {MAX_DAYS} days")
+        touched = F.col("index_date").isin([d for d in days if d is not None])
+        if None in days:
+            touched = touched | F.col("index_date").isNull()
+        kept = stored.where(touched).withColumn(
             "_new", F.struct(F.lit(0).alias("fresh"), F.lit(None).cast(fresh.schema["_new"].dataType["rank"].dataType).alias("rank"))
         )
         rows = kept.unionByName(fresh, allowMissingColumns=True)

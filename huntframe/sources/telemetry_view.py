@@ -32,16 +32,6 @@ def _event_code() -> Column:
 EVENT_TYPES = {"view": 1, "click": 3, "purchase": 11, "signup": 13}
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spreads a table that has fewer splits than the cluster has cores.
-
-    Rules are CPU work on every row, so a table of few files would leave most cores idle. A
-    table with enough splits is left alone and needs no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_events(spark: SparkSession, sf_dir: str, codes: Sequence[int] | None = None) -> DataFrame:
     """The events table, with the wanted event codes as a filter the scan can push down."""
     raw = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
@@ -52,7 +42,7 @@ def read_events(spark: SparkSession, sf_dir: str, codes: Sequence[int] | None =
 
 def flat_view(spark: SparkSession, sf_dir: str, codes: Sequence[int] | None = None) -> DataFrame:
     """The flat telemetry columns; ``seq`` is the event's arrival number."""
-    return flatten(spread(read_events(spark, sf_dir, codes), "event_id"))
+    return flatten(read_events(spark, sf_dir, codes))
 
 
 def flatten(raw: DataFrame) -> DataFrame:
@@ -386,8 +376,9 @@ def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None)
     """The events table as a file stream of flat telemetry rows of supported codes."""
     table = f"{sf_dir.rstrip('/')}/events.parquet"
     schema = spark.read.parquet(table).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    # The name may be that of one file or of a folder of part files; a stream's source takes a pattern for either.
+    reader = spark.readStream.schema(schema)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
     wanted = [t for t, c in EVENT_TYPES.items() if c in catalog.SUPPORTED_CODES]
-    return flatten(reader.parquet(sf_dir).where(F.col("event_type").isin(*wanted)))
+    return flatten(reader.parquet(f"{sf_dir.rstrip('/')}/events.parque[t]").where(F.col("event_type").isin(*wanted)))

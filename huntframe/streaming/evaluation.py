@@ -139,7 +139,7 @@ _SLICED = (
 def combine_in_tasks(rows: DataFrame, slice_seconds: int = 1) -> DataFrame:
     """Combines tracker rows per case, kind, rule and time slice inside each task, before the shuffle.
 
-    The slice must be shorter than every window.
+    A window shorter than the slice fails the run.
     """
     width = slice_seconds * _MICROS
     names = [part.strip().split(" ")[0] for part in _SLICED.split(",")]
@@ -147,6 +147,8 @@ def combine_in_tasks(rows: DataFrame, slice_seconds: int = 1) -> DataFrame:
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if (batch["window_seconds"] < slice_seconds).any():
+                raise ValueError("a case's window is shorter than slice_seconds")
             batch["_slice"] = batch["first_t"] // width
             grouped = batch.groupby([*keys, "_slice"], as_index=False, sort=False).agg(
                 first_t=("first_t", "min"), last_t=("last_t", "max"), n=("n", "sum"), ts=("ts", "max")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,18 +18,22 @@ STATE_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """State of any size on local disk with checkpoints in the shared folder; needed by the trackers.
+@contextmanager
+def state_store(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """State of any size on local disk with checkpoints in the shared folder; the trackers need it when they start.
 
-    In a single local process every shuffle partition would open its own store on the same disk, so
-    there the partitions are cut to the cores. A cluster's setting is left alone.
+    The caller owns the session: the store, and the number of state partitions if one is given, hold inside the block
+    only, and the session's settings are put back after it.
     """
-    spark.conf.set(STATE_STORE_CONF, ROCKSDB)
-    context = spark.sparkContext
-    if context.master.startswith("local"):
-        cores = context.defaultParallelism
-        if int(spark.conf.get("spark.sql.shuffle.partitions")) > cores:
-            spark.conf.set("spark.sql.shuffle.partitions", str(cores))
+    wanted = {STATE_STORE_CONF: ROCKSDB} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def distinct_records(records: DataFrame, key: str = "record_id", ts: str = "ts", watermark: str = "10 minutes") -> DataFrame:

@@ -15,11 +15,12 @@ SF_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from huntframe.session import local_session
+    from huntframe.session import clean_scratch, local_session
 
     session = local_session("8", "huntframe-tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clean_scratch(session)
     session.stop()
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from helpers import download_file, download_network, download_process, event, events_df, run_key_write
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from huntframe.operators import evaluate as V
 from huntframe.operators import realtime as RT
 from huntframe.operators import rules as R
 from huntframe.sources import readers, sinks
+from huntframe.sources import telemetry_view as TV
 from huntframe.streaming import correlator as SC
 from huntframe.streaming import evaluation as SE
 from huntframe.streaming import pipelines as SP
@@ -128,9 +130,9 @@ def test_correlator_batch_and_stream(spark, tmp_path):
     expected = [("1", "2", "3"), ("4", "2", "3")]
     assert triples(RT.correlate(df)) == expected
     assert triples(RT.correlate(df, host_scoped=True)) == []
-    SP.use_rocksdb(spark)
     stream = SC.correlate_stream(stream_of(spark, tmp_path, df))
-    assert triples(SP.drain(SC.distinct_triples(stream), "triples")) == expected
+    with SP.state_store(spark):
+        assert triples(SP.drain(SC.distinct_triples(stream), "triples")) == expected
 
 
 def test_evaluation_stream_with_timers(spark, tmp_path):
@@ -139,7 +141,6 @@ def test_evaluation_stream_with_timers(spark, tmp_path):
         catalog.EvaluationCase("tn", "MARK_TN", "T", False, 6),
         catalog.EvaluationCase("clock", "MARK_CLOCK", "T", False, 6),
     )
-    SP.use_rocksdb(spark)
     rows = [("mark_tp", 0, None), ("mark_tn", 1, None), ("mark_tp", 2, "r1"), ("mark_clock", 60, None)]
     df = spark.createDataFrame(rows, "text string, sec int, rule_id string").withColumn(
         "ts", F.expr("timestamp'2026-05-01 10:00:00' + make_interval(0,0,0,0,0,0,sec)")
@@ -149,7 +150,8 @@ def test_evaluation_stream_with_timers(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(path)
     matched = V.matching_cases(stream, F.col("text"), cases)
     rows = SE.evaluation_input(matched.where("rule_id IS NULL"), matched.where("rule_id IS NOT NULL"))
-    out = SE.newest_states(SP.drain_batches(SE.track_cases(rows, "1 second"), "track"))
+    with SP.state_store(spark):
+        out = SE.newest_states(SP.drain_batches(SE.track_cases(rows, "1 second"), "track"))
     got = {r.case_id: (r.status, r.classification) for r in out.collect()}
     # The watermark passed the benign window, so its timer closed it without another event.
     assert got == {"tp": ("complete", "true_positive"), "tn": ("complete", "true_negative"), "clock": ("pending", "")}
@@ -159,3 +161,32 @@ def test_dashboard_series(spark, tmp_path):
     df = spark.sql("SELECT timestamp'2026-05-01 10:10:00' AS ts, 1 AS event_code FROM range(4)")
     out = SP.drain_batches(SP.series(stream_of(spark, tmp_path, df)), "series")
     assert out.agg(F.max("n")).first()[0] == 4
+
+
+def test_upserts_keep_rows_without_a_day(spark, tmp_path):
+    path = str(tmp_path / "days")
+    day = F.col("d").cast("date")
+    put = lambda rows: sinks.upsert_daily(spark.createDataFrame(rows, "id string, d string, v int"), path, F.col("id"), day)
+    put([("n1", None, 1), ("a", "2026-05-01", 1), ("b", "2026-05-02", 1)])
+    put([("n2", None, 2)])
+    put([("a", "2026-05-01", 3)])
+    rows = spark.read.parquet(path).collect()
+    assert sorted((r.id, str(r.index_date), r.v) for r in rows) == [
+        ("a", "2026-05-01", 3), ("b", "2026-05-02", 1), ("n1", "None", 1), ("n2", "None", 2)
+    ]
+
+
+def test_a_broken_table_is_not_an_empty_one(spark, tmp_path):
+    path = tmp_path / "broken"
+    path.mkdir()
+    (path / "part-0.parquet").write_text("not parquet")
+    df = spark.createDataFrame([("a", "2026-05-01")], "id string, d string")
+    with pytest.raises(Exception, match="(?i)parquet|footer|schema"):
+        sinks.upsert_daily(df, str(path), F.col("id"), F.col("d").cast("date"))
+
+
+def test_streams_read_a_folder_of_parts(spark, sf_dir, tmp_path):
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    table.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    one, many = (SP.drain(TV.event_stream(spark, d).select("seq"), "parts").count() for d in (sf_dir, str(tmp_path)))
+    assert one == many > 0

@@ -180,3 +180,21 @@ def test_small_scalars(spark):
     ).first()
     assert r.codes == ["1", "3", "11"] and r.ids == ["3", "11", "x"] and r.pref == ["z", "a", "b"]
     assert (r.human, r.bad, r.good, r.index_name, r.no_index) == ("a, b, and c", None, 7, "p-2026.05.01", None)
+
+
+def test_only_one_whole_document_counts(spark):
+    good = (
+        "<Event><System><Provider Name='p'/><EventID>1</EventID><TimeCreated SystemTime='t'/><Channel>c</Channel>"
+        "<Computer>h</Computer></System><EventData><Data Name='UtcTime'>2026-05-01 10:00:00.000</Data>"
+        "<Data Name='ProcessId'>1</Data><Data Name='ParentProcessId'>1</Data></EventData></Event>"
+    )
+    texts = {
+        good: None, good + "\n<!-- end -->": None, good + good: "malformed_xml", good + " tail": "malformed_xml",
+        good[:-20]: "malformed_xml", good.replace(">c<", ">a & b<"): "malformed_xml",
+        good.replace("<EventID>1<", "<EventID>99999999999<"): "unsupported_event_id",
+    }
+    from huntframe.operators.normalize import normalize_xml
+
+    df = spark.createDataFrame([(t,) for t in texts], "xml string")
+    got = {r.original: r.error_reason for r in normalize_xml(df).selectExpr("event.original", "error_reason").collect()}
+    assert got == texts
