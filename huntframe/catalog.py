@@ -271,6 +271,7 @@ class Baseline:
         )
 
 
+# The default profile.
 DEFAULT_BASELINE = Baseline(
     common_process_names=("cmd.exe", "powershell.exe", "explorer.exe", "conhost.exe", "svchost.exe"),
     allowed_parent_child_pairs=(
@@ -307,6 +308,7 @@ class Playbook:
     status: str = "dry-run"
 
 
+# The default playbooks.
 DEFAULT_PLAYBOOKS = (
     Playbook(
         id="soar.playbook.powershell_execution",
@@ -343,28 +345,37 @@ class EvaluationCase:
     expected_rule_ids: tuple[str, ...] = ()
 
 
-def _evaluation_cases() -> tuple[EvaluationCase, ...]:
-    # Per label its technique cycle, how many cases, expectation and window.
-    labels = (
-        ("tp", ("T1059.001", "T1105", "T1547.001", "T1218"), 8, True, 8),
-        ("tn", ("benign",), 8, False, 6),
-        ("fp", ("T1059.001", "T1105", "T1547.001", "T1218"), 6, False, 6),
-        ("fn", ("T1059", "T1105", "T1547.001", "T1218"), 6, True, 6),
-    )
-    return tuple(
-        EvaluationCase(
-            case_id=f"rt_{label}_{n}",
-            marker=f"EDR_DEMO_{label.upper()}_{n}",
-            technique_id=techniques[(n - 1) % len(techniques)],
-            expected_alert=expected,
-            window_seconds=window,
-        )
-        for label, techniques, count, expected, window in labels
-        for n in range(1, count + 1)
-    )
-
-
-EVALUATION_CASES = _evaluation_cases()
+# The labelled realtime cases.
+EVALUATION_CASES = (
+    EvaluationCase("rt_tp_1", "EDR_DEMO_TP_1", "T1059.001", True, 8),
+    EvaluationCase("rt_tp_2", "EDR_DEMO_TP_2", "T1105", True, 8),
+    EvaluationCase("rt_tp_3", "EDR_DEMO_TP_3", "T1547.001", True, 8),
+    EvaluationCase("rt_tp_4", "EDR_DEMO_TP_4", "T1218", True, 8),
+    EvaluationCase("rt_tp_5", "EDR_DEMO_TP_5", "T1059.001", True, 8),
+    EvaluationCase("rt_tp_6", "EDR_DEMO_TP_6", "T1105", True, 8),
+    EvaluationCase("rt_tp_7", "EDR_DEMO_TP_7", "T1547.001", True, 8),
+    EvaluationCase("rt_tp_8", "EDR_DEMO_TP_8", "T1218", True, 8),
+    EvaluationCase("rt_tn_1", "EDR_DEMO_TN_1", "benign", False, 6),
+    EvaluationCase("rt_tn_2", "EDR_DEMO_TN_2", "benign", False, 6),
+    EvaluationCase("rt_tn_3", "EDR_DEMO_TN_3", "benign", False, 6),
+    EvaluationCase("rt_tn_4", "EDR_DEMO_TN_4", "benign", False, 6),
+    EvaluationCase("rt_tn_5", "EDR_DEMO_TN_5", "benign", False, 6),
+    EvaluationCase("rt_tn_6", "EDR_DEMO_TN_6", "benign", False, 6),
+    EvaluationCase("rt_tn_7", "EDR_DEMO_TN_7", "benign", False, 6),
+    EvaluationCase("rt_tn_8", "EDR_DEMO_TN_8", "benign", False, 6),
+    EvaluationCase("rt_fp_1", "EDR_DEMO_FP_1", "T1059.001", False, 6),
+    EvaluationCase("rt_fp_2", "EDR_DEMO_FP_2", "T1105", False, 6),
+    EvaluationCase("rt_fp_3", "EDR_DEMO_FP_3", "T1547.001", False, 6),
+    EvaluationCase("rt_fp_4", "EDR_DEMO_FP_4", "T1218", False, 6),
+    EvaluationCase("rt_fp_5", "EDR_DEMO_FP_5", "T1059.001", False, 6),
+    EvaluationCase("rt_fp_6", "EDR_DEMO_FP_6", "T1105", False, 6),
+    EvaluationCase("rt_fn_1", "EDR_DEMO_FN_1", "T1059", True, 6),
+    EvaluationCase("rt_fn_2", "EDR_DEMO_FN_2", "T1105", True, 6),
+    EvaluationCase("rt_fn_3", "EDR_DEMO_FN_3", "T1547.001", True, 6),
+    EvaluationCase("rt_fn_4", "EDR_DEMO_FN_4", "T1218", True, 6),
+    EvaluationCase("rt_fn_5", "EDR_DEMO_FN_5", "T1059", True, 6),
+    EvaluationCase("rt_fn_6", "EDR_DEMO_FN_6", "T1105", True, 6),
+)
 
 CASE_SCHEMA = T.StructType(
     [

@@ -87,6 +87,16 @@ def batch_event_text() -> Column:
     )
 
 
+def evaluation_event_text() -> Column:
+    """Lower-cased text of an event in which evaluation markers are searched: every field that may show one."""
+    return _event_text(
+        (
+            "@timestamp", "process.name", "process.executable", "process.command_line", "file.path", "registry.path",
+            "registry.data.strings", "destination.ip", "sysmon.event_data",
+        )
+    )
+
+
 def realtime_event_text() -> Column:
     """Lower-cased searchable text of an event, as the realtime correlator sees it."""
     return _event_text(

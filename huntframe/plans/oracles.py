@@ -382,7 +382,7 @@ _CASE_ROWS = "wide AS (SELECT * FROM (VALUES " + ", ".join(
 ) + ") v(case_id, marker, technique_id, expected_alert, window_seconds, case_ord))"
 EPISODES = (
     LOWS, RT_HITS, _CASE_ROWS,
-    "sight AS (SELECT w.case_id, w.window_seconds, l.ts, l.seq FROM low l JOIN wide w ON contains(l.cmd, w.marker) WHERE l.event_code = 1 AND l.ts IS NOT NULL)",
+    "sight AS (SELECT w.case_id, w.window_seconds, l.ts, l.seq FROM low l JOIN wide w ON contains(concat_ws(' ', lower(stamp), name, exe, cmd, fpath, rpath, rdata, dip, edata), w.marker) WHERE l.ts IS NOT NULL)",
     "gaps AS (SELECT *, CASE WHEN lag(ts) OVER o IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER o) > CAST(window_seconds AS BIGINT) * 1000000 THEN 1 ELSE 0 END AS is_new FROM sight WINDOW o AS (PARTITION BY case_id ORDER BY ts, seq))",
     "numbered AS (SELECT *, CAST(sum(is_new) OVER (PARTITION BY case_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode FROM gaps)",
     "fired AS (SELECT n.case_id, n.episode, count(*) AS alert_count, string_agg(DISTINCT r.rule_id, ',' ORDER BY r.rule_id) AS rules FROM numbered n JOIN rt r ON r.seq = n.seq GROUP BY 1, 2)",

@@ -532,8 +532,8 @@ def unknown_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _evaluation(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Marker sightings and the alerts raised on the same events, with their case columns."""
-    prepared = R.prepare(events).withColumn("_hay", R.lowered("process.command_line"))
+    """Marker sightings in any event and the alerts raised on the same events, with their case columns."""
+    prepared = R.prepare(events).withColumn("_hay", R.evaluation_event_text())
     slim = S.where_computed(
         prepared.withColumn("_t_command_or_message", RT._command_or_message()), F.col("ts").isNotNull()
     )
@@ -545,8 +545,7 @@ def _evaluation(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _episodes(spark: SparkSession, sf: str) -> DataFrame:
-    events = T.nested_view(T.flat_view(spark, sf, (1,)))
-    sightings, alerts = _evaluation(events)
+    sightings, alerts = _evaluation(T.supported_events(spark, sf))
     return V.evaluate_episodes(sightings, alerts, F.lit(AS_OF).cast("timestamp"))
 
 
@@ -655,7 +654,7 @@ def stream_correlation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    sightings, alerts = _evaluation(_stream(spark, sf).where(F.col("event.code") == 1))
+    sightings, alerts = _evaluation(_stream(spark, sf))
     rows = SE.evaluation_input(sightings, alerts)
     with SP.state_store(spark, spark.sparkContext.defaultParallelism):
         emitted = SP.drain_batches(SE.track_cases(rows), "evaluation")
