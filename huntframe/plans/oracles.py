@@ -647,6 +647,17 @@ LEFT JOIN latest l ON l.case_ord = m.case_ord""",
     "daily_upsert": tele(
         f"""SELECT strftime(ts, '%Y.%m.%d') AS day, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM tele WHERE {SUPPORTED} GROUP BY 1"""
     ),
+    "written_alerts": tele("SELECT rule_id, severity, count(DISTINCT alert_id) AS n FROM alerts GROUP BY 1, 2", *ENGINES, ALERTS),
+    "written_responses": tele(
+        f"""SELECT playbook_id, rule_id, count(DISTINCT {digest("'soar-response'", ["playbook_id", "alert_id", "action_ids"])}) AS n
+FROM (SELECT *, {_PB_ORD} AS ord FROM alerts) JOIN pb USING (ord) GROUP BY 1, 2""",
+        *ENGINES, ALERTS, _PB,
+    ),
+    "xml_rejects": tele(
+        f"""SELECT seq, CASE seq % 8 WHEN 1 THEN 'malformed_xml' WHEN 2 THEN 'malformed_xml' WHEN 3 THEN 'malformed_xml' WHEN 4 THEN 'unsupported_event_id'
+  WHEN 5 THEN 'missing_element:Computer' WHEN 6 THEN 'bad_integer:ProcessId' WHEN 7 THEN 'missing_xml' WHEN 0 THEN CASE WHEN pid IS NULL THEN 'bad_integer:ProcessId' END END AS error_reason
+FROM tele WHERE {SUPPORTED}"""
+    ),
     "stream_rules_summary": tele("SELECT rule_id, severity, count(*) AS n FROM rt GROUP BY ALL", LOWS, RT_HITS),
     "stream_evaluation": tele(
         f"""SELECT case_id, episode, classification, {_TEXT_TS.format('first_seen')} AS first_seen, {_TEXT_TS.format('last_seen')} AS last_seen, event_count, alert_count, rules AS actual_rule_ids FROM stream""",

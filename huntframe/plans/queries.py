@@ -637,6 +637,41 @@ def daily_upsert(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _stored(spark: SparkSession, label: str, df: DataFrame, write: Callable) -> DataFrame:
+    """Documents written to a daily table twice, as after a replay, and read back."""
+    path = session.scratch_path(spark, label)
+    for _ in range(2):
+        write(df, path, F.lit(CREATED_AT).cast("timestamp").cast("date"))
+    return readers.read_event_table(spark, path)
+
+
+def written_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    back = _stored(spark, "alerts", A.run_engines(T.supported_events(spark, sf), "all", CREATED_AT), sinks.write_alerts)
+    return back.groupBy(F.col("rule.id").alias("rule_id"), F.col("alert.severity").alias("severity")).agg(F.count("*").alias("n"))
+
+
+def written_responses(spark: SparkSession, sf: str) -> DataFrame:
+    plan = P.plan_responses(A.run_engines(T.supported_events(spark, sf), "all", CREATED_AT), PLAYBOOKS, CREATED_AT)
+    back = _stored(spark, "responses", plan, sinks.write_responses)
+    return back.groupBy(F.col("playbook.id").alias("playbook_id"), F.col("alert.rule_id").alias("rule_id")).agg(F.count("*").alias("n"))
+
+
+def xml_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event's document, each eighth of them damaged in another way, with the reason it is rejected for."""
+    xml, kind = F.col("xml"), F.col("seq") % 8
+    damaged = (
+        F.when(kind == 1, F.concat(xml, xml))
+        .when(kind == 2, F.concat(xml, F.lit(" tail")))
+        .when(kind == 3, F.replace(xml, F.lit("</System>"), F.lit("")))
+        .when(kind == 4, F.regexp_replace(xml, "<EventID>.*</EventID>", "<EventID>99999999999</EventID>"))
+        .when(kind == 5, F.regexp_replace(xml, "<Computer>.*</Computer>", ""))
+        .when(kind == 6, F.regexp_replace(xml, '<Data Name="ProcessId">[^<]*</Data>', '<Data Name="ProcessId">x1</Data>'))
+        .when(kind == 0, F.concat(xml, F.lit("\n<!-- end -->")))
+    )
+    docs = T.xml_documents(T.flat_view(spark, sf, catalog.SUPPORTED_CODES)).select("seq", damaged.alias("xml"))
+    return N.normalize_xml(docs, keep=("seq",)).select("seq", "error_reason")
+
+
 # --- streaming -----------------------------------------------------------------------------------
 
 
@@ -705,7 +740,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         technique_coverage, engine_summary, filtered_alert_counts, collection_counts, zero_filled_counts,
         dashboard_totals, dashboard_rows, expected_rule_checks, unknown_cases, episode_sessions, case_classification,
         evaluation_counts, realtime_summary, count_maps, latest_events, alert_case_lookup, dedupe_records,
-        distinct_realtime_alerts, daily_upsert, stream_correlation, stream_evaluation, stream_rules_summary,
+        distinct_realtime_alerts, daily_upsert, written_alerts, written_responses, xml_rejects, stream_correlation, stream_evaluation, stream_rules_summary,
         stream_dedupe, stream_series, stream_consume,
     )
 }
