@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from huntframe.llm.arrow_text import slices
@@ -35,8 +35,8 @@ from huntframe.llm.word_hashes import BETWEEN_BLANKS, grams, words_of
 
 WORDS = 4
 PERCENT = 85
-HEAVY = 1 << 17
-HEAVY_IN_BATCH = 8
+HEAVY = 1 << 23
+HEAVY_IN_BATCH = 2
 BLOCK_SHINGLES = 1 << 19
 
 
@@ -56,7 +56,7 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
 
 
 def _heavy(docs: DataFrame, text: str, words: int) -> np.ndarray:
-    """Up to ``HEAVY`` shingles that repeat most, the most frequent one last."""
+    """Up to ``HEAVY`` shingles that repeat within the tasks' batches, the most frequent one last."""
 
     def count(batches):
         for batch in batches:
@@ -66,8 +66,16 @@ def _heavy(docs: DataFrame, text: str, words: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["shingle", "n"])
 
     found = docs.select(F.col(f"`{text}`")).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "shingle").limit(HEAVY).toArrow().column("shingle").to_numpy()  # HEAVY rows at most
-    return top[::-1].copy().view(np.uint64)
+    found = written(found, "frequent-shingles")
+    # the smallest count that leaves no more than HEAVY shingles
+    sizes = found.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    total = F.sum("k").over(Window.orderBy(F.desc("n")))
+    least = sizes.withColumn("total", total).filter(F.col("total") <= HEAVY).agg(F.min("n")).first()[0]
+    if least is None:
+        return np.zeros(0, np.uint64)
+    top = found.filter(F.col("n") >= least).toArrow()  # HEAVY rows at most
+    shingles, counts = top.column("shingle").to_numpy(), top.column("n").to_numpy()
+    return shingles[np.lexsort((shingles, counts))].view(np.uint64)
 
 
 def _prefix(shingles: np.ndarray, known: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
@@ -87,7 +95,7 @@ def _sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> Dat
     """``key, digest, n, same, prefix_key, prefix`` per row: ``same`` names the set, ``prefix_key`` the prefix."""
     heavy = _heavy(docs, text, words)
     order = np.argsort(heavy)
-    shared = docs.sparkSession.sparkContext.broadcast((heavy[order], order))
+    shared = docs.sparkSession.sparkContext.broadcast((heavy[order], order.astype(np.int32)))  # HEAVY entries at most, 12 bytes each
     name = lambda a: hashlib.blake2b(a.tobytes(), digest_size=16).hexdigest()
 
     def make(batches):
@@ -162,7 +170,9 @@ def find_links(ids: list[int], sets: list[np.ndarray], probe: list[bool], percen
         """Links ``i`` to all that are similar; returns them."""
         asked[i] = True
         mine = code[at[i] : at[i + 1]]
-        common = np.bincount(np.concatenate([listed[begin[c] : begin[c + 1]] for c in mine.tolist()]), minlength=m)
+        first, many = begin[mine], begin[mine + 1] - begin[mine]
+        places = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())  # of all lists of its shingles
+        common = np.bincount(listed[places], minlength=m)
         near = np.flatnonzero((100 + percent) * common >= percent * (sizes + sizes[i]))
         for j in near.tolist():
             if (r := root(j)) != (s := root(i)):
@@ -182,10 +192,13 @@ def find_links(ids: list[int], sets: list[np.ndarray], probe: list[bool], percen
     return found
 
 
-def _verified(members: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` links within each ``block`` of ``block, cls, probe, shingles`` rows; a task holds one block at a time."""
+def _verified(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """``a, b`` links within each ``block`` of ``block, cls, probe, packed`` rows; a task holds the sets of one block at a time."""
 
     def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
         block, held = None, []
 
         def closed():
@@ -196,73 +209,83 @@ def _verified(members: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            lists = batch.column(3)
-            for i, (key, cls, probe) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+            texts = pa.array(map(unpack.decompress, batch.column(3).to_pylist()), pa.large_binary()).cast(pa.large_string())
+            rows = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            for (key, cls, probe), shingles in zip(rows, shingle_sets(texts, words), strict=True):
                 if key != block:
                     yield closed()
                     block, held = key, []
-                held.append((cls, probe, lists[i].values.to_numpy(zero_copy_only=False).view(np.uint64)))
+                if not held or held[-1][0] != cls:  # a repeated row brings its text again
+                    held.append((cls, probe, shingles))
         yield closed()
 
-    ordered = members.select("block", "cls", "probe", "shingles").repartition("block").sortWithinPartitions("block", "cls")
+    ordered = members.select("block", "cls", "probe", "packed").repartition("block").sortWithinPartitions("block", "cls", F.desc("probe"))
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def _fetched(docs: DataFrame, members: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``cluster, cls, n, shingles`` of the members' texts."""
+def _fetched(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
+    """The members with their texts, compressed before they are shuffled: a text takes less room than its shingles."""
+    kind = docs.schema[key].dataType.simpleString()
 
-    def make(batches):
+    def pack(batches):
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column(3), words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["cluster", "cls", "n", "shingles"])
+            packed = pa.array([packer.compress((t or "").encode()) for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["key", "digest", "packed"])
 
     texts = docs.select(F.col(f"`{key}`").alias("key"), _digest(text).alias("digest"), F.col(f"`{text}`").alias("text"))
-    wanted = members.select(F.col("key").alias("wanted"), "digest", "cluster", "cls", "n")
-    found = texts.join(wanted, (texts["digest"] == wanted["digest"]) & texts["key"].eqNullSafe(wanted["wanted"]))
-    return found.select("cluster", "cls", "n", "text").mapInArrow(make, "cluster long, cls long, n long, shingles array<long>").dropDuplicates(["cls"])
+    texts = texts.mapInArrow(pack, f"key {kind}, digest string, packed binary")
+    wanted = members.withColumnRenamed("key", "wanted").withColumnRenamed("digest", "wanted_digest")
+    found = texts.join(wanted, (texts["digest"] == wanted["wanted_digest"]) & texts["key"].eqNullSafe(wanted["wanted"]))
+    return found.drop("key", "digest", "wanted", "wanted_digest")
 
 
-def _cluster_links(sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` links that connect what is connected, for ``cluster, cls, n, shingles`` rows."""
+def _placed(members: DataFrame, percent: int) -> DataFrame:
+    """Adds ``band``, ``small``, ``parts`` and ``part``: which block of its cluster a member belongs to."""
     band = F.floor(F.log("n") / math.log(100 / percent)).cast("int")  # sets that link are in one band or in neighbours
-    rows = sets.withColumn("band", band)
+    rows = members.withColumn("band", band)
     totals = rows.groupBy("cluster", "band").agg(F.sum("n").alias("size"))
     whole = totals.groupBy("cluster").agg(F.sum("size").alias("all"))
     cut = totals.join(whole, "cluster").select(
         "cluster", "band", (F.col("all") <= BLOCK_SHINGLES).alias("small"), F.ceil(F.col("size") / BLOCK_SHINGLES).cast("int").alias("parts")
     )
-    cut = written(cut, "cluster-parts")
-    rows = rows.join(cut, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    rows = written(rows, "cluster-rows")
+    return rows.join(cut, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+
+
+def _cluster_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """``a, b`` links that connect what is connected, for placed members with their texts."""
     name = lambda *c: F.concat_ws(":", *c)
     # the first part of a band is repeated in each of its parts
     to = F.when(F.col("small"), F.array(F.lit(-1))).when(F.col("part") > 0, F.array("part")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     one = rows.withColumn("to", F.explode(to)).withColumn("probe", F.lit(True))
     one = one.withColumn("block", F.when(F.col("small"), name("cluster")).otherwise(name("cluster", "band", "to")))
-    first = written(_verified(one, percent), "links")
+    first = written(_verified(one, words, percent), "links")
     # what is left: in large clusters, members outside the largest component against all parts of their band and its neighbours
     large = rows.filter(~F.col("small"))
-    linked = components(first.join(large.select(F.col("cls").alias("a")), "a", "left_semi"), "large")
-    known = large.select("cluster", "cls", "band").join(linked.withColumnRenamed("node", "cls"), "cls", "left")
+    narrow = written(large.select("cluster", "cls", "n", "band", "parts").distinct(), "large-members")
+    linked = components(first.join(narrow.select(F.col("cls").alias("a")), "a", "left_semi"), "large")
+    known = narrow.join(linked.withColumnRenamed("node", "cls"), "cls", "left")
     known = written(known.withColumn("label", F.coalesce("label", "cls")), "large-labels")
     counts = known.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k"))
     main = counts.groupBy("cluster").agg(F.max(F.struct("k", "label")).alias("top")).select("cluster", F.col("top.label").alias("main"))
-    outside = known.join(main, "cluster").filter("label <> main").select("cls")
-    others = written(large.join(outside, "cls", "left_semi"), "outside")
-    probes = others.groupBy("cluster", "band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("groups"))
+    outside = written(known.join(main, "cluster").filter("label <> main").select("cluster", "cls", "n", "band"), "outside")
+    probes = outside.groupBy("cluster", "band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("groups"))
     probes = probes.withColumnRenamed("band", "probe_band")
     near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     pair = name("cluster", "probe_band", "group", "band", "part")
     targets = large.withColumn("probe_band", near).join(probes, ["cluster", "probe_band"]).withColumn("group", spread("groups"))
-    targets = targets.select(pair.alias("block"), "cls", F.lit(False).alias("probe"), "shingles")
-    parts = cut.filter(~F.col("small")).select("cluster", "band", F.col("parts").alias("target_parts"))
-    asking = others.select("cluster", F.col("band").alias("probe_band"), "cls", "shingles").join(probes, ["cluster", "probe_band"])
+    targets = targets.select(pair.alias("block"), "cls", F.lit(False).alias("probe"), "packed")
+    parts = narrow.select("cluster", "band", F.col("parts").alias("target_parts")).distinct()
+    others = large.join(outside.select("cls"), "cls", "left_semi")
+    asking = others.select("cluster", F.col("band").alias("probe_band"), "cls", "packed").join(probes, ["cluster", "probe_band"])
     asking = asking.withColumn("group", F.pmod(F.xxhash64("cls"), F.col("groups")).cast("int"))
     asking = asking.withColumn("band", F.explode(F.array(F.col("probe_band") - 1, F.col("probe_band"), F.col("probe_band") + 1)))
     asking = asking.join(parts, ["cluster", "band"]).withColumn("part", spread("target_parts"))
-    asking = asking.select(pair.alias("block"), "cls", F.lit(True).alias("probe"), "shingles")
-    return first.unionByName(_verified(asking.unionByName(targets), percent))
+    asking = asking.select(pair.alias("block"), "cls", F.lit(True).alias("probe"), "packed")
+    return first.unionByName(_verified(asking.unionByName(targets), words, percent))
 
 
 def joined_documents(
@@ -280,8 +303,9 @@ def joined_documents(
     clusters = components(_stars(buckets, percent), "clusters").withColumnRenamed("node", "gid")
     expanded = members.join(clusters, "gid", "left").filter("label is not null or members > 1")
     expanded = expanded.withColumn("cluster", F.coalesce("label", "gid"))
-    sets = written(_fetched(docs, expanded, key, text, words), "cluster-sets")
-    linked = components(_cluster_links(sets, percent), "linked").withColumnRenamed("node", "cls")
+    narrow = written(_placed(expanded.select("cluster", "cls", "key", "digest", "n"), percent), "cluster-members")
+    rows = written(_fetched(docs, narrow, key, text), "cluster-texts")
+    linked = components(_cluster_links(rows, words, percent), "linked").withColumnRenamed("node", "cls")
     named = classes.join(linked, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = named.join(least, "label").select("same", "component_id")
