@@ -37,7 +37,7 @@ WORDS = 4
 PERCENT = 85
 HEAVY = 1 << 23
 HEAVY_IN_BATCH = 2
-BLOCK_SHINGLES = 1 << 19
+BLOCK_SHINGLES = 1 << 21
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
