@@ -35,7 +35,7 @@ from huntframe.llm.word_hashes import BETWEEN_BLANKS, grams, words_of
 
 WORDS = 4
 PERCENT = 85
-HEAVY = 1 << 23
+HEAVY = 1 << 21
 HEAVY_IN_BATCH = 2
 BLOCK_SHINGLES = 1 << 21
 
