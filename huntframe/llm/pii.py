@@ -6,11 +6,17 @@ Plain detection per kind, leftmost and without overlap: email, ip, card (13 to 1
 Disguised detection runs the same finders on a normalised text. Transducers rewrite
 
 * characters that look like ASCII ones (compatibility forms by rule, and a table of Cyrillic and Greek ones) and drop invisible ones;
-* digits spelled in English, German, French or Spanish, where at least ``SPELLED_RUN`` stand in a row, along with the blanks between them;
-* ``[at]``, ``(dot)`` and the like in brackets, and bare ``at`` and ``dot`` words where they join words the way an address does;
+* digits spelled in English, German, French or Spanish along with the blanks between them, where a chain of digits, marks and blanks holds
+  as many digits as the shortest finding;
+* ``[at]``, ``(dot)`` and the like in brackets, bare ``at`` and ``dot`` words of these languages, in any mixture with brackets and real marks,
+  where what they join parses as an address, and bare ``dot`` words between digits;
 
 and note for each rewritten part where it came from. A finding that touches a rewritten part is mapped back to the source characters and
-added, unless it lies within a plain finding of its kind. Plain findings always stay.
+added, unless it lies within a plain finding of its kind. Plain findings always stay. Texts are searched with and without their spelled
+digits rewritten; fewer than ``SPELLED_RUN`` of those do not extend what is found without them.
+
+A bare ``at`` needs a host of which no label but the last is a function word, and a last label of letters that is none either, unless it is an
+ending too (``it``, ``at``, ``de``). Such an ending, and a host with real dots only, need a local part that is no function word.
 
 Spans count code points, the end is exclusive. Null texts count as empty. Repeated rows give repeated results.
 """
@@ -20,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -29,6 +35,7 @@ from huntframe.llm.arrow_text import map_rows
 
 KINDS = ("email", "ip", "card", "phone")
 SPELLED_RUN = 3
+SHORTEST = 4  # digits of an ip
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -98,15 +105,24 @@ LOOKALIKES = {
 # Spelled digits.
 SPELLED = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8",
-    "nine": "9", "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6",
+    "nine": "9", "null": "0", "un": "1", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6",
     "sieben": "7", "acht": "8", "neun": "9", "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7",
     "huit": "8", "neuf": "9", "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6",
     "siete": "7", "ocho": "8", "nueve": "9",
 }
-# Words and endings of disguised addresses.
-ENDINGS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "eu", "uk", "de", "fr", "es")
+# Words of disguised addresses.
 AT_WORDS = ("at", "arobase", "arroba", "klammeraffe")
 DOT_WORDS = ("dot", "punkt", "point", "punto")
+# Function words, and which of those are endings of hosts, too.
+FUNCTION_WORDS = frozenset(
+    """a an the this that these those some any each every no which what one i you he she it we they me him her us them my your his its our
+    their and or but nor if of in on at to for from by with as into onto over under than then so not is are was were be been am has had do
+    does did when where who how there here der die das den dem des ein eine einen einem einer und oder aber wenn von im am um zu zum zur mit
+    für auf aus bei nach ist sind war sich nicht er sie es wir ihr ich du le la les un une et ou mais si de du au aux en dans sur par pour avec
+    sans ce cet cette ces est sont je tu il elle nous vous ils elles ne pas que qui el los las una y o pero del al con sin por para se su sus
+    lo esto este esta ese esa""".split()
+) | {*AT_WORDS, *DOT_WORDS}
+ENDINGS = frozenset("ai al am an as at au be by de do es in is it la me my ne no se si so st su to us".split())
 
 
 def _lookalikes() -> dict[str, str]:
@@ -122,13 +138,19 @@ def _lookalikes() -> dict[str, str]:
 
 HOMOGLYPHS = _lookalikes()
 _DIGIT_WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
-_ATS, _DOTS, _ENDINGS = "|".join(AT_WORDS), "|".join(DOT_WORDS), "|".join(ENDINGS)
-_WORD = r"[A-Za-z0-9_%+-]"
-_BRACKET = re.compile(rf"[ ]?[\[({{<]\s?(?:(?P<at>{_ATS}|@)|(?:{_DOTS}|\.))\s?[\])}}>][ ]?", re.I)
-_ADDRESS = re.compile(rf"(?<={_WORD})[ ](?:at)[ ](?={_WORD}{{1,63}}(?:(?:[ ]dot[ ]|\.){_WORD}{{1,63}}){{0,4}}[ ]dot[ ](?:{_ENDINGS})\b)|"
-                      rf"(?<=[A-Za-z0-9])[ ](?:{_DOTS})[ ](?=[A-Za-z0-9])", re.I)
-_SPELLED_RUN = re.compile(rf"(?<![^\W_]){_DIGIT_WORD}(?:[ -]{_DIGIT_WORD})*(?![^\W_])", re.I)
-_ONE = re.compile(_DIGIT_WORD, re.I)
+_ATS, _DOTS = "|".join(AT_WORDS), "|".join(DOT_WORDS)
+_BLANKS = r"[^\S\n]*+\n?+[^\S\n]*+"
+_GAP = rf"(?=\s){_BLANKS}"
+_LABEL = r"[A-Za-z0-9_%+-]"
+_BRACKET = re.compile(rf"[\[({{<]\s*+(?:(?P<at>{_ATS}|@)|(?:{_DOTS}|\.))\s*+[\])}}>]", re.I)
+_BARE_AT = re.compile(rf"(?<={_LABEL}){_GAP}(?:{_ATS}){_GAP}(?={_LABEL})", re.I)
+_BARE_DOT = re.compile(rf"(?<={_LABEL}){_GAP}(?:{_DOTS}){_GAP}(?={_LABEL})", re.I)
+_DOT = re.compile(rf"\.|{_BLANKS}[\[({{<]\s*+(?:{_DOTS}|\.)\s*+[\])}}>]{_BLANKS}|{_GAP}(?:{_DOTS}){_GAP}", re.I)
+_HOST_LABEL = re.compile(r"[A-Za-z0-9-]++")
+_ITEM = rf"(?:[0-9]++|(?<![^\W_]){_DIGIT_WORD}(?![^\W_]))"
+_CHAIN = re.compile(rf"{_ITEM}(?:(?:[\s().-]|(?<=\s)(?:{_DOTS})(?=\s)|[\[{{<]|(?<=[\[({{<])(?:{_DOTS})(?=[\])}}>])|[\]}}>])*+{_ITEM})*", re.I)
+_WORDS = re.compile(r"[^\W\d_]+")
+_SIGN = re.compile("@")
 _PLUS = re.compile(r"\bplus[ ](?=[0-9])", re.I)
 
 
@@ -149,6 +171,11 @@ class Aligned:
             b = self.sources[last][0] + end - self.starts[last]
         return a, b, b - a != end - start or any(self.made[first : last + 1])  # dropped characters have no part
 
+    def digits(self, start: int, end: int) -> int:
+        """How many spelled digits a span of the present text holds."""
+        first, last = bisect_right(self.starts, start) - 1, bisect_right(self.starts, end - 1)
+        return sum(self.made[k] and self.sources[k][1] - self.sources[k][0] > 1 and self.text[self.starts[k]].isdigit() for k in range(first, last))
+
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replaces spans of the present text, given in order and without overlap."""
         if not edits:
@@ -186,54 +213,144 @@ class Aligned:
         self.starts, self.sources, self.made = starts or [0], sources or [(0, 0)], made or [False]
 
 
-def _wanted(text: str) -> tuple[bool, bool, bool]:
-    """Whether a text can hold a run of spelled digits, a mark in brackets, or bare words for marks; each test is one quick pass."""
+def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
+    """Spelled digits of chains that hold enough digits for a finding, each with the blanks up to the next spelled one."""
+    known = sum(map(SPELLED.__contains__, _WORDS.findall(text.lower())))
+    if not known or known < SHORTEST and known + sum(map(str.isdigit, text)) < SHORTEST:
+        return []
+    edits = []
+    for chain in _CHAIN.finditer(text):
+        words = [w for w in _WORDS.finditer(text, *chain.span()) if w[0].lower() in SPELLED]
+        if words and len(words) + sum(map(str.isdigit, chain[0])) >= SHORTEST:
+            for w, after in zip(words, [*words[1:], None], strict=True):
+                joined = after is not None and not text[w.end() : after.start()].strip(" -")
+                edits.append((w.start(), after.start() if joined else w.end(), SPELLED[w[0].lower()]))
+    return edits
+
+
+def _host_end(text: str, start: int, bare_at: bool, local: str) -> int:
+    """End of the longest host at ``start`` whose labels may stand in an address, or -1."""
+    label = _HOST_LABEL.match(text, start)
+    if not label:
+        return -1
+    best, real, weak_local = -1, True, local.lower() in FUNCTION_WORDS
+    while dot := _DOT.match(text, label.end()):
+        if bare_at and label[0].lower() in FUNCTION_WORDS:
+            break
+        if not (label := _HOST_LABEL.match(text, dot.end())):
+            break
+        real = real and dot[0] == "."
+        last = label[0].lower()
+        stray = last in FUNCTION_WORDS and last not in ENDINGS
+        if bare_at:
+            stray = stray or not (last.isalpha() and len(last) > 1) or weak_local and (real or last in FUNCTION_WORDS)
+        if dot[0] == "." and not bare_at or not stray:
+            best = label.end()
+    return best
+
+
+def _mark_edits(text: str) -> list[tuple[int, int, str]]:
+    """Marks in brackets, bare words that are marks of an address, and bare dots between digits."""
+    edits, dots, ats, last = {}, {}, [], 0
+    if any(c in text for c in "[({<"):
+        for m in _BRACKET.finditer(text):
+            start, end = m.start(), m.end()
+            while start > last and text[start - 1].isspace():
+                start -= 1
+            while end < len(text) and text[end].isspace():
+                end += 1
+            last = end
+            edits[start] = (start, end, "@" if m["at"] else ".")
+            if m["at"]:
+                ats.append((start, end, False))
+            else:
+                dots[end] = start
     low = text.lower()
-    spelled = sum(map(SPELLED.__contains__, low.replace("-", " ").split(" "))) >= SPELLED_RUN - 2
-    return spelled, any(c in text for c in "[({<"), any(w in low for w in DOT_WORDS)
-
-
-def normalise(text: str) -> Aligned | None:
-    """The rewritten text with its alignment, or None where there is nothing to rewrite."""
-    found = () if text.isascii() else HOMOGLYPHS.keys() & set(text)
-    if not found and not any(_wanted(text)):
-        return None
+    bare = {m.start(): m.end() for m in _BARE_DOT.finditer(text)} if any(w in low for w in DOT_WORDS) else {}
+    dots.update((end, start) for start, end in bare.items())
+    for start, end in bare.items():
+        if text[start - 1].isdigit() and text[end].isdigit():
+            edits[start] = (start, end, ".")
+    ats += [(*m.span(), True) for m in _BARE_AT.finditer(text)]
+    if bare:
+        ats += [(m.start(), m.end(), False) for m in _SIGN.finditer(text)]
+    starts, done = list(bare), 0
+    for start, end, bare_at in sorted(ats):
+        if start < done:
+            continue
+        first = start
+        while first > done:
+            if text[first - 1].isascii() and (text[first - 1].isalnum() or text[first - 1] in "._%+-"):
+                first -= 1
+            elif first < start and dots.get(first, -1) >= done:
+                first = dots[first]
+            else:
+                break
+        near = start
+        while near > first and text[near - 1] not in "." and not text[near - 1].isspace():
+            near -= 1
+        if first == start or (stop := _host_end(text, end, bare_at, text[near:start])) < 0:
+            continue
+        if bare_at:
+            edits[start] = (start, end, "@")
+        for a in starts[bisect_left(starts, first) : bisect_left(starts, stop)]:
+            edits[a] = (a, bare[a], ".")
+        done = stop
+    return sorted(edits.values())
+
+
+def _plain_letters(text: str) -> Aligned:
+    """The text with look-alikes rewritten."""
     a = Aligned(text)
+    found = () if text.isascii() else HOMOGLYPHS.keys() & set(text)
     if found:
         glyph = re.compile("[" + "".join(map(re.escape, sorted(found))) + "]")
         a.rewrite([(m.start(), m.end(), HOMOGLYPHS[m[0]]) for m in glyph.finditer(text)])
-    spelled, brackets, dots = _wanted(a.text)
-    if spelled:
-        edits = []
-        for m in _SPELLED_RUN.finditer(a.text):
-            words = list(_ONE.finditer(a.text, *m.span()))
-            if len(words) >= SPELLED_RUN:
-                ends = [w.start() for w in words[1:]] + [m.end()]
-                edits += [(w.start(), end, SPELLED[w[0].lower()]) for w, end in zip(words, ends, strict=True)]
+    return a
+
+
+def normalise(text: str) -> Aligned | None:
+    """The rewritten text with its alignment, or None where there is nothing to rewrite."""
+    a = _plain_letters(text)
+    if edits := _spelled_edits(a.text):
         a.rewrite(edits)
-        if edits:
-            a.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(a.text)])
-    if brackets:
-        a.rewrite([(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKET.finditer(a.text)])
-    if dots:
-        a.rewrite([(m.start(), m.end(), "@" if m[0].strip().lower() in AT_WORDS else ".") for m in _ADDRESS.finditer(a.text)])
+        a.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(a.text)])
+    a.rewrite(_mark_edits(a.text))
     return a if a.text != text else None
 
 
 def find_spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
-    """Plain spans by kind, and those that only the normalised text shows, by kind."""
+    """Plain spans by kind, and those that only the normalised texts show, by kind."""
     plain = plain_spans(text)
     added = {kind: [] for kind in KINDS}
-    aligned = normalise(text)
-    if aligned is not None:
+    marked = _plain_letters(text)
+    spelled = normalise(text) if _spelled_edits(marked.text) else None
+    marked.rewrite(_mark_edits(marked.text))
+    if marked.text != text:
         for kind, find in FINDERS.items():
-            for start, end in find(aligned.text):
-                a, b, made = aligned.source(start, end)
+            for start, end in find(marked.text):
+                a, b, made = marked.source(start, end)
                 if made and not _within(plain[kind], a, b):
                     added[kind].append((a, b))
+    if spelled is not None:
+        for kind, find in FINDERS.items():
+            known, more = added[kind], []
+            for start, end in find(spelled.text):
+                a, b, made = spelled.source(start, end)
+                if not made or _within(plain[kind], a, b) or _within(known, a, b):
+                    continue
+                if spelled.digits(start, end) >= SPELLED_RUN or not (_meets(plain[kind], a, b) or _meets(known, a, b)):
+                    more.append((a, b))
+            added[kind] = sorted([s for s in known if not _within(more, *s)] + more)
     return plain, added
 
 
+def _meets(spans: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether one of the given spans, in order and apart, shares a place with a to b."""
+    k = bisect_left(spans, (b, b)) - 1
+    return k >= 0 and spans[k][1] > a
+
+
 def _within(spans: list[tuple[int, int]], a: int, b: int) -> bool:
     """Whether a single one of the given spans, in order and apart, holds all of a to b."""
     k = bisect_right(spans, (a, 1 << 60)) - 1

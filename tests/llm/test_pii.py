@@ -109,3 +109,41 @@ def test_query_equals_brute_force(spark, sf_dir):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(base[k]) for k in ("email", "ip", "card", "phone")]
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "parts"),
+    [
+        ("mail jane at example [dot] com now", "email", ["jane at example [dot] com"]),
+        ("hans at firma punkt de", "email", ["hans at firma punkt de"]),
+        ("jean arobase exemple point fr", "email", ["jean arobase exemple point fr"]),
+        ("ana arroba correo punto es", "email", ["ana arroba correo punto es"]),
+        ("anna at firma dot it", "email", ["anna at firma dot it"]),
+        ("anna at firma dot at", "email", ["anna at firma dot at"]),
+        ("anna at firma.example", "email", ["anna at firma.example"]),
+        ("anna [at] firma dot museum", "email", ["anna [at] firma dot museum"]),
+        ("anna@firma dot ch", "email", ["anna@firma dot ch"]),
+        ("x at m dot b dot c dot d dot e dot f dot g dot com", "email", ["x at m dot b dot c dot d dot e dot f dot g dot com"]),
+        ("write john dot doe at mail dot example dot org today", "email", ["john dot doe at mail dot example dot org"]),
+        ("host one nine two dot one six eight dot one dot one end", "ip", ["one nine two dot one six eight dot one dot one"]),
+        ("host 192 dot 168 dot 1 dot one", "ip", ["192 dot 168 dot 1 dot one"]),
+        ("host zehn 10 punkt null punkt null punkt eins", "ip", ["10 punkt null punkt null punkt eins"]),
+        ("le +33 un deux trois quatre cinq six sept huit neuf", "phone", ["+33 un deux trois quatre cinq six sept huit neuf"]),
+        ("le cinq cinq +33 un deux", "phone", []),
+        ("４１１１１１１１１１１１１１１１ one more", "card", ["４１１１１１１１１１１１１１１１"]),
+        ("call +49 30 1234567 one more time", "phone", []),
+        ("we arrived at the point in question, look at this dot com story", "email", []),
+        ("he looked at it. Then at home. In the end", "email", []),
+    ],
+)
+def test_mixed_disguises(text, kind, parts):
+    plain, added = pii.find_spans(text)
+    assert plain == brute(text)
+    assert [text[a:b] for a, b in added[kind]] == parts
+
+
+def test_hostile_marks_take_linear_time():
+    start = time.time()
+    for text in ["a dot " * 60000, "a at b dot " * 40000, "a@b dot c " * 40000, " [dot] " * 50000, "[" + " " * 300000, "a" + " " * 300000, "one dot " * 50000, "1 (" * 90000, "at dot " * 50000]:
+        pii.find_spans(text)
+    assert time.time() - start < 60
