@@ -31,7 +31,6 @@ ORACLES: dict[str, str] = {
     "op1_warc_archives": warc.SQL,
     "op3_quality_rules": quality.SQL,
     "op4_slot_shards": sharding.SQL,
-    "op8_grouped_prefix_join": op8_grouped_prefix_join,
     "op9_winnowing": decontamination.SQL,
     "op10_chat_format": chat_format.SQL,
 }
