@@ -9,11 +9,11 @@ A document's set holds its distinct 4-word shingles (64-bit hashes). Two documen
    group. Only groups meet in the prefix buckets: a task streams a bucket in the order of sizes and yields a star of size-compatible
    groups, not all pairs. The stars' components are clusters: links cannot leave them.
 3. Clusters are expanded to their member classes, whose whole sets are verified exactly. A cluster above ``BLOCK_SHINGLES`` is cut into
-   blocks by size band and hash. First each block is verified along with the first block of its band; after that only blocks of members
-   outside the cluster's largest component are compared to the others, as a link that still matters has such an end. Within a
-   block the same holds: pivots first, then whoever is not in the largest component against all.
+   parts by size band and hash, and each pair of parts of one band or of neighbours is a block of its own, so that every pair of members
+   whose sizes allow a link is verified once. Links are counted where they are found, weighted by the classes' copies; of the links
+   themselves a block hands on those that connect what is connected.
 
-Memory: a task holds two blocks. Null and empty texts have empty sets and link with nothing. Repeated rows share a class. A null
+Memory: a task holds two parts. Null and empty texts have empty sets and link with nothing. Repeated rows share a class. A null
 document id counts as larger than all others.
 """
 
@@ -146,54 +146,65 @@ def _stars(buckets: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def find_links(ids: list[int], sets: list[np.ndarray], probe: list[bool], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected among the sets; pairs of two members that are both not ``probe`` need not be looked at."""
-    m = len(ids)
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(m), sizes)
+def links_of(ids: list[int], sets: list[np.ndarray], sides: list[int], copies: list[int], percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that connect what is connected, and per set the copies of all sets it links to.
+
+    Sets of side 0 are compared with those of side 1, sets of side 2 with one another. Shingles that many sets hold are counted by a
+    matrix product, the others by their lists.
+    """
+    m, side = len(ids), np.array(sides)
+    sizes, weights = np.array([len(s) for s in sets]), np.array(copies, np.float64)
+    rows, columns = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    counts, found = np.zeros(m), []
+    if not len(rows) or not len(columns):
+        return found, counts
+    owner = np.repeat(np.arange(m, dtype=np.int32), sizes)
     values, code = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(code, kind="stable")
-    listed, begin = owner[order], np.searchsorted(code[order], np.arange(len(values) + 1))
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    parent = list(range(m))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    found: list[tuple[int, int]] = []
-    asked = np.zeros(m, bool)
-
-    def ask(i: int) -> np.ndarray:
-        """Links ``i`` to all that are similar; returns them."""
-        asked[i] = True
-        mine = code[at[i] : at[i + 1]]
-        first, many = begin[mine], begin[mine + 1] - begin[mine]
-        places = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())  # of all lists of its shingles
-        common = np.bincount(listed[places], minlength=m)
-        near = np.flatnonzero((100 + percent) * common >= percent * (sizes + sizes[i]))
-        for j in near.tolist():
-            if (r := root(j)) != (s := root(i)):
-                parent[r] = s
-                found.append((ids[i], ids[j]))
-        return near
-
-    reached = np.zeros(m, bool)
-    for i in np.flatnonzero(probe).tolist():
-        if not reached[i]:
-            reached[ask(i)] = True
-    roots = np.array([root(i) for i in range(m)])
-    largest = np.bincount(roots, minlength=m).argmax() if all(probe) else -1  # members that don't ask may belong together unseen
-    for i in np.flatnonzero(probe).tolist():
-        if not asked[i] and roots[i] != largest:
-            ask(i)
-    return found
-
-
-def _verified(members: DataFrame, words: int, percent: int) -> DataFrame:
-    """``a, b`` links within each ``block`` of ``block, cls, probe, packed`` rows; a task holds the sets of one block at a time."""
+    code, many = code.astype(np.int32), np.bincount(code)
+    often = many > max(8, m // 8)
+    place = np.cumsum(often) - 1
+    dense = np.zeros((m, int(often.sum())), np.float32)
+    at = often[code]
+    dense[owner[at], place[code[at]]] = 1
+    others = np.ascontiguousarray(dense[columns].T)
+    owner, code = owner[~at], code[~at]
+    begin = np.searchsorted(owner, np.arange(m + 1))
+    listed = owner[np.argsort(code, kind="stable")]
+    lengths = np.bincount(code, minlength=len(values))
+    ends = np.cumsum(lengths)
+    label = np.arange(m)
+    step = max(1, (1 << 20) // len(columns))
+    for first in range(0, len(rows), step):
+        some = rows[first : first + step]
+        common = (dense[some] @ others).astype(np.int64)
+        for k, i in enumerate(some.tolist()):
+            mine = code[begin[i] : begin[i + 1]]
+            length = lengths[mine]
+            if length.sum() > len(mine):  # else no other set holds any of them
+                places = np.repeat(ends[mine] - np.cumsum(length), length) + np.arange(length.sum())
+                common[k] += np.bincount(listed[places], minlength=m)[columns]
+            elif side[i] == 2:
+                common[k, i] += len(mine)
+        near = (100 + percent) * common >= percent * (sizes[some][:, None] + sizes[columns])
+        near &= some[:, None] != columns
+        counts[some] += near @ weights[columns]
+        if side[some[0]] == 0:
+            counts[columns] += weights[some] @ near
+        for k, i in enumerate(some.tolist()):
+            apart = columns[near[k]]
+            apart = apart[label[apart] != label[i]]
+            if len(apart):
+                joined, heads = np.unique(label[apart], return_index=True)
+                found += [(ids[i], ids[j]) for j in apart[heads].tolist()]
+                label[np.isin(label, joined)] = label[i]
+    return found, counts
+
+
+def _verified(members: DataFrame, percent: int, words: int) -> DataFrame:
+    """``a, b, n`` of the links within each ``block`` of ``block, side, cls, copies, packed`` rows; a task holds one block's sets at a time.
+
+    Rows of two classes connect what is connected; a row of one class counts the documents it links to in the block.
+    """
 
     def run(batches):
         import zstandard
@@ -202,25 +213,28 @@ def _verified(members: DataFrame, words: int, percent: int) -> DataFrame:
         block, held = None, []
 
         def closed():
-            links = []
+            links, counted = [], []
             if len(held) > 1:
-                ids, probe, sets = zip(*held, strict=True)
-                links = find_links(list(ids), list(sets), list(probe), percent)
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+                ids, side, copies, sets = map(list, zip(*held, strict=True))
+                links, counts = links_of(ids, sets, side, copies, percent)
+                counted = [(x, int(n)) for x, n in zip(ids, counts.tolist(), strict=True) if n]
+            a, b = [x for x, _ in links] + [x for x, _ in counted], [y for _, y in links] + [x for x, _ in counted]
+            n = [0] * len(links) + [k for _, k in counted]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], names=["a", "b", "n"])
 
         for batch in batches:
-            texts = pa.array(map(unpack.decompress, batch.column(3).to_pylist()), pa.large_binary()).cast(pa.large_string())
-            rows = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
-            for (key, cls, probe), shingles in zip(rows, shingle_sets(texts, words), strict=True):
+            texts = pa.array(map(unpack.decompress, batch.column(4).to_pylist()), pa.large_binary()).cast(pa.large_string())
+            rows = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
+            for (key, cls, side, copies), shingles in zip(rows, shingle_sets(texts, words), strict=True):
                 if key != block:
                     yield closed()
                     block, held = key, []
                 if not held or held[-1][0] != cls:  # a repeated row brings its text again
-                    held.append((cls, probe, shingles))
+                    held.append((cls, side, copies, shingles))
         yield closed()
 
-    ordered = members.select("block", "cls", "probe", "packed").repartition("block").sortWithinPartitions("block", "cls", F.desc("probe"))
-    return ordered.mapInArrow(run, "a long, b long")
+    ordered = members.select("block", "cls", "side", "copies", "packed").repartition("block").sortWithinPartitions("block", "cls")
+    return ordered.mapInArrow(run, "a long, b long, n long")
 
 
 def _fetched(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
@@ -243,7 +257,7 @@ def _fetched(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFr
 
 
 def _placed(members: DataFrame, percent: int) -> DataFrame:
-    """Adds ``band``, ``small``, ``parts`` and ``part``: which block of its cluster a member belongs to."""
+    """Adds ``band``, ``small``, ``parts`` and ``part``, which block of its cluster a member belongs to, and the neighbour bands' ``before``, ``after``."""
     band = F.floor(F.log("n") / math.log(100 / percent)).cast("int")  # sets that link are in one band or in neighbours
     rows = members.withColumn("band", band)
     totals = rows.groupBy("cluster", "band").agg(F.sum("n").alias("size"))
@@ -251,68 +265,57 @@ def _placed(members: DataFrame, percent: int) -> DataFrame:
     cut = totals.join(whole, "cluster").select(
         "cluster", "band", (F.col("all") <= BLOCK_SHINGLES).alias("small"), F.ceil(F.col("size") / BLOCK_SHINGLES).cast("int").alias("parts")
     )
+    cut = written(cut, "cluster-bands")
+    beside = lambda by, label: cut.select("cluster", (F.col("band") + by).alias("band"), F.col("parts").alias(label))
+    cut = cut.join(beside(1, "before"), ["cluster", "band"], "left").join(beside(-1, "after"), ["cluster", "band"], "left")
     return rows.join(cut, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
 
 
-def _cluster_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """``a, b`` links that connect what is connected, for placed members with their texts."""
-    name = lambda *c: F.concat_ws(":", *c)
-    # the first part of a band is repeated in each of its parts
-    to = F.when(F.col("small"), F.array(F.lit(-1))).when(F.col("part") > 0, F.array("part")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    one = rows.withColumn("to", F.explode(to)).withColumn("probe", F.lit(True))
-    one = one.withColumn("block", F.when(F.col("small"), name("cluster")).otherwise(name("cluster", "band", "to")))
-    first = written(_verified(one, words, percent), "links")
-    # what is left: in large clusters, members outside the largest component against all parts of their band and its neighbours
-    large = rows.filter(~F.col("small"))
-    narrow = written(large.select("cluster", "cls", "n", "band", "parts").distinct(), "large-members")
-    linked = components(first.join(narrow.select(F.col("cls").alias("a")), "a", "left_semi"), "large")
-    known = narrow.join(linked.withColumnRenamed("node", "cls"), "cls", "left")
-    known = written(known.withColumn("label", F.coalesce("label", "cls")), "large-labels")
-    counts = known.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k"))
-    main = counts.groupBy("cluster").agg(F.max(F.struct("k", "label")).alias("top")).select("cluster", F.col("top.label").alias("main"))
-    outside = written(known.join(main, "cluster").filter("label <> main").select("cluster", "cls", "n", "band"), "outside")
-    probes = outside.groupBy("cluster", "band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("groups"))
-    probes = probes.withColumnRenamed("band", "probe_band")
-    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    pair = name("cluster", "probe_band", "group", "band", "part")
-    targets = large.withColumn("probe_band", near).join(probes, ["cluster", "probe_band"]).withColumn("group", spread("groups"))
-    targets = targets.select(pair.alias("block"), "cls", F.lit(False).alias("probe"), "packed")
-    parts = narrow.select("cluster", "band", F.col("parts").alias("target_parts")).distinct()
-    others = large.join(outside.select("cls"), "cls", "left_semi")
-    asking = others.select("cluster", F.col("band").alias("probe_band"), "cls", "packed").join(probes, ["cluster", "probe_band"])
-    asking = asking.withColumn("group", F.pmod(F.xxhash64("cls"), F.col("groups")).cast("int"))
-    asking = asking.withColumn("band", F.explode(F.array(F.col("probe_band") - 1, F.col("probe_band"), F.col("probe_band") + 1)))
-    asking = asking.join(parts, ["cluster", "band"]).withColumn("part", spread("target_parts"))
-    asking = asking.select(pair.alias("block"), "cls", F.lit(True).alias("probe"), "packed")
-    return first.unionByName(_verified(asking.unionByName(targets), words, percent))
+def _tiles(rows: DataFrame) -> DataFrame:
+    """The placed members by ``block``, the pair of parts that is verified there, and their ``side`` of it; each pair of members meets once."""
+    tile = lambda a, i, b, j: F.concat_ws(":", "cluster", a, i, b, j)
+    row = lambda block, side: F.struct(block.alias("block"), side.cast("int").alias("side"))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    band, part = F.col("band"), F.col("part")
+    own = F.transform(
+        upto("parts"), lambda q: row(tile(band, F.least(part, q), band, F.greatest(part, q)), F.when(part == q, 2).when(part < q, 0).otherwise(1))
+    )
+    after = F.transform(upto("after"), lambda q: row(tile(band, part, band + 1, q), F.lit(0)))
+    before = F.transform(upto("before"), lambda q: row(tile(band - 1, q, band, part), F.lit(1)))
+    all_ = F.when(F.col("small"), F.array(row(F.col("cluster").cast("string"), F.lit(2)))).otherwise(F.concat(own, after, before))
+    return rows.withColumn("tile", F.explode(all_)).select("tile.block", "tile.side", "cls", "copies", "packed")
 
 
 def joined_documents(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
-    """``key, n_shingles, component_id, digest``: per row its set's size and the smallest key it reaches by links."""
+    """``key, n_shingles, component_id, n_links, digest``: per row its set's size, the smallest key it reaches by links, and how many other
+    rows it links to."""
     made = written(_sets(docs, key, text, words, percent).withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
     full = made.filter("n > 0")
-    classes = written(full.groupBy("same").agg(F.min("row").alias("cls"), F.min("key").alias("least")), "classes")
-    own = full.drop("prefix").join(classes.select(F.col("cls").alias("row")), "row", "left_semi").withColumnRenamed("row", "cls")
+    classes = written(full.groupBy("same").agg(F.min("row").alias("cls"), F.min("key").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
+    own = full.drop("prefix").join(classes.select(F.col("cls").alias("row"), "copies"), "row").withColumnRenamed("row", "cls")
     groups = own.groupBy("n", "prefix_key").agg(F.min("cls").alias("gid"), F.count(F.lit(1)).alias("members"))
-    members = written(own.join(groups, ["n", "prefix_key"]).select("gid", "members", "cls", "key", "digest", "n"), "group-members")
+    members = written(own.join(groups, ["n", "prefix_key"]).select("gid", "members", "cls", "copies", "key", "digest", "n"), "group-members")
     leaders = members.filter("gid = cls").select(F.col("gid").alias("row"))
     buckets = full.select("row", "n", "prefix").join(leaders, "row").select(F.explode("prefix").alias("shingle"), "n", F.col("row").alias("gid"))
     clusters = components(_stars(buckets, percent), "clusters").withColumnRenamed("node", "gid")
     expanded = members.join(clusters, "gid", "left").filter("label is not null or members > 1")
     expanded = expanded.withColumn("cluster", F.coalesce("label", "gid"))
-    narrow = written(_placed(expanded.select("cluster", "cls", "key", "digest", "n"), percent), "cluster-members")
+    narrow = written(_placed(expanded.select("cluster", "cls", "copies", "key", "digest", "n"), percent), "cluster-members")
     rows = written(_fetched(docs, narrow, key, text), "cluster-texts")
-    linked = components(_cluster_links(rows, words, percent), "linked").withColumnRenamed("node", "cls")
+    links = written(_verified(_tiles(rows), percent, words), "links")
+    linked = components(links, "linked").withColumnRenamed("node", "cls")
+    counts = links.filter("a = b").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
     named = classes.join(linked, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "label").select("same", "component_id")
+    n_links = F.col("copies") - 1 + F.coalesce("others", F.lit(0))
+    named = named.join(least, "label").join(counts, "cls", "left").select("same", "component_id", n_links.alias("n_links"))
     out = made.join(named, "same", "left")
     return out.select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"), "digest"
-    )
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), "digest",
+    )
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -84,3 +85,25 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, 150: 100}
+
+
+def links(rows, percent=85):
+    """Per row, how many other rows it links to."""
+    sets = []
+    for _, text in rows:
+        w = re.split("[ \t\n\x0b\x0c\r]+", "".join(c.lower() if c.isascii() else c for c in text or "").strip(" \t\n\x0b\x0c\r"))
+        w = [x for x in w if x]
+        sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+    return [(key, sum(near(sets[i], s) for j, s in enumerate(sets) if j != i)) for i, (key, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("block", [1 << 21, 300])
+def test_link_counts_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(g, "BLOCK_SHINGLES", block)
+    rows = make_rows(3, 12, 22, 220) + EDGE
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r.doc_id, r.n_links) for r in g.joined_documents(df).collect()), key=repr)
+    want = links(rows)
+    assert got == sorted(want, key=repr)
+    assert max(n for _, n in want) > 5
