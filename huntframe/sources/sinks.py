@@ -19,7 +19,7 @@ def upsert_daily(df: DataFrame, path: str, doc_id: Column, index_date: Column, o
 
     Touched days are read back, merged and rewritten in one dynamic partition overwrite, which a
     retried or lost task cannot leave half done. The batch is kept while it is used twice: first for its days, a few values
-    that select the partitions to read, then for its rows. Other days are neither read nor written; rows without a day have
+    that select the partitions to read (above ``MAX_DAYS`` by a join), then for its rows. Other days are neither read nor written; rows without a day have
     a partition of their own. A replayed batch gives the same table. Within a batch the last document by ``order`` wins.
     """
     spark = df.sparkSession
@@ -38,11 +38,14 @@ def _merge_days(spark: SparkSession, fresh: DataFrame, path: str) -> None:
         stored = spark.read.parquet(path)
         days = [r.index_date for r in fresh.select("index_date").distinct().limit(MAX_DAYS + 1).collect()]
         if len(days) > MAX_DAYS:
-            raise ValueError(f"a batch touches more than {MAX_DAYS} days")
-        touched = F.col("index_date").isin([d for d in days if d is not None])
-        if None in days:
-            touched = touched | F.col("index_date").isNull()
-        kept = stored.where(touched).withColumn(
+            every = fresh.select(F.col("index_date").alias("_day")).distinct()
+            kept = stored.join(every, F.col("index_date").eqNullSafe(F.col("_day")), "left_semi")
+        else:
+            touched = F.col("index_date").isin([d for d in days if d is not None])
+            if None in days:
+                touched = touched | F.col("index_date").isNull()
+            kept = stored.where(touched)
+        kept = kept.withColumn(
             "_new", F.struct(F.lit(0).alias("fresh"), F.lit(None).cast(fresh.schema["_new"].dataType["rank"].dataType).alias("rank"))
         )
         rows = kept.unionByName(fresh, allowMissingColumns=True)

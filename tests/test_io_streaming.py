@@ -190,3 +190,13 @@ def test_streams_read_a_folder_of_parts(spark, sf_dir, tmp_path):
     table.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
     one, many = (SP.drain(TV.event_stream(spark, d).select("seq"), "parts").count() for d in (sf_dir, str(tmp_path)))
     assert one == many > 0
+
+
+def test_upserts_of_very_many_days(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "MAX_DAYS", 2)
+    path, day = str(tmp_path / "daily"), F.col("d").cast("date")
+    put = lambda rows: sinks.upsert_daily(spark.createDataFrame(rows, "id string, d string, v int"), path, F.col("id"), day)
+    put([("a", "2024-01-01", 1), ("b", "2024-01-02", 1), ("c", None, 1), ("d", "2024-01-09", 1), ("e", "2024-01-01", 1)])
+    put([("a", "2024-01-01", 2), ("b", "2024-01-02", 2), ("c", None, 2), ("f", "2024-01-03", 2)])
+    got = {(r.id, r.d, r.v) for r in spark.read.parquet(path).collect()}
+    assert got == {("a", "2024-01-01", 2), ("b", "2024-01-02", 2), ("c", None, 2), ("d", "2024-01-09", 1), ("e", "2024-01-01", 1), ("f", "2024-01-03", 2)}
