@@ -41,7 +41,7 @@ def map_rows(df: DataFrame, columns: dict, schema: str, rows: Callable[..., Iter
     return df.select(*[F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for n, c in columns.items()]).mapInArrow(run, schema)
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a string column into runs of rows: first row, row after the last, their bytes, and each row's start in them.
 
     The starts have one entry more than rows, the length of all. Null counts as empty.
@@ -53,7 +53,7 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
         last = min(last, len(column))
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from huntframe.llm import chat_format, decontamination, quality, sharding, warc
+from huntframe.llm import chat_format, collocations, decontamination, quality, sharding, warc
 from huntframe.llm.chat_format import op10_chat_format
+from huntframe.llm.collocations import op12_collocations
 from huntframe.llm.decontamination import op9_winnowing
 from huntframe.llm.grouped_prefix_join import op8_grouped_prefix_join
 from huntframe.llm.piece_encoding import op7_piece_encoding
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_grouped_prefix_join": op8_grouped_prefix_join,
     "op9_winnowing": op9_winnowing,
     "op10_chat_format": op10_chat_format,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -33,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op4_slot_shards": sharding.SQL,
     "op9_winnowing": decontamination.SQL,
     "op10_chat_format": chat_format.SQL,
+    "op12_collocations": collocations.SQL,
 }
