@@ -11,9 +11,11 @@ from huntframe.llm.piece_encoding import op7_piece_encoding
 from huntframe.llm.pii import op5_pii_spans
 from huntframe.llm.quality import op3_quality_rules
 from huntframe.llm.sharding import op4_slot_shards
+from huntframe.llm.subword_classifier import op11_subword_classifier
 from huntframe.llm.suffix_dedup import op6_suffix_dedup
 from huntframe.llm.token_counts import op2_token_counts
 from huntframe.llm.warc import op1_warc_archives
+from huntframe.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_warc_archives": op1_warc_archives,
@@ -26,7 +28,9 @@ QUERIES = {
     "op8_grouped_prefix_join": op8_grouped_prefix_join,
     "op9_winnowing": op9_winnowing,
     "op10_chat_format": op10_chat_format,
+    "op11_subword_classifier": op11_subword_classifier,
     "op12_collocations": op12_collocations,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
