@@ -35,6 +35,8 @@ TOP = 2000
 SLOTS = {1: 1 << 24, 2: 1 << 26, 3: 1 << 26}
 SEGMENT = 1 << 15
 SLICE = 8 << 20
+#: A task adds up so many windows before it hands them on.
+HELD = 400_000
 #: Each language's phrases are ranked in so many groups first.
 SALTS = 64
 
@@ -150,25 +152,44 @@ def windows(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str =
         known = context.broadcast(frequent)
 
     def counted(batches):
+        parts, rows = [], 0
         for name, words in _by_language(batches):
-            reach = np.zeros(len(words.ids), np.int64)  # how many words each window has
-            for size, alive, _ in _levels(words, name, known.value, LONGEST):
-                reach[np.flatnonzero(alive)] = size
-            ids = np.append(words.ids, np.full(LONGEST, len(words.different), words.ids.dtype))
-            at = np.flatnonzero(reach)
-            columns = {w: np.where(reach[at] > i, ids[at + i], len(words.different)).astype(np.int32) for i, w in enumerate(WORDS)}
-            rows = pa.table(columns).group_by(WORDS).aggregate([([], "count_all")])
-            names = pa.concat_arrays([words.different.cast(pa.string()), pa.array([""])])
-            rest = len(words.ids) - len(at)
-            blank = pa.array([""] * bool(rest), pa.string())
-            made = [pa.concat_arrays([names.take(rows.column(w).combine_chunks()), blank]) for w in WORDS]
-            n = pa.concat_arrays([rows.column("count_all").combine_chunks(), pa.array([rest] * bool(rest), pa.int64())])
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), *made, n], names=["lang", *WORDS, "n"])
+            parts.append(_padded(name, words, known.value))
+            rows += len(parts[-1])
+            if rows > HELD:
+                parts, rows = [_summed(parts)], 0
+                if len(parts[0]) > HELD // 2:
+                    yield from parts.pop().to_batches()
+        if parts:
+            yield from _summed(parts).to_batches()
 
     schema = ", ".join(f"{c} string" for c in ("lang", *WORDS))
     return read.mapInArrow(counted, f"{schema}, n long").groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
 
 
+def _padded(lang: str, words: Words, frequent: dict[int, np.ndarray]) -> pa.Table:
+    """The padded windows of some words and how often each occurs."""
+    reach = np.zeros(len(words.ids), np.int64)  # how many words each window has
+    for size, alive, _ in _levels(words, lang, frequent, LONGEST):
+        reach[np.flatnonzero(alive)] = size
+    pad = len(words.different)
+    ids = np.append(words.ids, np.full(LONGEST, pad, words.ids.dtype))
+    at = np.flatnonzero(reach)
+    columns = {w: np.where(reach[at] > i, ids[at + i], pad).astype(np.int32) for i, w in enumerate(WORDS)}
+    rows = pa.table(columns).group_by(WORDS).aggregate([([], "count_all")])
+    names = pa.concat_arrays([words.different.cast(pa.string()), pa.array([""])])
+    rest = len(words.ids) - len(at)
+    blank = pa.array([""] * bool(rest), pa.string())
+    made = [pa.concat_arrays([names.take(rows.column(w).combine_chunks()), blank]) for w in WORDS]
+    n = pa.concat_arrays([rows.column("count_all").combine_chunks(), pa.array([rest] * bool(rest), pa.int64())])
+    return pa.table([pa.array([lang] * len(n), pa.string()), *made, n], names=["lang", *WORDS, "n"])
+
+
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    added = pa.concat_tables(parts).group_by(["lang", *WORDS]).aggregate([("n", "sum")])
+    return added.select(["lang", *WORDS, "n_sum"]).rename_columns(["lang", *WORDS, "n"])
+
+
 def phrase_counts(counted: DataFrame, least: int = LEAST) -> DataFrame:
     """``lang, size, words, n``: the total of each language (size 0) and each phrase of up to ``LONGEST`` words that occurs ``least`` times."""
     keys = ["lang", *WORDS]
