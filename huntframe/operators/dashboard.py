@@ -175,29 +175,29 @@ def alert_id(alert: Column, rule: Column, timestamp: Column) -> Column:
     return F.coalesce(S.non_empty(alert), F.concat(S.text(rule), F.lit("-"), S.text(timestamp)))
 
 
-def first_case_of_alerts(alerts: DataFrame, states: DataFrame) -> DataFrame:
-    """The first case (by ``case_ord``) whose rule ids or alert ids contain the alert's.
+def first_case_of_alerts(alerts: DataFrame, states: DataFrame, links: DataFrame) -> DataFrame:
+    """The first case (by ``case_ord``) among whose rule ids or alert ids the alert's is.
 
-    ``alerts``: ``alert_id, rule_id`` and more; ``states``: ``case_ord, actual_rule_ids, alert_ids`` arrays. Both
-    directions become equality joins on exploded ids, reduced to the lowest case first.
+    ``alerts``: ``alert_id, rule_id`` and more; ``states``: ``case_ord, case_id`` and its outcome; ``links``: ``case_id, kind, id``. Both
+    directions are equality joins on ids, reduced to the lowest case first.
     """
-    lowest = lambda ids_col, key: (
-        states.select(F.explode(ids_col).alias(key), "case_ord").groupBy(key).agg(F.min("case_ord").alias(f"_by_{key}"))
+    numbered = links.join(F.broadcast(states.select("case_id", "case_ord")), "case_id")  # the catalogue's cases
+    lowest = lambda kind: (
+        numbered.where(F.col("kind") == kind).groupBy(F.col("id").alias(f"{kind}_id")).agg(F.min("case_ord").alias(f"_by_{kind}"))
     )
-    by_rule, by_alert = lowest("actual_rule_ids", "rule_id"), lowest("alert_ids", "alert_id")
     matched = (
-        alerts.join(by_rule, "rule_id", "left")
-        .join(by_alert, "alert_id", "left")
-        .withColumn("case_ord", F.least("_by_rule_id", "_by_alert_id"))
-        .drop("_by_rule_id", "_by_alert_id")
+        alerts.join(lowest("rule"), "rule_id", "left")
+        .join(lowest("alert"), "alert_id", "left")
+        .withColumn("case_ord", F.least("_by_rule", "_by_alert"))
+        .drop("_by_rule", "_by_alert")
     )
     details = states.select("case_ord", "case_id", "status", "classification", "expected_alert")
     return matched.join(details, "case_ord", "left")
 
 
-def alert_table(alerts: DataFrame, states: DataFrame) -> DataFrame:
-    """One display row per alert with the outcome of its evaluation case, pending without one."""
-    df = first_case_of_alerts(alerts, states)
+def alert_table(alerts: DataFrame, states: DataFrame, links: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One display row per alert with the outcome of its evaluation case, pending without one. ``keep`` names more columns of the alerts."""
+    df = first_case_of_alerts(alerts, states, links)
     return df.select(
         "alert_id",
         F.coalesce(S.non_empty(F.col("classification")), S.non_empty(F.col("status")), F.lit("pending")).alias("classification"),
@@ -210,6 +210,7 @@ def alert_table(alerts: DataFrame, states: DataFrame) -> DataFrame:
         F.coalesce("expected_alert", F.lit(True)).alias("expected_alert"),
         F.col("case_id"),
         "timestamp",
+        *keep,
     )
 
 

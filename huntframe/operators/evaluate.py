@@ -212,60 +212,94 @@ def matching_cases(
     The markers are a driver-side list: each row tests them in place and explodes its few hits, so
     there is no cross join. Adds ``case_ord`` and the case columns.
     """
-    hits = F.array_compact(
-        F.array(*[F.when(F.contains(F.col("_hay"), F.lit(c.marker.lower())), F.lit(n)) for n, c in enumerate(cases)])
+    # The text is bound to a variable, so that it is put together once per row and not once per marker.
+    hits = F.transform(
+        F.array(searchable),
+        lambda hay: F.array_compact(F.array(*[F.when(F.contains(hay, F.lit(c.marker.lower())), F.lit(n)) for n, c in enumerate(cases)])),
     )
-    df = docs.withColumn("_hay", searchable).withColumn("case_ord", F.explode(hits)).drop("_hay")
+    df = docs.withColumn("case_ord", F.explode(F.flatten(hits))).drop("_hay")
     return df.join(F.broadcast(catalog.evaluation_cases_df(docs.sparkSession, cases)), "case_ord")
 
 
-def with_episodes(activity: DataFrame, bucket_seconds: int = 4) -> DataFrame:
-    """Adds ``episode`` (numbered from 1 per case) to marker sightings.
+#: Only gaps longer than a bucket can start an episode.
+BUCKET_SECONDS = 4
+_CASE_KEYS = ("case_id", "technique_id", "expected_alert", "window_seconds")
 
-    ``activity``: ``case_id, window_seconds, ts``, one row per sighting. A sighting later than the
-    case's window after the one before it starts a new episode. Only gaps longer than the bucket can split, so the
-    sightings are first reduced to the ends of each short time bucket; the running count then walks
-    buckets, not sightings. A window shorter than ``bucket_seconds`` fails the run.
+
+def _bucket(bucket_seconds: int) -> Column:
+    return F.floor(F.unix_micros("ts") / (bucket_seconds * 1_000_000))
+
+
+def number_buckets(spans: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """``case_id, _bucket, episode`` from the first and last time of what each bucket of a case holds.
+
+    ``spans``: ``case_id, window_seconds, _bucket, first, last``, any number of rows per bucket. Something later than the case's window
+    after what came before it starts a new episode. The running count walks buckets, not sightings. A window shorter
+    than ``bucket_seconds`` fails the run.
     """
-    micros = bucket_seconds * 1_000_000
-    rows = activity.withColumn("_bucket", F.floor(F.unix_micros("ts") / micros))
-    ends = rows.groupBy("case_id", "_bucket").agg(
-        F.min("ts").alias("first"), F.max("ts").alias("last"),
+    ends = spans.groupBy("case_id", "_bucket").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"),
         F.when(F.min("window_seconds") < bucket_seconds, F.raise_error(F.lit("a case's window is shorter than bucket_seconds")))
         .otherwise(F.max("window_seconds")).alias("w"),
     )
     order = Window.partitionBy("case_id").orderBy("_bucket")
     gap = F.unix_micros("first") - F.unix_micros(F.lag("last").over(order))
     starts = ends.withColumn("_new", F.when(gap.isNull() | (gap > F.col("w").cast("bigint") * 1_000_000), 1).otherwise(0))
-    numbered = starts.withColumn("episode", F.sum("_new").over(order).cast("bigint"))
-    return rows.join(numbered.select("case_id", "_bucket", "episode"), ["case_id", "_bucket"]).drop("_bucket")
+    return starts.select("case_id", "_bucket", F.sum("_new").over(order).cast("bigint").alias("episode"))
+
+
+def with_episodes(activity: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """Adds ``episode`` (numbered from 1 per case) to marker sightings: ``case_id, window_seconds, ts``, one row each."""
+    rows = activity.withColumn("_bucket", _bucket(bucket_seconds))
+    spans = rows.select("case_id", "window_seconds", "_bucket", F.col("ts").alias("first"), F.col("ts").alias("last"))
+    return rows.join(number_buckets(spans, bucket_seconds), ["case_id", "_bucket"]).drop("_bucket")
+
+
+def activity(sightings: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Sightings and alerts as one table: the case columns, ``ts``, ``kind`` (event or alert), ``id``, ``rule_id`` and whether an alert fits its case."""
+    common = [*_CASE_KEYS, "ts"]
+    fits = F.when(F.size("expected_rule_ids") == 0, F.lit(True)).otherwise(F.array_contains("expected_rule_ids", F.col("rule_id")))
+    seen = sightings.select(
+        *common, F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.lit(None).cast("string").alias("rule_id"), F.lit(False).alias("fits")
+    )
+    return seen.unionByName(alerts.select(*common, F.lit("alert").alias("kind"), F.col("alert_id").alias("id"), "rule_id", fits.alias("fits")))
+
+
+def untimed(rows: DataFrame) -> DataFrame:
+    """``case_id, kind, id, reason`` of activity without a readable time: it belongs to no episode and is reported instead of being dropped."""
+    return rows.where(F.col("ts").isNull()).select("case_id", "kind", "id", F.lit("missing_time").alias("reason"))
 
 
 def evaluate_episodes(sightings: DataFrame, alerts: DataFrame, as_of: Column) -> DataFrame:
-    """Each episode with its outcome at ``as_of``.
+    """``episodes_of`` sightings and alerts."""
+    return episodes_of(activity(sightings, alerts), as_of)
+
 
-    ``sightings``: case columns with ``ts, event_id``. ``alerts``: case columns with ``ts, alert_id, rule_id``; an
+def episodes_of(rows: DataFrame, as_of: Column) -> DataFrame:
+    """Each episode of some ``activity`` with its outcome at ``as_of``.
+
+    Sightings have case columns with ``ts, event_id``, alerts case columns with ``ts, alert_id, rule_id``; an
     alert has the time of an event that shows the same marker. A benign marker with any alert is a
     false positive, an expected one with a fitting rule a true positive. Without those, an
     episode is pending until its window has passed since it was first seen. An alert of an unexpected
-    rule leaves an expected case waiting.
+    rule leaves an expected case waiting. Activity without a time is left to ``untimed``.
     """
-    keys = ["case_id", "technique_id", "expected_alert", "window_seconds"]
-    common = [*keys, "ts"]
-    seen = sightings.select(
-        *common, F.lit(1).alias("is_event"), F.lit(None).cast("string").alias("rule_id"), F.lit(False).alias("fits")
-    )
-    fits = F.when(F.size("expected_rule_ids") == 0, F.lit(True)).otherwise(
-        F.array_contains("expected_rule_ids", F.col("rule_id"))
+    rows = rows.where(F.col("ts").isNotNull()).withColumn("_bucket", _bucket(BUCKET_SECONDS))
+    is_event = F.col("kind") == "event"
+    # Combined per bucket and rule before anything is shuffled, and small: it is read twice.
+    spans = cut_lineage(
+        rows.groupBy(*_CASE_KEYS, "_bucket", "rule_id").agg(
+            F.min("ts").alias("first"), F.max("ts").alias("last"), F.count_if(is_event).alias("events"), F.count_if(~is_event).alias("alerts"),
+            F.max("fits").alias("fits"),
+        )
     )
-    fired = alerts.select(*common, F.lit(0).alias("is_event"), "rule_id", fits.alias("fits"))
-    rows = with_episodes(seen.unionByName(fired))
+    numbered = spans.join(number_buckets(spans), ["case_id", "_bucket"])
     # Distinct rule ids are kept as (few) rows until the last step.
-    per_rule = rows.groupBy(*keys, "episode", "rule_id").agg(
-        F.min("ts").alias("first"), F.max("ts").alias("last"), F.sum("is_event").alias("events"),
-        F.sum(1 - F.col("is_event")).alias("alerts"), F.max("fits").alias("fits"),
+    per_rule = numbered.groupBy(*_CASE_KEYS, "episode", "rule_id").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("events").alias("events"), F.sum("alerts").alias("alerts"),
+        F.max("fits").alias("fits"),
     )
-    episodes = per_rule.groupBy(*keys, "episode").agg(
+    episodes = per_rule.groupBy(*_CASE_KEYS, "episode").agg(
         F.min("first").alias("first_seen"),
         F.max("last").alias("last_seen"),
         F.sum("events").alias("event_count"),
@@ -287,6 +321,26 @@ def evaluate_episodes(sightings: DataFrame, alerts: DataFrame, as_of: Column) ->
     ).drop("fits")
 
 
+def link_rows(rows: DataFrame) -> DataFrame:
+    """``case_id, episode, kind, id``, each once: the event, alert and rule ids of activity that has its episode."""
+    links = F.array(
+        F.struct("kind", "id"), F.when(F.col("kind") == "alert", F.struct(F.lit("rule").alias("kind"), F.col("rule_id").alias("id")))
+    )
+    one = rows.select("case_id", "episode", F.explode(F.array_compact(links)).alias("l")).select("case_id", "episode", "l.kind", "l.id")
+    return one.where(S.text(F.col("id")) != "").distinct()
+
+
+def episode_links(rows: DataFrame) -> DataFrame:
+    """The ids behind each episode of some ``activity`` as rows, which grow with the input; an episode itself holds none."""
+    return link_rows(with_episodes(rows.where(F.col("ts").isNotNull())))
+
+
+def last_links(links: DataFrame) -> DataFrame:
+    """The links of each case's last episode, whose ids a state shows."""
+    last = links.groupBy("case_id").agg(F.max("episode").alias("episode"))
+    return links.join(last, ["case_id", "episode"])
+
+
 def latest_states(episodes: DataFrame, cases: DataFrame) -> DataFrame:
     """The current state per case: its last episode, or not seen."""
     last = episodes.groupBy("case_id").agg(

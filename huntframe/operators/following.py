@@ -16,6 +16,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A window is cut into so many slices when one key may hold most of its rows.
+SLICES = 256
+
 # Rows without a time share t = 0; their runs are cut by the tie-breaker instead.
 _UNTIMED_RUN = 1 << 20
 
@@ -159,3 +162,33 @@ def nearest_by_label(
     }
     found = rows.select(*keep, "is_cand", "probe", *[c.alias(label) for label, c in next_of.items()])
     return found.where("is_cand = 0").drop("is_cand")
+
+
+def next_by_label(
+    probes: DataFrame, candidates: DataFrame, by: Sequence[str], labels: Sequence[str], width: int, slices: int = SLICES
+) -> DataFrame:
+    """``nearest_by_label`` for groups of any size, at least as far as ``width`` microseconds after each probe.
+
+    Two levels: a short time slice of a group is searched on its own, and the first candidate of each label and slice (combined
+    before the shuffle) stands for it in a lookup among slices. A task sorts the rows of a slice, or the heads of two windows, but never a group.
+    The caller checks the window itself on what was found.
+    """
+    fine = max(width // slices, 1)
+    reach = -(-width // fine) + 1
+    cut = lambda df: df.withColumn("_slice", F.floor(F.col("t") / fine))
+    keys = [*by, "_slice"]
+    p, c = cut(probes), cut(candidates)
+    inside = nearest_by_label(p, c, keys, labels)
+    heads = c.groupBy(*keys, "label").agg(F.min(F.struct("t", "o", "cand")).alias("h")).select(*keys, "label", F.col("h.cand").alias("cand"))
+    block = F.floor(F.col("_slice") / reach)
+    places = p.select(*keys).distinct().select(
+        *by, block.alias("_block"), F.col("_slice").alias("t"), F.lit(0).alias("o"), F.struct("_slice").alias("probe")
+    )
+    ahead_rows = heads.select(
+        *by, F.explode(F.array(block, block - 1)).alias("_block"), F.col("_slice").alias("t"), F.lit(-1).alias("o"), "label", "cand"
+    )
+    ahead = nearest_by_label(places, ahead_rows, [*by, "_block"], labels).select(
+        *by, F.col("probe._slice").alias("_slice"), *[F.col(x).alias(f"_ahead_{x}") for x in labels]
+    )
+    joined = inside.join(ahead, keys, "left")
+    return joined.select(*by, "t", "o", "probe", *[F.coalesce(F.col(x), F.col(f"_ahead_{x}")).alias(x) for x in labels])

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import catalog
 from ..catalog import Rule
@@ -199,8 +200,8 @@ def realtime_matches(events: DataFrame) -> DataFrame:
     return R.evaluate(prepared, REALTIME_RULES)
 
 
-def realtime_alerts(events: DataFrame, as_of: str | None = None) -> DataFrame:
-    """Realtime alert documents; one row per event and match, also where ids repeat."""
+def realtime_alerts(events: DataFrame, as_of: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Realtime alert documents; one row per event and match, also where ids repeat. ``keep`` names columns of the events to keep."""
     spark = events.sparkSession
     hits = realtime_matches(events)
     meta = spark.createDataFrame(
@@ -237,11 +238,18 @@ def realtime_alerts(events: DataFrame, as_of: str | None = None) -> DataFrame:
         "file", "registry", "destination", "network", "raw", "sysmon",
         evidence().alias("evidence"),
         compact_event(as_of).alias("source_event"),
+        F.array().cast(T.ArrayType(_compact_type(df, as_of))).alias("related_events"),
+        F.array().cast("array<string>").alias("source_event_ids"),
         F.col("_identity").alias("source_id"),
         "rule_ord",
+        *keep,
     )
 
 
+def _compact_type(events: DataFrame, as_of: str | None = None) -> T.DataType:
+    return events.select(compact_event(as_of).alias("c")).schema["c"].dataType
+
+
 def distinct_alerts(alerts: DataFrame) -> DataFrame:
     """One row per alert id: the first by source event time, then by rule order."""
     order = F.struct("timestamp", "source_id", "rule_ord")
@@ -277,23 +285,25 @@ def correlation_keys() -> Column:
     return F.array_compact(F.concat(base, F.transform(markers, lambda m: F.concat(F.lit("marker:"), m))))
 
 
-def correlation_input(events: DataFrame, order: str = "seq", host_scoped: bool = False) -> DataFrame:
-    """The slim rows the correlator reads: id, time, arrival, step and one row per key.
-
-    Events without a readable time are left out. ``host_scoped`` adds the host to every key.
-    """
+def _correlation_rows(events: DataFrame, order: str) -> DataFrame:
     prepared = R.prepare(events).withColumn("_t_event_text", R.realtime_event_text())
     stamp = timestamp()
-    ts = TS.event_time(F.col("`@timestamp`"), F.col("event.created"))
-    slim = prepared.select(
+    return prepared.select(
         ids.event_identity(stamp).alias("eid"),
         stamp.alias("stamp"),
-        ts.alias("ts"),
+        TS.event_time(F.col("`@timestamp`"), F.col("event.created")).alias("ts"),
         F.col(order).cast("bigint").alias("o"),
         step_name().alias("step"),
         correlation_keys().alias("keys"),
         S.text(F.col("host.name")).alias("host_name"),
     )
+
+
+def correlation_input(events: DataFrame, order: str = "seq", host_scoped: bool = False) -> DataFrame:
+    """The slim rows the correlator reads: id, time, arrival, step and one row per key.
+
+    Events without a readable time have no window; ``correlation_rejects`` reports them. ``host_scoped`` adds the host to every key.
+    """
     scope = F.concat("host_name", F.lit("|")) if host_scoped else F.lit("")
     # Step and key leave through one generator, so that later filters on them are not pushed into the
     # text search above.
@@ -301,7 +311,13 @@ def correlation_input(events: DataFrame, order: str = "seq", host_scoped: bool =
         F.when(F.col("ts").isNotNull(), F.col("keys")),
         lambda k: F.struct(F.concat(scope, k).alias("key"), F.col("step").alias("step"), F.col("ts").alias("ts")),
     )
-    return slim.select("eid", "stamp", "o", F.explode(placed).alias("_k")).select("eid", "stamp", "o", "_k.*")
+    return _correlation_rows(events, order).select("eid", "stamp", "o", F.explode(placed).alias("_k")).select("eid", "stamp", "o", "_k.*")
+
+
+def correlation_rejects(events: DataFrame, order: str = "seq") -> DataFrame:
+    """``eid, o, step, reason``: events with a correlation key but without a readable time."""
+    rows = _correlation_rows(events, order)
+    return rows.where(F.col("ts").isNull() & (F.size("keys") > 0)).select("eid", "o", "step", F.lit("missing_time").alias("reason"))
 
 
 def _behavioral_alert(trios: DataFrame) -> DataFrame:
@@ -321,45 +337,50 @@ def _behavioral_alert(trios: DataFrame) -> DataFrame:
     )
 
 
-def correlate(
-    events: DataFrame,
-    window_seconds: int = catalog.REALTIME_WINDOW_SECONDS,
-    order: str = "seq",
-    host_scoped: bool = False,
-) -> DataFrame:
-    """Correlated triples: at every event and key of it, the earliest event of each step in the window.
+def correlated_trios(rows: DataFrame, steps: DataFrame, window_seconds: int) -> DataFrame:
+    """``process_id, network_id, file_id, timestamp, t``: what the arrivals ``rows`` complete among the step events ``steps``.
 
-    Equal to feeding the correlator in time order. The earliest in-window event of a step is the next
-    one after the window's start, so it is an as-of lookup and no pair is formed. Keys that lack a step
-    in a time bucket are dropped before the events are shuffled.
+    The earliest in-window event of a step is the next one after the window's start, so it is an as-of lookup and no pair is
+    formed. Keys that lack a step in a window's reach are dropped before the arrivals are shuffled. ``t`` is the time of the trio's last event.
     """
     width = window_seconds * _MICROS
-    rows = correlation_input(events, order, host_scoped).withColumn("t", F.unix_micros("ts"))
-    # Few events are steps; they are read three times, so they are materialised.
-    steps = cut_lineage(rows.where("step IS NOT NULL"))
     own = F.floor(F.col("t") / width)
-    cands = steps.select(
-        "key", "t", "o", F.explode(F.array(own, own - 1)).alias("_bucket"), F.col("step").alias("label"),
-        F.struct("eid", "t", "o", "stamp").alias("cand"),
-    )
+    cands = steps.select("key", "t", "o", F.col("step").alias("label"), F.struct("eid", "t", "o", "stamp").alias("cand"))
     bit = F.coalesce(*[F.when(F.col("label") == s, F.lit(1 << n)) for n, s in enumerate(STEPS)])
     # Written first, so that its real size can make the filter below a broadcast and spare the shuffle of
     # all events.
+    places = cands.select("key", F.explode(F.array(own, own - 1)).alias("_bucket"), "label")
     complete = cut_lineage(
-        cands.groupBy("key", "_bucket").agg(F.bit_or(bit).alias("_steps")).where(F.col("_steps") == 7).select("key", "_bucket")
+        places.groupBy("key", "_bucket").agg(F.bit_or(bit).alias("_steps")).where(F.col("_steps") == 7).select("key", "_bucket")
     )
     probes = rows.select(
         "key", (F.col("t") - width).alias("t"), F.lit(-(1 << 62)).alias("o"),
         F.floor((F.col("t") - width) / width).alias("_bucket"), F.struct("t", "o").alias("probe"),
     ).join(complete, ["key", "_bucket"], "left_semi")
-    found = following.nearest_by_label(probes, cands, ["key", "_bucket"], STEPS)
+    found = following.next_by_label(probes.drop("_bucket"), cands, ["key"], STEPS, width)
     arrived = S.all_of(F.struct(f"{s}.t", f"{s}.o") <= F.col("probe") for s in STEPS)
-    trios = (
+    return (
         found.where(S.all_of(F.col(s).isNotNull() for s in STEPS))
         .where(arrived)
         .select(
-            *[F.col(f"{s}.eid").alias(f"{s}_id") for s in STEPS], F.col("file.stamp").alias("timestamp")
+            *[F.col(f"{s}.eid").alias(f"{s}_id") for s in STEPS], F.col("file.stamp").alias("timestamp"),
+            F.greatest(*[F.col(f"{s}.t") for s in STEPS]).alias("t"),
         )
         .distinct()
     )
-    return _behavioral_alert(trios)
+
+
+def correlate(
+    events: DataFrame,
+    window_seconds: int = catalog.REALTIME_WINDOW_SECONDS,
+    order: str = "seq",
+    host_scoped: bool = False,
+) -> DataFrame:
+    """Correlated triples: at every event and key of it, the earliest event of each step in the window.
+
+    Equal to feeding the correlator in time order. No task holds a key's window, however many events share it.
+    """
+    rows = correlation_input(events, order, host_scoped).withColumn("t", F.unix_micros("ts"))
+    # Few events are steps; they are read three times, so they are materialised.
+    steps = cut_lineage(rows.where("step IS NOT NULL"))
+    return _behavioral_alert(correlated_trios(rows, steps, window_seconds).drop("t"))

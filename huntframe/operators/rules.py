@@ -24,6 +24,7 @@ _TEXT_OF = {
     "sysmon.event_data.Details": lambda: S.text(F.element_at(F.col("sysmon.event_data"), "Details")),
     "registry.data.strings": lambda: S.array_text(F.col("registry.data.strings")),
     "@timestamp": lambda: S.text(F.col("`@timestamp`")),
+    **{path: lambda path=path: S.text(F.to_json(F.col(path))) for path in ("registry.data", "evidence", "source_event", "related_events")},
 }
 # Fields the programmatic rules and step matchers read, and the name each gets in ``_t``.
 _PREPARED = {
@@ -73,7 +74,7 @@ def lowered(path: str) -> Column:
 
 
 def _event_text(paths: Sequence[str]) -> Column:
-    return F.concat_ws(" ", *[lowered(p) if p in _PREPARED else F.lower(S.text(F.col(p))) for p in paths])
+    return F.concat_ws(" ", *[lowered(p) if p in _PREPARED else F.lower(field_text(p)) for p in paths])
 
 
 def batch_event_text() -> Column:
@@ -92,11 +93,22 @@ def evaluation_event_text() -> Column:
     return _event_text(
         (
             "@timestamp", "process.name", "process.executable", "process.command_line", "file.path", "registry.path",
-            "registry.data.strings", "destination.ip", "sysmon.event_data",
+            "registry.data", "destination.ip", "raw.message", "sysmon.event_data",
         )
     )
 
 
+def evaluation_alert_text() -> Column:
+    """The same of an alert document: its own fields, and its evidence, source event and related events as JSON."""
+    return F.concat_ws(
+        " ",
+        *[F.lower(field_text(p)) for p in (
+            "timestamp", "rule.id", "attack.technique.id", "process.name", "process.executable", "process.command_line", "file.path",
+            "registry.path", "registry.data", "destination.ip", "evidence", "source_event", "related_events",
+        )],
+    )
+
+
 def realtime_event_text() -> Column:
     """Lower-cased searchable text of an event, as the realtime correlator sees it."""
     return _event_text(

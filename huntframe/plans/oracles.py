@@ -380,12 +380,16 @@ _CASE_ROWS = "wide AS (SELECT * FROM (VALUES " + ", ".join(
     f"({q(c.case_id)}, {q(c.marker.lower())}, {q(c.technique_id)}, {str(c.expected_alert).lower()}, {c.window_seconds}, {n})"
     for n, c in enumerate(WIDE_CASES)
 ) + ") v(case_id, marker, technique_id, expected_alert, window_seconds, case_ord))"
+_EVENT_TEXT = "concat_ws(' ', lower(l.stamp), l.name, l.exe, l.cmd, l.fpath, l.rpath, l.rdata, l.dip, l.edata)"
+_ALERT_TEXT = "concat_ws(' ', lower(r.stamp), r.rule_id, r.name, r.exe, r.cmd, r.fpath, r.rpath, r.rdata, r.dip, lower(r.parent_name), r.rvalue)"
 EPISODES = (
     LOWS, RT_HITS, _CASE_ROWS,
-    "sight AS (SELECT w.case_id, w.window_seconds, l.ts, l.seq FROM low l JOIN wide w ON contains(concat_ws(' ', lower(stamp), name, exe, cmd, fpath, rpath, rdata, dip, edata), w.marker) WHERE l.ts IS NOT NULL)",
+    f"sight AS (SELECT w.case_id, w.window_seconds, l.ts, l.seq FROM low l JOIN wide w ON contains({_EVENT_TEXT}, w.marker) WHERE l.ts IS NOT NULL)",
     "gaps AS (SELECT *, CASE WHEN lag(ts) OVER o IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER o) > CAST(window_seconds AS BIGINT) * 1000000 THEN 1 ELSE 0 END AS is_new FROM sight WINDOW o AS (PARTITION BY case_id ORDER BY ts, seq))",
     "numbered AS (SELECT *, CAST(sum(is_new) OVER (PARTITION BY case_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode FROM gaps)",
-    "fired AS (SELECT n.case_id, n.episode, count(*) AS alert_count, string_agg(DISTINCT r.rule_id, ',' ORDER BY r.rule_id) AS rules FROM numbered n JOIN rt r ON r.seq = n.seq GROUP BY 1, 2)",
+    # An alert is searched by its own document, which has no raw event data.
+    f"linked AS (SELECT n.case_id, n.episode, n.seq, r.rule_id FROM numbered n JOIN rt r ON r.seq = n.seq JOIN wide w USING (case_id) WHERE contains({_ALERT_TEXT}, w.marker))",
+    "fired AS (SELECT case_id, episode, count(*) AS alert_count, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules FROM linked GROUP BY 1, 2)",
     """eps AS (SELECT n.case_id, n.episode, min(n.ts) AS first_seen, max(n.ts) AS last_seen, count(*) AS event_count,
     coalesce(any_value(f.alert_count), 0) AS alert_count, coalesce(any_value(f.rules), '') AS rules FROM numbered n LEFT JOIN fired f USING (case_id, episode) GROUP BY 1, 2)""",
     """done AS (SELECT e.*, w.technique_id, w.expected_alert, w.case_ord, CASE WHEN w.expected_alert AND alert_count > 0 THEN 'true_positive'
@@ -396,6 +400,12 @@ EPISODES = (
     coalesce(d.classification, '') AS classification, coalesce(d.event_count, 0) AS event_count, coalesce(d.alert_count, 0) AS alert_count, coalesce(d.rules, '') AS actual_rule_ids
     FROM wide w LEFT JOIN (SELECT * FROM done QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY episode DESC) = 1) d USING (case_id))""",
 )
+LINKS_SQL = tele(
+    """SELECT case_id, episode, 'event' AS kind, count(DISTINCT seq) AS n FROM numbered GROUP BY 1, 2
+UNION ALL SELECT case_id, episode, 'alert', count(*) FROM (SELECT DISTINCT case_id, episode, seq, rule_id FROM linked) GROUP BY 1, 2
+UNION ALL SELECT case_id, episode, 'rule', count(DISTINCT rule_id) FROM linked GROUP BY 1, 2""",
+    *EPISODES,
+)
 _TEXT_TS = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"
 _CLS = ("true_positive", "true_negative", "false_positive", "false_negative")
 
@@ -636,9 +646,24 @@ UNION ALL SELECT 'alert_count', '', CAST(count(*) AS VARCHAR) FROM r UNION ALL S
     "alert_case_lookup": tele(
         """SELECT CAST(r.seq AS VARCHAR) || '-' || CAST(r.rule_ord AS VARCHAR) AS alert_id, coalesce(nullif(l.classification, ''), l.status, 'pending') AS classification, r.rule_id, r.severity,
   r.process_name AS process, CAST(r.event_code AS VARCHAR) AS event_code, coalesce(l.expected_alert, true) AS expected_alert, coalesce(l.case_id, '') AS case_id
-FROM rt r LEFT JOIN (SELECT rule_id, min(case_ord) AS case_ord FROM (SELECT case_ord, unnest(string_split(actual_rule_ids, ',')) AS rule_id FROM latest WHERE status <> 'not_seen') WHERE rule_id <> '' GROUP BY 1) m USING (rule_id)
-LEFT JOIN latest l ON l.case_ord = m.case_ord""",
+FROM rt r LEFT JOIN (SELECT rule_id, min(case_ord) AS rule_ord_ FROM final GROUP BY 1) m USING (rule_id)
+LEFT JOIN (SELECT seq, rule_id, min(case_ord) AS own_ord FROM final GROUP BY 1, 2) o ON o.seq = r.seq AND o.rule_id = r.rule_id
+LEFT JOIN latest l ON l.case_ord = least(m.rule_ord_, o.own_ord)""",
         *EPISODES,
+        "final AS (SELECT k.*, w.case_ord FROM linked k JOIN wide w USING (case_id) JOIN (SELECT case_id, max(episode) AS episode FROM numbered GROUP BY 1) x USING (case_id, episode))",
+    ),
+    "episode_links": LINKS_SQL,
+    "stream_episode_links": LINKS_SQL,
+    "untimed_activity": tele(
+        """SELECT 'evaluation_event' AS consumer, 'missing_time' AS reason, case_id AS of, count(*) AS n FROM lost GROUP BY 3
+UNION ALL SELECT 'evaluation_alert', 'missing_time', w.case_id, count(*) FROM wide w, rt r WHERE r.ts IS NULL AND contains("""
+        + _ALERT_TEXT + """, w.marker) GROUP BY 3
+UNION ALL SELECT 'correlation', 'missing_time', step, count(*) FROM late GROUP BY 3""",
+        LOWS, RT_HITS, _CASE_ROWS,
+        f"lost AS (SELECT w.case_id FROM low l JOIN wide w ON contains({_EVENT_TEXT}, w.marker) WHERE l.ts IS NULL)",
+        f"""late AS (SELECT CASE WHEN event_code = 1 AND {_RT_TOOL} AND {has('etext', catalog.REALTIME_PROCESS_STEP_MARKERS)} THEN 'process'
+      WHEN event_code = 3 AND {_RT_TOOL} THEN 'network' WHEN event_code = 11 AND {has('etext', catalog.REALTIME_FILE_STEP_MARKERS)} THEN 'file' ELSE 'none' END AS step
+      FROM (SELECT *, {_RT_TEXT} AS etext FROM low WHERE ts IS NULL))""",
     ),
     "dedupe_records": "SELECT event_id // 2 AS record_id, event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_id // 2 ORDER BY event_id) = 1",
     "distinct_realtime_alerts": tele(

@@ -532,21 +532,23 @@ def unknown_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _evaluation(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Marker sightings in any event and the alerts raised on the same events, with their case columns."""
+    """Marker sightings in any event and in any realtime alert's own document, with their case columns."""
     prepared = R.prepare(events).withColumn("_hay", R.evaluation_event_text())
-    slim = S.where_computed(
-        prepared.withColumn("_t_command_or_message", RT._command_or_message()), F.col("ts").isNotNull()
-    )
-    docs = slim.select("ts", F.col("event.id").alias("event_id"), "_hay")
+    docs = prepared.select("ts", F.col("event.id").alias("event_id"), "_hay")
     sightings = V.matching_cases(docs, F.col("_hay"), WIDE_CASES)
-    hits = R.evaluate(slim, RT.REALTIME_RULES).select("ts", "rule_id", "_hay")
-    alerts = V.matching_cases(hits, F.col("_hay"), WIDE_CASES)
-    return sightings, alerts
+    alerts = RT.realtime_alerts(events, keep=("ts",)).select(
+        "ts", F.col("alert.id").alias("alert_id"), F.col("rule.id").alias("rule_id"), R.evaluation_alert_text().alias("_hay")
+    )
+    return sightings, V.matching_cases(alerts, F.col("_hay"), WIDE_CASES)
+
+
+def _activity(spark: SparkSession, sf: str) -> DataFrame:
+    """What shows a marker, written once: it is selective, and episodes and links read it several times."""
+    return session.cut_lineage(V.activity(*_evaluation(T.supported_events(spark, sf))))
 
 
 def _episodes(spark: SparkSession, sf: str) -> DataFrame:
-    sightings, alerts = _evaluation(T.supported_events(spark, sf))
-    return V.evaluate_episodes(sightings, alerts, F.lit(AS_OF).cast("timestamp"))
+    return V.episodes_of(_activity(spark, sf), F.lit(AS_OF).cast("timestamp"))
 
 
 def _micros_text(c: str) -> Column:
@@ -594,22 +596,37 @@ def latest_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alert_case_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Realtime alerts with the first case whose last episode holds the alert's id or its rule's."""
     ev = T.supported_events(spark, sf)
     alerts = RT.realtime_alerts(ev).select(
-        F.concat(F.col("event.id"), F.lit("-"), F.col("rule_ord").cast("string")).alias("alert_id"),
+        F.col("alert.id").alias("alert_id"), F.concat(F.col("event.id"), F.lit("-"), F.col("rule_ord").cast("string")).alias("label"),
         F.col("rule.id").alias("rule_id"), F.col("attack.technique.id").alias("technique_id"),
         F.col("detection.engine").alias("engine"), "severity", F.col("process.name").alias("process_name"),
         F.col("event.code").alias("event_code"), "timestamp",
     )
     cases = V.case_table(spark, WIDE_CASES).drop("expected_rule_ids", "window_seconds", "marker")
-    states = V.latest_states(_episodes(spark, sf), cases).withColumns(
-        {
-            "actual_rule_ids": F.filter(F.split("actual_rule_ids", ","), lambda x: x != ""),
-            "alert_ids": F.array().cast("array<string>"),
-        }
-    )
-    table = D.alert_table(alerts, D.observed_states(states))
-    return table.select("alert_id", "classification", "rule_id", "severity", "process", "event_code", "expected_alert", _s("case_id", "case_id"))
+    activity = _activity(spark, sf)
+    states = V.latest_states(V.episodes_of(activity, F.lit(AS_OF).cast("timestamp")), cases)
+    links = session.cut_lineage(V.last_links(session.cut_lineage(V.episode_links(activity))))
+    table = D.alert_table(alerts, D.observed_states(states), links, ("label",))
+    return table.select(F.col("label").alias("alert_id"), "classification", "rule_id", "severity", "process", "event_code", "expected_alert", _s("case_id", "case_id"))
+
+
+def _link_counts(links: DataFrame) -> DataFrame:
+    return links.groupBy("case_id", "episode", "kind").agg(F.count("*").alias("n"))
+
+
+def episode_links(spark: SparkSession, sf: str) -> DataFrame:
+    """How many events, alerts and rules each episode is linked with."""
+    return _link_counts(V.episode_links(_activity(spark, sf)))
+
+
+def untimed_activity(spark: SparkSession, sf: str) -> DataFrame:
+    """Events without a readable time that the evaluation or the correlator would otherwise use, by what they lack it for."""
+    ev = T.supported_events(spark, sf)
+    cases = V.untimed(_activity(spark, sf)).select(F.concat(F.lit("evaluation_"), "kind").alias("consumer"), "reason", "case_id")
+    keyed = RT.correlation_rejects(ev).select(F.lit("correlation").alias("consumer"), "reason", F.coalesce("step", F.lit("none")).alias("case_id"))
+    return cases.unionByName(keyed).groupBy("consumer", "reason", F.col("case_id").alias("of")).agg(F.count("*").alias("n"))
 
 
 def dedupe_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -680,10 +697,7 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    triples = SC.correlate_stream(_stream(spark, sf), CORRELATION_WINDOW, "6 hours")
-    with SP.state_store(spark, spark.sparkContext.defaultParallelism):
-        drained = SP.drain(SC.distinct_triples(triples), "correlation")
-    return drained.select(
+    return SC.drain_correlation(_stream(spark, sf), CORRELATION_WINDOW, 6 * 3600).select(
         "process_id", "network_id", "file_id", "timestamp", "rule_id"
     )
 
@@ -699,6 +713,15 @@ def stream_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stream_episode_links(spark: SparkSession, sf: str) -> DataFrame:
+    """``episode_links`` from a stream: the tracker places time slices in episodes, the ids go around it."""
+    sightings, alerts = _evaluation(_stream(spark, sf))
+    with SP.state_store(spark, spark.sparkContext.defaultParallelism):
+        emitted = SP.drain_batches(SE.track_cases(SE.evaluation_input(sightings, alerts)), "evaluation")
+    ids = SP.drain(SE.link_ids(sightings, alerts), "link-ids")
+    return _link_counts(SE.links(emitted, ids))
+
+
 def stream_rules_summary(spark: SparkSession, sf: str) -> DataFrame:
     alerts = SP.detect_stream(_stream(spark, sf))
     counts = alerts.groupBy(F.col("rule.id").alias("rule_id"), "severity").agg(F.count("*").alias("n"))
@@ -739,8 +762,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         anomaly_features, anomaly_scores, anomaly_alerts, response_plan, policy_decisions, case_matrix, case_dashboard,
         technique_coverage, engine_summary, filtered_alert_counts, collection_counts, zero_filled_counts,
         dashboard_totals, dashboard_rows, expected_rule_checks, unknown_cases, episode_sessions, case_classification,
-        evaluation_counts, realtime_summary, count_maps, latest_events, alert_case_lookup, dedupe_records,
-        distinct_realtime_alerts, daily_upsert, written_alerts, written_responses, xml_rejects, stream_correlation, stream_evaluation, stream_rules_summary,
+        evaluation_counts, realtime_summary, count_maps, latest_events, alert_case_lookup, episode_links, untimed_activity, dedupe_records,
+        distinct_realtime_alerts, daily_upsert, written_alerts, written_responses, xml_rejects, stream_correlation, stream_evaluation,
+        stream_episode_links, stream_rules_summary,
         stream_dedupe, stream_series, stream_consume,
     )
 }

@@ -1,119 +1,81 @@
-"""Stateful stream form of the process, network, file correlator.
+"""Stream form of the process, network, file correlator: each micro-batch is correlated as a distributed job.
 
-State is kept per key and time bucket of the window's width, so a key that many hosts share is not
-one group. A step event is also carried into the next bucket, where later events may still complete it.
-State holds the step events in reach and the triples already emitted, and a timer clears it once no row can
-arrive for it. Events of a batch are taken in event-time order.
+State is two tables (see ``versions``): the step events that later arrivals can still reach, and the triples already emitted with them. A
+micro-batch's arrivals look up the step events of both, as in the batch form, so no row is scanned per arrival and no
+task holds a key's window.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StreamingQuery
 
-from .. import catalog
+from .. import catalog, session
 from ..operators import realtime as RT
-
-# Workers get this module's classes by value, so they need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from .versions import Versions
 
 _MICROS = 1_000_000
-_STEPS = RT.STEPS
-_OUTPUT = "process_id string, network_id string, file_id string, timestamp string, ts timestamp"
-
-
-class _WindowedTriples(StatefulProcessor):
-    def __init__(self, window_seconds: int) -> None:
-        self._width = window_seconds * _MICROS
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._queue = handle.getListState("queue", "step string, eid string, t bigint, o bigint, stamp string")
-        self._emitted = handle.getMapState("emitted", "triple string", "t bigint")
+_IDS = [f"{s}_id" for s in RT.STEPS]
+_STEPS = "key string, eid string, stamp string, o bigint, step string, t bigint"
+_TRIOS = "process_id string, network_id string, file_id string, timestamp string, t bigint"
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        queue = [tuple(r) for r in self._queue.get()]
-        fresh = batch["step"].notna()
-        # Most groups hold no step event and never will; they leave no state behind.
-        if not queue and not fresh.any():
-            return
-        carried, out = len(queue), []
-        if len(batch) > 1:
-            batch = batch.sort_values(["t", "o"], kind="stable")
-        for step, eid, t, o, stamp, trigger in zip(*(batch[c] for c in ("step", "eid", "t", "o", "stamp", "trigger"))):
-            if isinstance(step, str):
-                queue.append((step, eid, int(t), int(o), stamp))
-            if not trigger:
-                continue
-            first: dict[str, tuple] = {}
-            for row in queue:
-                if row[2] >= t - self._width:
-                    first.setdefault(row[0], row)
-            if len(first) < len(_STEPS):
-                continue
-            triple = [first[s] for s in _STEPS]
-            name = ("|".join(row[1] for row in triple),)
-            if not self._emitted.containsKey(name):
-                self._emitted.updateValue(name, (int(t),))
-                out.append((*[row[1] for row in triple], triple[2][4], int(t)))
-        if len(queue) > carried:
-            self._queue.appendList(queue[carried:])
-        if not carried:
-            # Rows of this bucket end with it; its carried rows lie before it.
-            self._handle.registerTimer((int(key[1]) + 2) * self._width // 1000)
-        if out:
-            frame = pd.DataFrame(out, columns=["process_id", "network_id", "file_id", "timestamp", "_t"])
-            frame["ts"] = pd.to_datetime(frame.pop("_t"), unit="us")
-            yield frame
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._queue.clear()
-        self._emitted.clear()
-        yield from ()
+class Correlator:
+    """A ``foreachBatch`` function; ``alerts`` reads what it has found.
 
-    def close(self) -> None:
-        pass
-
-
-def correlate_stream(
-    events: DataFrame,
-    window_seconds: int = catalog.REALTIME_WINDOW_SECONDS,
-    watermark: str = "5 minutes",
-    order: str = "seq",
-    host_scoped: bool = False,
-) -> DataFrame:
-    """Triples as they complete, possibly once per key that shows them; see ``distinct_triples``.
-
-    Keys are not scoped to a host unless ``host_scoped`` is set. Rows later than the watermark are dropped.
+    Step events stay in reach until the newest one lies more than the window and ``delay_seconds`` behind them. Later arrivals still fire, but find
+    only what is in reach.
     """
-    width = window_seconds * _MICROS
-    own = F.floor(F.unix_micros("ts") / width)
-    placed = F.struct(own.alias("bucket"), F.lit(True).alias("trigger"))
-    carried = F.when(F.col("step").isNotNull(), F.struct((own + 1).alias("bucket"), F.lit(False).alias("trigger")))
-    rows = (
-        RT.correlation_input(events, order, host_scoped)
-        .withWatermark("ts", watermark)
-        .withColumn("_place", F.explode(F.array_compact(F.array(placed, carried))))
-        .select("key", "_place.bucket", "_place.trigger", "step", "eid", "stamp", "o", F.unix_micros("ts").alias("t"), "ts")
-    )
-    return rows.groupBy("key", "bucket").transformWithStateInPandas(
-        statefulProcessor=_WindowedTriples(window_seconds),
-        outputStructType=_OUTPUT,
-        outputMode="Append",
-        timeMode="EventTime",
-        eventTimeColumnName="ts",
+
+    def __init__(
+        self,
+        path: str,
+        window_seconds: int = catalog.REALTIME_WINDOW_SECONDS,
+        delay_seconds: int = 300,
+        order: str = "seq",
+        host_scoped: bool = False,
+    ) -> None:
+        self._window, self._order, self._host_scoped = window_seconds, order, host_scoped
+        self._reach = (window_seconds + delay_seconds) * _MICROS
+        self._arrived = Versions(f"{path}/arrived", _STEPS)
+        self._steps = Versions(f"{path}/steps", _STEPS)
+        self._emitted = Versions(f"{path}/emitted", _TRIOS)
+        self._found = Versions(f"{path}/found", _TRIOS)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = RT.correlation_input(batch, self._order, self._host_scoped).withColumn("t", F.unix_micros("ts"))
+        known = self._steps.before(spark, batch_id)
+        steps = self._arrived.write(rows.where("step IS NOT NULL").select(*known.columns).unionByName(known), batch_id)
+        emitted = self._emitted.before(spark, batch_id)
+        trios = RT.correlated_trios(rows, steps, self._window)
+        found = self._found.write(trios.join(emitted, _IDS, "left_anti"), batch_id)
+        newest = steps.agg(F.max("t").alias("t")).first().t
+        reached = F.col("t") >= F.lit((newest or 0) - self._reach)
+        self._steps.write(steps.where(reached), batch_id)
+        self._emitted.write(emitted.unionByName(found).where(reached), batch_id)
+        for state in (self._arrived, self._steps, self._emitted):
+            state.forget(spark, batch_id)
+
+    def alerts(self, spark: SparkSession) -> DataFrame:
+        """Alert rows of all triples found so far, each once."""
+        return RT._behavioral_alert(self._found.all(spark))
+
+
+def correlate_stream(events: DataFrame, correlator: Correlator, checkpoint: str, **trigger) -> StreamingQuery:
+    """Feeds a stream of normalized events to a correlator. Keys are not scoped to a host unless the correlator says so."""
+    return (
+        events.writeStream.foreachBatch(correlator)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )
 
 
-def distinct_triples(triples: DataFrame, streaming: bool = True) -> DataFrame:
-    """Alert rows, each triple once although several keys may have found it."""
-    ids = ["process_id", "network_id", "file_id"]
-    once = triples.dropDuplicatesWithinWatermark(ids) if streaming else triples.dropDuplicates(ids)
-    return RT._behavioral_alert(once)
+def drain_correlation(events: DataFrame, window_seconds: int = catalog.REALTIME_WINDOW_SECONDS, delay_seconds: int = 300, **options) -> DataFrame:
+    """Runs a stream over all available input and returns the alert rows."""
+    spark = events.sparkSession
+    correlator = Correlator(session.scratch_path(spark, "correlator"), window_seconds, delay_seconds, **options)
+    correlate_stream(events, correlator, session.scratch_path(spark, "correlator-checkpoint")).awaitTermination()
+    return correlator.alerts(spark)

@@ -152,13 +152,14 @@ def test_inventory(spark):
 
 def test_dashboard_lookups(spark):
     states = spark.createDataFrame(
-        [(1, "c1", "complete", "true_positive", True, ["r1"], []), (2, "c2", "pending", "", False, [], ["a9"])],
-        "case_ord int, case_id string, status string, classification string, expected_alert boolean, actual_rule_ids array<string>, alert_ids array<string>",
+        [(1, "c1", "complete", "true_positive", True), (2, "c2", "pending", "", False)],
+        "case_ord int, case_id string, status string, classification string, expected_alert boolean",
     )
+    links = spark.createDataFrame([("c1", "rule", "r1"), ("c2", "alert", "a9"), ("c2", "event", "a1")], "case_id string, kind string, id string")
     alerts = spark.createDataFrame(
         [("a9", "r1"), ("a9", "rX"), ("a1", "rX")], "alert_id string, rule_id string"
     ).selectExpr("*", "'T' technique_id", "'e' engine", "'' severity", "cast(null as string) process_name", "1 event_code", "'t' timestamp")
-    rows = {(r.alert_id, r.rule_id): r for r in D.alert_table(alerts, states).collect()}
+    rows = {(r.alert_id, r.rule_id): r for r in D.alert_table(alerts, states, links).collect()}
     assert rows["a9", "r1"].classification == "true_positive" and rows["a9", "rX"].classification == "pending"
     assert rows["a1", "rX"].classification == "pending" and rows["a1", "rX"].expected_alert is True
     assert rows["a1", "rX"].severity == "unknown" and rows["a1", "rX"].process == "-"
@@ -176,12 +177,21 @@ def test_episodes_follow_the_clock(spark):
         return df.withColumn("ts", F.expr("timestamp'2026-05-01 10:00:00' + make_interval(0,0,0,0,0,0,sec)"))
     seen = V.matching_cases(docs([("x mark_tp", 0, "1"), ("mark_tn", 1, "2"), ("mark_tn", 20, "3"), ("mark_fp", 2, "4")]), F.col("text"), cases)
     fired = V.matching_cases(
-        docs([("mark_tp", 0, "1", "other"), ("mark_fp", 2, "4", "rz")], ", rule_id string"), F.col("text"), cases
+        docs([("mark_tp", 0, "1", "other"), ("mark_fp", 2, "4", "rz")], ", rule_id string").withColumn("alert_id", F.concat(F.lit("a"), "event_id")),
+        F.col("text"), cases,
     )
     run = lambda sec: {(r.case_id, r.episode): r.classification or r.status for r in V.evaluate_episodes(seen, fired, F.expr(at.format(sec))).collect()}
     assert run(3) == {("tp", 1): "pending", ("tn", 1): "pending", ("tn", 2): "pending", ("fp", 1): "false_positive"}
     # The alert's rule was not the expected one, so the expected marker ends as a miss.
     assert run(22) == {("tp", 1): "false_negative", ("tn", 1): "true_negative", ("tn", 2): "pending", ("fp", 1): "false_positive"}
+    links = V.episode_links(V.activity(seen, fired))
+    assert sorted(tuple(r) for r in links.collect()) == [
+        ("fp", 1, "alert", "a4"), ("fp", 1, "event", "4"), ("fp", 1, "rule", "rz"), ("tn", 1, "event", "2"), ("tn", 2, "event", "3"),
+        ("tp", 1, "alert", "a1"), ("tp", 1, "event", "1"), ("tp", 1, "rule", "other"),
+    ]
+    assert sorted((r.case_id, r.episode, r.id) for r in V.last_links(links).where("kind = 'event'").collect()) == [("fp", 1, "4"), ("tn", 2, "3"), ("tp", 1, "1")]
+    lost = V.untimed(V.activity(seen.withColumn("ts", F.lit(None).cast("timestamp")), fired))
+    assert {(r.case_id, r.kind, r.id, r.reason) for r in lost.collect()} >= {("tn", "event", "2", "missing_time"), ("fp", "event", "4", "missing_time")}
     counts_row = V.state_counts(V.latest_states(V.evaluate_episodes(seen, fired, F.expr(at.format(59))), V.case_table(spark, cases).drop("expected_rule_ids", "window_seconds"))).first()
     assert (counts_row.case_count, counts_row.true_negative, counts_row.false_negative, counts_row.not_seen) == (3, 1, 1, 0)
 

@@ -130,9 +130,63 @@ def test_correlator_batch_and_stream(spark, tmp_path):
     expected = [("1", "2", "3"), ("4", "2", "3")]
     assert triples(RT.correlate(df)) == expected
     assert triples(RT.correlate(df, host_scoped=True)) == []
-    stream = SC.correlate_stream(stream_of(spark, tmp_path, df))
-    with SP.state_store(spark):
-        assert triples(SP.drain(SC.distinct_triples(stream), "triples")) == expected
+    assert triples(SC.drain_correlation(stream_of(spark, tmp_path, df))) == expected
+
+
+def queue_triples(docs, window=300):
+    """The correlator as a queue per key, fed in time order."""
+    from collections import defaultdict
+
+    queues, out = defaultdict(list), set()
+    for seq, step, key, sec in sorted(docs, key=lambda d: (d[3], d[0])):
+        if step in "pnf":
+            queues[key].append((seq, step, sec))
+        queues[key] = [e for e in queues[key] if e[2] >= sec - window]
+        first = {}
+        for e in queues[key]:
+            first.setdefault(e[1], str(e[0]))
+        if {"p", "n", "f"} <= first.keys():
+            out.add((first["p"], first["n"], first["f"]))
+    return sorted(out)
+
+
+def plain_doc(seq, step, key, sec):
+    stamp = f"2026-05-01T{10 + sec // 3600:02}:{sec // 60 % 60:02}:{sec % 60:02}Z"
+    name = f"{key}.exe" if step == "x" else "certutil.exe"
+    make = {"p": download_process, "n": download_network, "f": download_file}.get(step, event)
+    return make(seq, ts=stamp, entity=key, name=name, **({"cmd": "quiet"} if step == "x" else {}))
+
+
+def test_correlator_over_many_micro_batches(spark, tmp_path):
+    """Random arrivals of a few keys, one file per stretch of time, against the queue and the batch form."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice("pnfxxx"), rng.choice("ab"), rng.randrange(4000)) for i in range(120)]
+    # the correlator's other keys (image, markers) join the entities here; the query's check SQL covers them in full
+    docs = [{**plain_doc(*r), "part": n // 40} for n, r in enumerate(sorted(rows, key=lambda r: (r[3], r[0])))]
+    whole = events_df(spark, docs, "part int")
+    df, path = whole.drop("part"), tmp_path / "arrivals"
+    for n in range(3):
+        whole.where(F.col("part") == n).drop("part").coalesce(1).write.parquet(str(path / f"part-{n}"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    got = triples(SC.drain_correlation(stream))
+    assert got == triples(RT.correlate(df)) and len(got) > 5
+
+
+def test_hot_key_in_one_window(spark):
+    """100,000 arrivals of one key within one window: no task gets more than a small share, and no pair forms."""
+    rows = spark.range(100_000).select(
+        F.lit("entity:a").alias("key"), F.col("id").cast("string").alias("eid"), F.col("id").cast("string").alias("stamp"), F.col("id").alias("o"),
+        F.when(F.col("id") % 100 < 3, F.element_at(F.array(*map(F.lit, RT.STEPS)), (F.col("id") % 100 + 1).cast("int"))).alias("step"),
+        (F.col("id") * 2900).alias("t"),
+    )
+    got = triples(RT.correlated_trios(rows, rows.where("step IS NOT NULL"), 300))
+    # nothing leaves the window, so the first events of each step stay
+    assert got == [("0", "1", "2")]
+    short = triples(RT.correlated_trios(rows, rows.where("step IS NOT NULL"), 3))
+    docs = [(i, {0: "p", 1: "n", 2: "f"}.get(i % 100, "x"), "a", i * 0.0029) for i in range(100_000)]
+    assert short == queue_triples(docs, 3)
 
 
 def test_evaluation_stream_with_timers(spark, tmp_path):
@@ -148,10 +202,16 @@ def test_evaluation_stream_with_timers(spark, tmp_path):
     path = str(tmp_path / "marks")
     df.coalesce(1).write.parquet(path)
     stream = spark.readStream.schema(df.schema).parquet(path)
-    matched = V.matching_cases(stream, F.col("text"), cases)
-    rows = SE.evaluation_input(matched.where("rule_id IS NULL"), matched.where("rule_id IS NOT NULL"))
+    matched = V.matching_cases(stream, F.col("text"), cases).withColumns({c: F.concat_ws("-", F.lit(c), "text", "sec") for c in ("event_id", "alert_id")})
+    parts = matched.where("rule_id IS NULL"), matched.where("rule_id IS NOT NULL")
     with SP.state_store(spark):
-        out = SE.newest_states(SP.drain_batches(SE.track_cases(rows, "1 second"), "track"))
+        emitted = SP.drain_batches(SE.track_cases(SE.evaluation_input(*parts), "1 second"), "track")
+    out = SE.newest_states(emitted)
+    found = SE.links(emitted, SP.drain(SE.link_ids(*parts), "ids"))
+    assert sorted(tuple(r) for r in found.collect()) == [
+        ("clock", 1, "event", "event_id-mark_clock-60"), ("tn", 1, "event", "event_id-mark_tn-1"), ("tp", 1, "alert", "alert_id-mark_tp-2"),
+        ("tp", 1, "event", "event_id-mark_tp-0"), ("tp", 1, "rule", "r1"),
+    ]
     got = {r.case_id: (r.status, r.classification) for r in out.collect()}
     # The watermark passed the benign window, so its timer closed it without another event.
     assert got == {"tp": ("complete", "true_positive"), "tn": ("complete", "true_negative"), "clock": ("pending", "")}
