@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huntframe.llm.storage import written
+from huntframe.llm.storage import delete, written, written_at
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -16,13 +16,14 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     both = written(both, f"{label}-edges")
-    now = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), label)
+    now, path = written_at(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), label)
     while True:
         near = both.join(now.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         lower = now.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = now.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = written(lower.join(jump, "label").select("node", F.least("label", "next").alias("label"), "old"), label)
+        after, newer = written_at(lower.join(jump, "label").select("node", F.least("label", "next").alias("label"), "old"), label)
         moved = after.filter("label <> old").limit(1).count()
-        now = after.drop("old")
+        delete(edges.sparkSession, path)
+        now, path = after.drop("old"), newer
         if not moved:
             return now

@@ -17,12 +17,13 @@ results; rows of one item id count as one item, a null id as the empty one.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huntframe.llm.arrow_text import slices
-from huntframe.llm.storage import written
+from huntframe.llm.storage import delete_since, mark, written, written_at
 from huntframe.llm.word_hashes import ALPHANUMERIC, grams, words_of
 
 SPAN = 10
@@ -111,13 +112,18 @@ def _bit(size: np.ndarray | int, prints: np.ndarray) -> np.ndarray:
     return (prints.astype(np.uint64) % np.uint64(BITMAP_BITS)).astype(np.int64)
 
 
-def document_hits(docs: DataFrame, prints: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, n_words, hits``: of each document the fingerprints that the bitmap of the items' ones has."""
+def _bitmap(slots: DataFrame) -> np.ndarray:
+    """One bit per slot of a table of slots ``b``."""
     bits = np.zeros(BITMAP_BITS // 8, np.uint8)
-    slots = prints.select((F.pmod(F.col("print"), F.lit(BITMAP_BITS))).cast("int").alias("b")).distinct()  # BITMAP_BITS rows at most
-    for batch in slots.toArrow().column("b").chunks:
+    for batch in slots.select(F.col("b").cast("int")).distinct().toArrow().column("b").chunks:  # BITMAP_BITS rows at most
         b = batch.to_numpy()
         np.bitwise_or.at(bits, b >> 3, (1 << (b & 7)).astype(np.uint8))
+    return bits
+
+
+def document_hits(docs: DataFrame, prints: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, n_words, hits``: of each document the fingerprints that the bitmap of the items' ones has."""
+    bits = _bitmap(prints.select(F.pmod(F.col("print"), F.lit(BITMAP_BITS)).alias("b")))
     sizes = sorted(r[0] for r in prints.select("size").distinct().collect())  # SPAN rows at most
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -172,15 +178,31 @@ def contamination(
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
-    """The rows whose text has no hit, with their own columns. Equal texts share a verdict, so texts are matched by digest."""
-    digest = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
-    keyed = docs.select(digest.alias("digest"), F.col(f"`{text}`").alias("text"))
+    """The rows whose text has no hit, with their own columns. Equal texts share a verdict, so texts are matched by digest.
+
+    A bitmap of fixed size over the hashes of bad texts lets the other rows pass where they stand; only rows it marks, the bad ones and a few
+    others, are joined with the digests.
+    """
+    spark, digest = docs.sparkSession, F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
+    slot = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.lit(BITMAP_BITS))
+    keyed = docs.select(F.struct(digest.alias("digest"), slot.alias("slot")).alias("key"), F.col(f"`{text}`").alias("text"))
     ids = items.select(F.col(f"`{item_text}`").alias("text"), F.lit(0).alias("item_id"))
-    bad = written(contamination(keyed, ids, "digest").filter("contaminated").select("digest").distinct(), "contaminated")
-    name = "_digest"
-    while name in docs.columns:
-        name += "_"
-    return docs.withColumn(name, digest).join(bad.withColumnRenamed("digest", name), name, "left_anti").select(*docs.columns)
+    point = mark()
+    bad, path = written_at(contamination(keyed, ids, "key").filter("contaminated").select("key.*").distinct(), "contaminated")
+    delete_since(spark, point, keep=path)
+    bits = spark.sparkContext.broadcast(_bitmap(bad.select(F.col("slot").alias("b"))))
+
+    @F.pandas_udf("boolean")
+    def marked(slots: pd.Series) -> pd.Series:
+        b = slots.to_numpy()
+        return pd.Series((bits.value[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1)
+
+    name, flag = "_digest", "_marked"
+    while name in docs.columns or flag in docs.columns:
+        name, flag = name + "_", flag + "_"
+    flagged = docs.withColumn(flag, marked(slot))
+    maybe = flagged.filter(F.col(flag)).withColumn(name, digest).join(bad.select(F.col("digest").alias(name)), name, "left_anti")
+    return flagged.filter(~F.col(flag)).select(*docs.columns).unionByName(maybe.select(*docs.columns))
 
 
 def op9_winnowing(spark, sf_dir: str) -> DataFrame:

@@ -21,9 +21,36 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table once and reads it back: later steps don't recompute it, and lost executors don't lose it."""
+_made: list[str] = []
+
+
+def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Writes a table once and reads it back: later steps don't recompute it, and lost executors don't lose it. The path serves ``delete``."""
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    return written_at(df, label)[0]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def mark() -> int:
+    """A point in the order of written tables."""
+    return len(_made)
+
+
+def delete_since(spark: SparkSession, point: int, keep: str | None = None) -> None:
+    """Deletes what was written after ``point``, but for the table at ``keep``."""
+    for path in [p for p in _made[point:] if p != keep]:
+        delete(spark, path)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huntframe.llm.storage import written
+from huntframe.llm.storage import delete_since, mark, written, written_at
 from huntframe.llm.word_hashes import U64, mixed, powers
 
 LENGTH = 400
@@ -394,7 +394,9 @@ def without_repeats(
 ) -> DataFrame:
     """``key, n_bytes, n_removed, n_spans, kept_sha256`` per row, and with ``bodies`` the bytes that are left as ``kept``."""
     docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    spans = written(repeated_spans(docs, length, gram), "spans")
+    point = mark()
+    spans, path = written_at(repeated_spans(docs, length, gram), "spans")
+    delete_since(docs.sparkSession, point, keep=path)
     texts = _packed(docs).join(spans, "name", "left").select("key", "packed", "spans")
     kind = docs.schema["key"].dataType.simpleString()
     names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * bodies]
@@ -425,4 +427,5 @@ def without_repeats(
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.withColumn("has_repeats", F.col("n_removed") > 0)
