@@ -9,13 +9,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huntframe.llm import decontamination, grouped_prefix_join, piece_encoding, pii, quality
-from huntframe.llm.storage import shared_path
+from huntframe.llm.storage import delete_since, mark, shared_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -47,12 +48,29 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_encoding.encode_digests(docs)
 
 
+_first: int | None = None
+
+
+def _stage(made: Stage) -> Stage:
+    """A stage that first deletes the intermediate tables of the stages before it: their results are written and reread, so nothing reads those."""
+
+    @functools.wraps(made)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _first
+        if _first is not None:
+            delete_since(spark, _first)
+        _first = mark()
+        return made(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality_rules", quality_rules),
-    ("near_duplicates", near_duplicates),
-    ("benchmark", benchmark),
-    ("personal_data", personal_data),
-    ("piece_encoding", encoding),
+    ("quality_rules", _stage(quality_rules)),
+    ("near_duplicates", _stage(near_duplicates)),
+    ("benchmark", _stage(benchmark)),
+    ("personal_data", _stage(personal_data)),
+    ("piece_encoding", _stage(encoding)),
 ]
 
 #: SQL cannot express subword encoding; the stages are tested against brute force.
