@@ -188,6 +188,12 @@ def aggregate_techniques(
     return df.withColumn("score", score_technique(F.col("engines"), F.col("demo_case_count"), F.col(flag)))
 
 
+def stored_sequences(alerts: DataFrame) -> DataFrame:
+    """``sequence_name, n`` of stored alerts that name a sequence; the table's day partitions select what is read."""
+    name = F.col("detection.sequence_name")
+    return alerts.where(S.text(name) != "").groupBy(name.alias("sequence_name")).agg(F.count("*").alias("n"))
+
+
 def technique_rank() -> Column:
     """Sort key: the required techniques in their order, all others after them."""
     known = F.array_position(S.str_array(catalog.TECHNIQUE_ORDER), F.col("technique_id"))
@@ -289,6 +295,25 @@ def case_matrix_totals(cases: DataFrame, stored: DataFrame | None = None) -> Dat
     return joined.select(*[F.coalesce(F.nullif(F.col(f"_{n}"), F.lit(0)), F.col(n)).alias(n) for n in names])
 
 
+def coverage_report(spark: SparkSession, checks: DataFrame, generated_at: str) -> DataFrame:
+    """The whole report as one nested row: techniques, rules, their summary, the validations and one verdict.
+
+    ``checks``: rows with ``passed``, one per validation. Only catalogue tables and validations are gathered, never alerts.
+    """
+    inventory = rule_inventory(spark)
+    listed = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
+    verdict = checks.agg(F.coalesce(F.bool_and(F.coalesce("passed", F.lit(False))), F.lit(True)).alias("all_passed"))
+    summary = engine_summary(inventory)
+    report = spark.range(1).select(F.lit(generated_at).alias("generated_at"))
+    parts = (
+        listed(covered_techniques(spark), "covered_techniques"), listed(inventory, "rule_inventory"), listed(checks, "validation_results"),
+        summary.select(F.struct(*summary.columns).alias("engine_coverage_summary")), verdict,
+    )
+    for part in parts:  # single aggregate rows
+        report = report.join(F.broadcast(part), on=F.lit(True))
+    return report
+
+
 def capability_status(capabilities: DataFrame, validations: DataFrame) -> DataFrame:
     """Capability rows with the combined status of the validations they depend on.
 

@@ -85,6 +85,50 @@ def case_rows(cases: DataFrame, alerts: DataFrame, events: DataFrame, responses:
     return df.withColumn("classification", classify(F.col("expected_alert"), F.col("actual_alert")))
 
 
+def case_rows_of(cases: DataFrame, facts: DataFrame) -> DataFrame:
+    """One row per case from one aggregate over its facts.
+
+    ``facts``: ``case_id, kind, ord, n, event_code, rule_id, engine, sequence_name, error``, one row per event, alert, planned response or failure
+    (``kind``), or several of them counted in ``n``.
+
+    A case with a failure keeps its row with ``status`` failed, its first error in order, and nothing counted. Arrays hold distinct values in the order
+    of their first fact, which are combined before anything is gathered.
+    """
+    values = ("event_code", "rule_id", "engine", "sequence_name", "error")
+    combined = facts.groupBy("case_id", "kind", *values).agg(F.sum("n").alias("n"), F.min("ord").alias("ord"))
+    count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0).cast("bigint"))
+    is_kind = lambda k: F.col("kind") == k
+    listed = lambda kind, c: F.array_distinct(
+        F.transform(
+            F.array_sort(F.collect_list(F.when(is_kind(kind) & (S.text(F.col(c)) != ""), F.struct("ord", F.col(c).alias("v"))))), lambda s: s["v"]
+        )
+    )
+    one = combined.groupBy("case_id").agg(
+        count(is_kind("alert")).alias("alert_count"),
+        count(is_kind("alert") & (F.col("engine") == "behavioral")).alias("correlated_sequence_count"),
+        count(is_kind("response")).alias("response_count"),
+        count(is_kind("event")).alias("normalized_event_count"),
+        listed("alert", "rule_id").alias("actual_rule_ids"),
+        listed("alert", "engine").alias("actual_engines"),
+        listed("alert", "sequence_name").alias("actual_sequence_names"),
+        F.array_join(listed("event", "event_code"), "/").alias("event_code"),
+        F.min_by("error", F.when(is_kind("failure"), F.col("ord"))).alias("error"),
+    )
+    df = cases.join(one, "case_id", "left").withColumn("_ok", F.col("error").isNull())
+    for c in ("alert_count", "correlated_sequence_count", "response_count", "normalized_event_count"):
+        df = df.withColumn(c, F.coalesce(F.when(F.col("_ok"), F.col(c)), F.lit(0).cast("bigint")))
+    for c in ("actual_rule_ids", "actual_engines", "actual_sequence_names"):
+        df = df.withColumn(c, F.coalesce(F.when(F.col("_ok"), F.col(c)), F.array().cast("array<string>")))
+    df = df.withColumns(
+        {
+            "event_code": F.when(F.col("_ok"), F.col("event_code")),
+            "status": F.when(F.col("_ok"), F.lit("passed")).otherwise(F.lit("failed")),
+            "actual_alert": F.col("alert_count") > 0,
+        }
+    )
+    return df.withColumn("classification", classify(F.col("expected_alert"), F.col("actual_alert"))).drop("_ok")
+
+
 def with_failures(rows: DataFrame, failures: DataFrame) -> DataFrame:
     """Adds ``status`` and ``error``; cases that failed (``case_id, error``) keep their row."""
     df = rows.join(failures.select("case_id", "error"), "case_id", "left")
@@ -196,6 +240,22 @@ def rule_id_checks(expected: DataFrame, actual: DataFrame) -> DataFrame:
     )
 
 
+def containment_checks(required: DataFrame, actual: DataFrame) -> DataFrame:
+    """Per check whether all its required rules fired: ``name, required_count, missing_count, actual_alert_count, passed``.
+
+    ``required``: ``name, rule_id``; ``actual``: ``name, rule_id, n``, the alerts per rule. Rules that fired but are not required only count as alerts.
+    """
+    both = required.select("name", "rule_id").distinct().withColumn("needed", F.lit(True)).join(
+        actual.groupBy("name", "rule_id").agg(F.sum("n").alias("n")), ["name", "rule_id"], "full"
+    )
+    needed = F.coalesce(F.col("needed"), F.lit(False))
+    checks = both.groupBy("name").agg(
+        F.count_if(needed).alias("required_count"), F.count_if(needed & F.col("n").isNull()).alias("missing_count"),
+        F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("actual_alert_count"),
+    )
+    return checks.withColumn("passed", F.col("missing_count") == 0)
+
+
 def all_passed(results: DataFrame, column: str = "passed") -> DataFrame:
     """One verdict row; an empty table passes."""
     return results.agg(F.coalesce(F.bool_and(F.coalesce(F.col(column), F.lit(False))), F.lit(True)).alias("all_passed"))

@@ -120,6 +120,31 @@ def _sections(get, code: Column) -> dict[str, Column]:
     }
 
 
+_ASIDE = r"<!--.*?-->|<\?.*?\?>"
+_TAG = r"""<(?:[^<>"']|"[^"]*"|'[^']*')*>"""
+
+
+def is_one_document(xml: Column) -> Column:
+    """Whether a text holds one root element and nothing else but blanks, comments and instructions around it.
+
+    Usually the text after the first end tag of the root's name is blank, which is all that is looked at. Otherwise the depth of all tags is
+    walked. What is inside the root is the parser's to judge.
+    """
+    root = F.regexp_extract(xml, r"<([A-Za-z_][\w:.-]*)", 1)
+    end = F.position(F.concat(F.lit("</"), root), xml)
+    after = F.when(end > 0, F.substr(xml, end)).otherwise(F.lit(""))
+    quick = xml.rlike(r"^\s*<") & after.rlike(r"^</[\w:.-]+\s*>\s*$")
+    bare = F.regexp_replace(xml, rf"(?s){_ASIDE}|<!\[CDATA\[.*?\]\]>|<![^>]*>", "")
+    step = lambda s, tag: F.struct(
+        (s["depth"] + F.when(F.startswith(tag, F.lit("</")), -1).when(F.endswith(tag, F.lit("/>")), 0).otherwise(1)).alias("depth"),
+        (s["roots"] + F.when((s["depth"] == 0) & ~F.startswith(tag, F.lit("</")), 1).otherwise(0)).alias("roots"),
+    )
+    walked = F.aggregate(F.regexp_extract_all(bare, F.lit(_TAG), F.lit(0)), F.struct(F.lit(0).alias("depth"), F.lit(0).alias("roots")), step)
+    last = F.substring_index(bare, "<", -1)
+    ends = last.rlike(r"""^/[\w:.-]+\s*>\s*$""") | last.rlike(r"""^[\w:.-]+(?:[^<>"']|"[^"]*"|'[^']*')*/>\s*$""")
+    return F.when(quick, F.lit(True)).otherwise(bare.rlike(r"^\s*<") & ends & (walked["depth"] == 0) & (walked["roots"] == 1))
+
+
 def parse_xml(df: DataFrame, xml: str = "xml") -> DataFrame:
     """Adds ``_sys`` (null if the document is malformed) and the ``_data`` field map."""
     parsed = F.from_xml(F.col(xml), schemas.XML_RECORD, _XML_OPTIONS)
@@ -131,8 +156,7 @@ def parse_xml(df: DataFrame, xml: str = "xml") -> DataFrame:
     # An EventData element without children parses to null; it still counts as present.
     has_data = F.col("_parsed.EventData").isNotNull() | F.col(xml).rlike(r"<(\w+:)?EventData[\s/>]")
     # The parser stops after the first document; whatever else the text holds makes it malformed.
-    bare = F.regexp_replace(F.col(xml), r"(?s)<!--.*?-->", "")
-    whole = bare.rlike(r"(</(\w+:)?Event\s*>|/>)\s*$") & (F.regexp_count(bare, F.lit(r"</(\w+:)?Event\s*>")) <= 1)
+    whole = is_one_document(F.col(xml))
     return (
         df.withColumn("_data", S.last_wins_map(F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>"))))
         .withColumn("_broken", F.coalesce(~whole | F.col("_parsed._corrupt_record").isNotNull(), F.lit(False)))

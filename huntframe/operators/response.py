@@ -90,6 +90,20 @@ def playbooks_df(spark: SparkSession, playbooks: Sequence[Playbook] = DEFAULT_PL
     )
 
 
+def is_planned(rule_id: Column, technique_id: Column, playbooks: Sequence[Playbook] = DEFAULT_PLAYBOOKS) -> Column:
+    """Whether ``plan_responses`` would plan for an alert of this rule and technique; no join, as playbooks are a driver-side list."""
+
+    def first(key: Column, attribute: str) -> Column:
+        at: dict[str, int] = {}
+        for n, p in enumerate(playbooks):
+            for value in getattr(p, attribute):
+                at.setdefault(value, n)
+        return F.element_at(F.create_map(*[F.lit(x) for pair in at.items() for x in pair]), key) if at else F.lit(None).cast("int")
+
+    usable = [n for n, p in enumerate(playbooks) if p.actions and all(a.status == "planned" for a in p.actions)]
+    return F.coalesce(F.least(first(rule_id, "rule_ids"), first(technique_id, "technique_ids")).isin(*usable), F.lit(False))
+
+
 def plan_responses(
     alerts: DataFrame,
     playbooks: Sequence[Playbook] = DEFAULT_PLAYBOOKS,

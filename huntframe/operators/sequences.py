@@ -471,3 +471,22 @@ def host_ordinals(events: DataFrame, order: str = "seq", slice_seconds: int = 36
 def union_alerts(*alerts: DataFrame) -> DataFrame:
     """Alerts of several engines as one table."""
     return reduce(lambda a, b: a.unionByName(b), alerts)
+
+
+def running_numbers(rows: DataFrame, order: Sequence[str], name: str = "number") -> DataFrame:
+    """Dense numbers from 1 over all rows in the order of some columns, which together are unique.
+
+    Rows are dealt by ranges and sorted there; a row's number is its place plus the sizes of the ranges before. The sizes are one row per range, so
+    no task sees the whole table. The dealt rows are written first, which fixes the ranges.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    dealt = cut_lineage(
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_range": F.spark_partition_id(), "_place": place}), "numbered"
+    )
+    sizes = sorted((r["_range"], r["n"]) for r in dealt.groupBy("_range").agg(F.count("*").alias("n")).collect())
+    before, starts = 0, []
+    for number, n in sizes:
+        starts.append((number, before))
+        before += n
+    offsets = rows.sparkSession.createDataFrame(starts, "_range int, _before bigint")
+    return dealt.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_range", "_place", "_before")

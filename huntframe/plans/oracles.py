@@ -10,7 +10,7 @@ from ..operators.realtime import REALTIME_RULES
 from ..operators.rules import NATIVE_RULES, SIGMA_LIKE_RULES
 from ..operators.sequences import SEQUENCES
 from ..sources.telemetry_view import FLAT_SQL
-from .queries import CORRELATION_WINDOW, PLAYBOOKS, SEQUENCE_WINDOW, WIDE_CASES
+from .queries import CORRELATION_WINDOW, ENGINE_CASES, PLAYBOOKS, SEQUENCE_WINDOW, WIDE_CASES
 
 SUPPORTED = "event_code IN (1, 3, 11, 13)"
 
@@ -144,8 +144,9 @@ _FLAGS = {
 _MARKERS = ", ".join(
     f"CASE WHEN contains(etext, {q(m)}) THEN {q(m)} END" for m in dict.fromkeys(x.lower() for x in catalog.SEQUENCE_CONTEXT_MARKERS)
 )
-SEQ_EVENTS = (
-    LOWS,
+def seq_events(same: str = "true") -> tuple[str, ...]:
+    """CTEs of the step events and the pairs of an anchor and a later event that may belong to it, and for which ``same`` holds."""
+    return (
     f"texts AS (SELECT *, {_TEXT} AS etext FROM low)",
     f"ev AS (SELECT *, coalesce(epoch_us(ts), 0) AS t, coalesce(CAST(pid AS VARCHAR), '') AS pidt, "
     f"list_filter([{_MARKERS}], lambda x: x IS NOT NULL) AS markers, "
@@ -162,8 +163,11 @@ SEQ_EVENTS = (
       WHEN a.entity_id <> '' AND c.entity_id <> '' THEN a.entity_id = c.entity_id
       WHEN a.pidt <> '' AND a.pidt = c.pidt AND a.name <> '' AND a.name = c.name THEN true
       WHEN a.name <> '' AND c.name <> '' AND a.name <> c.name THEN false
-      ELSE list_has_any(a.markers, c.markers) END)""",
-)
+      ELSE list_has_any(a.markers, c.markers) END AND ({same}))""",
+    )
+
+
+SEQ_EVENTS = (LOWS, *seq_events())
 
 
 def _first(name: str, source: str, where: str) -> str:
@@ -186,6 +190,21 @@ def _sequence_select(name: str, source: str, steps: list[tuple[str, str]]) -> st
     )
 
 
+def sequence_hits(same: str = "true") -> tuple[str, ...]:
+    """CTE ``seqs``: each matched sequence with its anchor, without its documents."""
+    s1, s2, s3 = SEQUENCES
+    row = lambda d: f"x.seq, x.user_no, x.host_name, {q(d.sequence_name)} AS sequence_name, {q(d.rule_id)} AS rule_id, {q(d.technique_id)} AS technique_id"
+    return (
+        *seq_events(same),
+        _first("net1", "pairs p", "p.p1105 AND p.network"),
+        _first("fil1", "pairs p JOIN net1 n ON n.a = p.a", "p.p1105 AND p.file AND (p.ct > n.ct OR (p.ct = n.ct AND p.c > n.c))"),
+        _first("reg1", "pairs p", "p.p1547 AND p.registry"),
+        f"""seqs AS (SELECT {row(s1)} FROM ev x JOIN net1 ON net1.a = x.seq JOIN fil1 ON fil1.a = x.seq
+  UNION ALL SELECT {row(s2)} FROM ev x JOIN reg1 ON reg1.a = x.seq UNION ALL SELECT {row(s3)} FROM ev x WHERE is_t1218_process)""",
+    )
+
+
+SEQUENCE_HITS = sequence_hits()
 T1105_SQL = tele(
     _sequence_select(
         SEQUENCES[0].sequence_name, "ev x JOIN net ON net.a = x.seq JOIN fil ON fil.a = x.seq",
@@ -287,31 +306,42 @@ def _score(hours) -> str:
 
 # --- cases --------------------------------------------------------------------------------------
 
+_PB_ORD = "least(" + ", ".join(
+    "CASE " + " ".join(
+        f"WHEN {col} IN ({', '.join(q(v) for v in getattr(p, attr))}) THEN {n}" for n, p in enumerate(PLAYBOOKS) if getattr(p, attr)
+    ) + " END"
+    for col, attr in (("rule_id", "rule_ids"), ("technique_id", "technique_ids"))
+) + ")"
+_PB = "pb AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({n}, {q(p.id)}, {q(','.join(a.id for a in p.actions))}, {q('|'.join(a.id for a in p.actions))})" for n, p in enumerate(PLAYBOOKS)
+) + ") v(ord, playbook_id, actions, action_ids))"
+
 CASES = (
     *ENGINES,
     """cases AS (SELECT 'case_' || CAST(no AS VARCHAR) AS case_id, no,
     (['T1059.001','T1105','T1547.001','T1218','T9999'])[no % 5 + 1] AS technique_id, no % 3 <> 0 AS expected_alert,
     CASE WHEN no % 4 = 0 THEN 'dry-run' WHEN no % 4 = 1 THEN 'none' ELSE '' END AS expected_protection, no % 8 = 0 AS expected_response
     FROM (SELECT DISTINCT user_no * 7 + seq % 7 AS no FROM low))""",
-    """ca AS (SELECT 'case_' || CAST(user_no * 7 + seq % 7 AS VARCHAR) AS case_id, seq * 10 + rule_ord AS ord, rule_id, engine FROM allhits)""",
+    """ca AS (SELECT 'case_' || CAST(user_no * 7 + seq % 7 AS VARCHAR) AS case_id, seq * 10 + rule_ord AS ord, rule_id, engine, technique_id FROM allhits)""",
+    f"resp AS (SELECT case_id, count(*) AS responses FROM ca WHERE {_PB_ORD} IS NOT NULL GROUP BY 1)",
     """firsts AS (SELECT case_id, rule_id, engine, min(ord) AS ord FROM ca GROUP BY ALL)""",
     """engs AS (SELECT case_id, string_agg(engine, ',' ORDER BY ord) AS engines FROM (SELECT case_id, engine, min(ord) AS ord FROM ca GROUP BY ALL) GROUP BY 1)""",
     """act AS (SELECT case_id, string_agg(rule_id, ',' ORDER BY ord) AS rules FROM firsts GROUP BY 1)""",
     """nums AS (SELECT case_id, count(*) AS n FROM ca GROUP BY 1)""",
     """codes AS (SELECT case_id, string_agg(CAST(event_code AS VARCHAR), '/' ORDER BY seq) AS event_code, sum(c) AS events FROM (
     SELECT 'case_' || CAST(user_no * 7 + seq % 7 AS VARCHAR) AS case_id, event_code, min(seq) AS seq, count(*) AS c FROM low GROUP BY 1, 2) GROUP BY 1)""",
-    """rows_ AS (SELECT c.*, coalesce(n.n, 0) AS alert_count, coalesce(n.n, 0) > 0 AS actual_alert, coalesce(a.rules, '') AS rules,
+    """rows_ AS (SELECT c.*, coalesce(p.responses, 0) AS response_count, coalesce(n.n, 0) AS alert_count, coalesce(n.n, 0) > 0 AS actual_alert, coalesce(a.rules, '') AS rules,
     coalesce(e.engines, '') AS engines, k.event_code, CAST(k.events AS BIGINT) AS events,
     CASE WHEN expected_alert AND coalesce(n.n, 0) > 0 THEN 'true_positive' WHEN NOT expected_alert AND coalesce(n.n, 0) = 0 THEN 'true_negative'
       WHEN NOT expected_alert THEN 'false_positive' ELSE 'false_negative' END AS classification
-    FROM cases c LEFT JOIN nums n USING (case_id) LEFT JOIN act a USING (case_id) LEFT JOIN engs e USING (case_id) LEFT JOIN codes k USING (case_id))""",
+    FROM cases c LEFT JOIN nums n USING (case_id) LEFT JOIN act a USING (case_id) LEFT JOIN engs e USING (case_id) LEFT JOIN codes k USING (case_id) LEFT JOIN resp p USING (case_id))""",
 )
 DASHBOARD = """
 SELECT 'protection_count' AS metric, CASE WHEN expected_protection = '' THEN 'none' ELSE expected_protection END AS key, CAST(count(*) AS BIGINT) AS n FROM rows_ GROUP BY 1, 2
 UNION ALL SELECT 'alert_count_by_technique', technique_id, CAST(sum(alert_count) AS BIGINT) FROM rows_ WHERE actual_alert GROUP BY 1, 2
 UNION ALL SELECT 'event_count_by_code', event_code, count(*) FROM rows_ GROUP BY 1, 2
 UNION ALL SELECT 'classification', classification, count(*) FROM rows_ GROUP BY 1, 2
-UNION ALL SELECT 'total', 'response_count', 0
+UNION ALL SELECT 'total', 'response_count', CAST(sum(response_count) AS BIGINT) FROM rows_
 UNION ALL SELECT 'total', 'correlated_sequence_count', 0
 UNION ALL SELECT 'alert_count_by_rule', rule_id, count(*) FROM firsts GROUP BY 1, 2
 UNION ALL SELECT 'alert_count_by_engine', engine, count(*) FROM (SELECT DISTINCT case_id, engine FROM ca) GROUP BY 1, 2
@@ -349,7 +379,7 @@ COVERAGE_SQL = tele(
   CAST(rank AS BIGINT) AS rank, CAST(7 + CASE WHEN contains(engines, 'behavioral') OR demo_case_count > 0 OR has_response_or_protection THEN 1 ELSE 0 END AS BIGINT) AS n_metadata
 FROM (SELECT *, CASE WHEN n_engines <= 1 THEN 1 WHEN engines = 'native,sigma-like' THEN 2 WHEN demo_case_count <= 0 THEN 3
     WHEN has_response_or_protection AND contains(engines, 'behavioral') THEN 5 ELSE 4 END AS score FROM agg)""",
-    *CASES, INVENTORY, COVERED,
+    *CASES, INVENTORY, COVERED, *SEQUENCE_HITS,
     """facts AS (
   SELECT technique_id, 'engine' AS kind, unnest(string_split(engines, ',')) AS v FROM cov
   UNION ALL SELECT technique_id, 'code', unnest(string_split(event_code, '/')) FROM cov
@@ -369,8 +399,8 @@ FROM (SELECT *, CASE WHEN n_engines <= 1 THEN 1 WHEN engines = 'native,sigma-lik
     count(r.case_id) AS demo_case_count, count(*) FILTER (WHERE r.classification = 'true_positive') AS true_positive_count,
     count(*) FILTER (WHERE r.classification = 'false_positive') AS false_positive_count,
     count(*) FILTER (WHERE r.classification = 'false_negative') AS false_negative_count,
-    CASE WHEN c.technique_id = 'T1105' THEN (SELECT count(*) FROM rows_ WHERE actual_alert) ELSE 0 END AS sequence_count,
-    coalesce(bool_or(r.expected_response OR r.expected_protection = 'dry-run'), false) AS has_response_or_protection
+    (SELECT count(*) FROM seqs q WHERE q.technique_id = c.technique_id) AS sequence_count,
+    coalesce(bool_or(r.expected_response OR r.expected_protection = 'dry-run' OR r.response_count > 0), false) AS has_response_or_protection
     FROM cov c JOIN sets s USING (technique_id) LEFT JOIN rows_ r USING (technique_id) GROUP BY ALL)""",
 )
 
@@ -409,16 +439,6 @@ UNION ALL SELECT case_id, episode, 'rule', count(DISTINCT rule_id) FROM linked G
 _TEXT_TS = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"
 _CLS = ("true_positive", "true_negative", "false_positive", "false_negative")
 
-_PB_ORD = "least(" + ", ".join(
-    "CASE " + " ".join(
-        f"WHEN {col} IN ({', '.join(q(v) for v in getattr(p, attr))}) THEN {n}" for n, p in enumerate(PLAYBOOKS) if getattr(p, attr)
-    ) + " END"
-    for col, attr in (("rule_id", "rule_ids"), ("technique_id", "technique_ids"))
-) + ")"
-_PB = "pb AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({n}, {q(p.id)}, {q(','.join(a.id for a in p.actions))}, {q('|'.join(a.id for a in p.actions))})" for n, p in enumerate(PLAYBOOKS)
-) + ") v(ord, playbook_id, actions, action_ids))"
-
 _POLICY_MARK = has("cmd", catalog.POLICY_MARKERS)
 _APPROVED = within("rule_id", catalog.APPROVED_RULE_IDS)
 
@@ -540,6 +560,9 @@ ORDER BY stamp DESC, seq LIMIT 100""",
     "host_ordinals": tele(
         f"SELECT seq, host_name, row_number() OVER (PARTITION BY host_name ORDER BY coalesce(ts, TIMESTAMP '1970-01-01'), seq) AS host_ord FROM tele WHERE {SUPPORTED}"
     ),
+    "sequence_numbers": tele(
+        "SELECT host_name, sequence_name, seq AS anchor, row_number() OVER (ORDER BY host_name, sequence_name, seq) AS number FROM seqs", LOWS, *SEQUENCE_HITS
+    ),
     "correlate_batch": correlation(CORRELATION_WINDOW, _TRIPLE_RULE),
     "correlate_host_scoped": correlation(SEQUENCE_WINDOW, _TRIPLE, True),
     "stream_correlation": correlation(CORRELATION_WINDOW, _TRIPLE_RULE),
@@ -563,15 +586,44 @@ FROM (SELECT *, {_PB_ORD} AS ord FROM alerts) JOIN pb USING (ord)""",
         LOWS, NATIVE,
     ),
     "case_matrix": tele(
-        """SELECT case_id, technique_id, expected_alert, actual_alert, classification, alert_count, events AS normalized_event_count, rules AS actual_rule_ids,
+        """SELECT case_id, technique_id, expected_alert, actual_alert, classification, alert_count, events AS normalized_event_count, response_count, rules AS actual_rule_ids,
   engines AS actual_engines, event_code FROM rows_""",
         *CASES,
     ),
+    "case_matrix_engines": tele(
+        """SELECT 'engine_case_' || CAST(c.no AS VARCHAR) AS case_id, c.engine, CASE WHEN c.bad THEN 'failed' ELSE 'passed' END AS status,
+  CASE WHEN c.bad THEN 'wrong_event_code' ELSE '' END AS error, c.no % 3 <> 0 AS expected_alert,
+  CASE WHEN c.no % 3 <> 0 AND NOT c.bad AND a.n > 0 THEN 'true_positive' WHEN c.no % 3 <> 0 THEN 'false_negative' WHEN NOT c.bad AND a.n > 0 THEN 'false_positive' ELSE 'true_negative' END AS classification,
+  CASE WHEN c.bad THEN 0 ELSE coalesce(a.n, 0) END AS alert_count, CASE WHEN c.bad THEN 0 ELSE coalesce(a.planned, 0) END AS response_count,
+  CASE WHEN c.bad THEN 0 ELSE coalesce(a.correlated, 0) END AS correlated_sequence_count, CASE WHEN c.bad THEN 0 ELSE c.n END AS normalized_event_count,
+  CASE WHEN c.bad THEN '' ELSE coalesce(a.rules, '') END AS actual_rule_ids, CASE WHEN c.bad THEN '' ELSE coalesce(a.engines, '') END AS actual_engines,
+  CASE WHEN c.bad THEN '' ELSE coalesce(a.sequences, '') END AS actual_sequence_names, CASE WHEN c.bad THEN '' ELSE c.codes END AS event_code
+FROM ecases c LEFT JOIN eacts a USING (no)""",
+        *ENGINES, _FEATURES, _score(range(24)), *sequence_hits(f"a.user_no % {ENGINE_CASES} = c.user_no % {ENGINE_CASES}"),
+        f"kept AS (SELECT user_no % {ENGINE_CASES} AS no, seq, event_code FROM low WHERE (user_no % {ENGINE_CASES}) % 5 <> 3 OR (user_no % {ENGINE_CASES}) % 3 = 0 OR event_code = 1)",
+        """ecases AS (SELECT no, (['native', 'sigma-like', 'all', 'ml-anomaly', 'behavioral'])[no % 5 + 1] AS engine, CAST(sum(n) AS BIGINT) AS n,
+    no % 5 = 3 AND bool_or(event_code <> 1) AS bad, string_agg(CAST(event_code AS VARCHAR), '/' ORDER BY first) AS codes
+    FROM (SELECT no, event_code, count(*) AS n, min(seq) AS first FROM kept GROUP BY 1, 2) GROUP BY 1)""",
+        f"""efacts AS (
+    SELECT user_no % {ENGINE_CASES} AS no, rule_id, technique_id, engine, CAST(NULL AS VARCHAR) AS sequence_name FROM allhits WHERE (user_no % {ENGINE_CASES}) % 5 = 2 OR (engine = 'native' AND (user_no % {ENGINE_CASES}) % 5 = 0) OR (engine = 'sigma-like' AND (user_no % {ENGINE_CASES}) % 5 = 1)
+    UNION ALL SELECT user_no % {ENGINE_CASES}, 'ml.process_anomaly', NULL, 'ml-anomaly', NULL FROM scored WHERE score >= 0.7 AND (user_no % {ENGINE_CASES}) % 5 = 3
+    UNION ALL SELECT user_no % {ENGINE_CASES}, rule_id, technique_id, 'behavioral', sequence_name FROM seqs WHERE (user_no % {ENGINE_CASES}) % 5 = 4)""",
+        f"""eacts AS (SELECT no, count(*) AS n, count(*) FILTER (WHERE {_PB_ORD} IS NOT NULL) AS planned, count(*) FILTER (WHERE engine = 'behavioral') AS correlated,
+    string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules, string_agg(DISTINCT engine, ',' ORDER BY engine) AS engines,
+    string_agg(DISTINCT sequence_name, ',' ORDER BY sequence_name) AS sequences FROM efacts GROUP BY 1)""",
+    ),
     "case_dashboard": tele(DASHBOARD, *CASES),
     "count_maps": tele(
         f"SELECT metric, string_agg(key || '=' || CAST(n AS VARCHAR), ',' ORDER BY key) AS counts FROM ({DASHBOARD}) WHERE metric NOT IN ('total', 'classification') GROUP BY 1", *CASES
     ),
     "technique_coverage": COVERAGE_SQL,
+    "coverage_report": tele(
+        """SELECT '2026-01-01T00:00:00Z' AS generated_at, CAST(4 AS BIGINT) AS n_techniques, (SELECT string_agg(rule_id, ';' ORDER BY rule_id) FROM inv) AS rules,
+  (SELECT count(*) FROM inv) AS total_rule_count, string_agg(concat_ws(':', engine, needed, missing, alerts, missing = 0), ';' ORDER BY engine) AS validations, bool_and(missing = 0) AS all_passed
+FROM (SELECT engine, count(*) AS needed, count(*) FILTER (WHERE n IS NULL) AS missing, CAST(coalesce(sum(n), 0) AS BIGINT) AS alerts
+  FROM inv LEFT JOIN (SELECT rule_id, count(*) AS n FROM (SELECT rule_id FROM allhits UNION ALL SELECT rule_id FROM seqs) GROUP BY 1) USING (rule_id) GROUP BY 1)""",
+        *ENGINES, INVENTORY, *SEQUENCE_HITS,
+    ),
     "engine_summary": tele(
         """SELECT engine, count(*) AS rule_count, count(n) AS fired_rule_count, CAST(coalesce(sum(n), 0) AS BIGINT) AS alert_count, count(DISTINCT technique_id) AS technique_count
 FROM inv LEFT JOIN (SELECT rule_id, count(*) AS n FROM allhits GROUP BY 1) USING (rule_id) GROUP BY 1""",
@@ -604,8 +656,8 @@ UNION ALL SELECT 'edr-alerts-native', count(*) FROM native""",
     ),
     "dashboard_totals": tele(
         """SELECT count(*) AS total_cases, CAST(sum(alert_count) AS BIGINT) AS total_alerts, CAST(0 AS BIGINT) AS correlated_sequences, CAST(11 AS BIGINT) AS rule_count, CAST(4 AS BIGINT) AS technique_count,
-  (SELECT count(DISTINCT rule_id) FROM firsts) AS fired_rules, (SELECT count(DISTINCT technique_id) FROM rows_ WHERE actual_alert) AS fired_techniques FROM rows_""",
-        *CASES,
+  (SELECT count(DISTINCT rule_id) FROM named) AS fired_rules, (SELECT count(DISTINCT technique_id) FROM named) AS fired_techniques, (SELECT count(*) FROM seqs) AS sequence_alerts FROM rows_""",
+        *CASES, *SEQUENCE_HITS, "named AS (SELECT rule_id, technique_id FROM allhits UNION ALL SELECT rule_id, technique_id FROM seqs)",
     ),
     "dashboard_rows": tele(
         """SELECT case_id, technique_id, classification, alert_count, event_code, coalesce(severity, 'unknown') AS severity, '-' AS process, expected_alert AS expected_malicious, expected_protection
@@ -670,7 +722,8 @@ UNION ALL SELECT 'correlation', 'missing_time', step, count(*) FROM late GROUP B
         "SELECT seq, rule_id, reason FROM rt QUALIFY row_number() OVER (PARTITION BY seq, rule_id ORDER BY rule_ord) = 1", LOWS, RT_HITS
     ),
     "daily_upsert": tele(
-        f"""SELECT strftime(ts, '%Y.%m.%d') AS day, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM tele WHERE {SUPPORTED} GROUP BY 1"""
+        f"""SELECT strftime(ts, '%Y.%m.%d') AS day, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM tele WHERE {SUPPORTED} GROUP BY 1
+UNION ALL SELECT '2001.01.01', count(*), CAST(sum(seq) AS BIGINT) FROM tele WHERE {SUPPORTED} AND seq % 500 = 0 HAVING count(*) > 0"""
     ),
     "written_alerts": tele("SELECT rule_id, severity, count(DISTINCT alert_id) AS n FROM alerts GROUP BY 1, 2", *ENGINES, ALERTS),
     "written_responses": tele(

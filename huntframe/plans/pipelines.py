@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import ANOMALY_THRESHOLD, DEFAULT_BASELINE, DEFAULT_PLAYBOOKS, Baseline
+from ..catalog import ANOMALY_RULE, ANOMALY_THRESHOLD, DEFAULT_BASELINE, DEFAULT_PLAYBOOKS, Baseline, Playbook
 from ..operators import alerts as A
 from ..operators import anomaly as M
 from ..operators import evaluate as V
 from ..operators import normalize as N
 from ..operators import response as P
+from ..operators import rules as R
 from ..operators import sequences as Q
 
 
@@ -26,55 +28,66 @@ def telemetry_to_alerts(
     return A.run_engines(slim, engine, created_at), rejects
 
 
-def _case_alerts(alerts: DataFrame) -> DataFrame:
-    return alerts.select(
-        "case_id", F.col("alert.id").alias("alert_id"), F.col("rule.id").alias("rule_id"),
-        F.col("detection.engine").alias("engine"), F.col("detection.sequence_name").alias("sequence_name"),
-        F.col("attack.technique.id").alias("technique_id"),
-    )
+_SINGLE = R.union_rules(R.NATIVE_RULES, R.SIGMA_LIKE_RULES)
+#: Technique of each rule; an anomaly alert has none.
+_TECHNIQUES = {r.rule_id: r.technique_id for r in (*_SINGLE, *Q.SEQUENCES)}
 
 
-def run_case_matrix(
+def case_facts(
     cases: DataFrame,
     events: DataFrame,
     order: str = "seq",
-    failures: DataFrame | None = None,
-    created_at: str = "1970-01-01T00:00:00Z",
     baseline: Baseline = DEFAULT_BASELINE,
+    playbooks: Sequence[Playbook] = DEFAULT_PLAYBOOKS,
+    window_seconds: int | None = None,
 ) -> DataFrame:
-    """The case matrix: all engines run once over the events of all cases.
+    """What the engines find over the events of all cases, as the rows ``evaluate.case_rows_of`` reads.
 
-    ``cases``: the catalogue with ``case_id, engine, expected_alert, expected_response`` and more; ``events``: normalized
-    events with ``case_id`` and ``order``. A case takes the alerts of its engine: ``all`` stands for
-    native and Sigma-like. ``failures`` (``case_id, error``) keep their row.
+    One pass over the events tags each with its case's engine and yields its event, its rule hits, its anomaly and its failure in one
+    generator; only the behavioural cases' events are read again, for their sequences. ``all`` stands for native and Sigma-like. An event that its
+    case's engine cannot take is a failure, a dead letter of the same plan.
     """
-    engine_of_case = cases.select("case_id", F.col("engine").alias("case_engine"))
-    tagged = events.join(engine_of_case, "case_id")
-    only = lambda *names: tagged.where(F.col("case_engine").isin(*names))
-    # The case id rides in the test metadata map, which every alert keeps.
-    mark = lambda df: df.withColumn("art", F.create_map(F.lit("case_id"), F.col("case_id")))
-    case_of = lambda alerts: alerts.withColumn("case_id", F.element_at("art", "case_id"))
-    parts = [
-        _case_alerts(case_of(A.run_engines(mark(only("native", "all")), "native", created_at))),
-        _case_alerts(case_of(A.run_engines(mark(only("sigma-like", "all")), "sigma-like", created_at))),
-        _case_alerts(
-            case_of(
-                A.anomaly_alerts(M.score_events(mark(only("ml-anomaly")), baseline, ANOMALY_THRESHOLD), created_at)
-            )
-        ),
-        _case_alerts(Q.behavioral_alerts(only("behavioral"), key=order, order=order, scope="case_id")),
-    ]
-    alerts = Q.union_alerts(*parts).withColumn("ord", F.struct("engine", "rule_id", "alert_id"))
-    planned = P.plan_responses(
-        alerts.select(
-            F.struct(F.concat("case_id", F.lit("/"), "alert_id").alias("id")).alias("alert"),
-            F.struct(F.col("rule_id").alias("id")).alias("rule"),
-            F.struct(F.struct(F.col("technique_id").alias("id")).alias("technique")).alias("attack"),
-        ),
-        DEFAULT_PLAYBOOKS,
-        created_at,
-    ).select(F.substring_index("alert.id", "/", 1).alias("case_id"))
-    rows = V.case_rows(
-        cases, alerts, tagged.select("case_id", F.col(order).alias("ord"), F.col("event.code").alias("event_code")), planned
+    tagged = events.join(cases.select("case_id", F.col("engine").alias("case_engine")), "case_id")
+    prepared = M.with_scores(M.with_features(R.prepare(tagged), on_reject="keep"), baseline, ANOMALY_THRESHOLD)
+    runs = lambda *engines: F.col("case_engine").isin(*engines)
+    names = ("kind", "event_code", "rule_id", "engine", "error")
+
+    def fact(when: Column, kind: str, **values: Column) -> Column:
+        given = {"kind": F.lit(kind), **values}
+        return F.when(when, F.struct(*[given.get(n, F.lit(None)).cast("string").alias(n) for n in names]))
+
+    own = {"native": ("native", "all"), "sigma-like": ("sigma-like", "all")}
+    anomaly = runs("ml-anomaly")
+    found = F.array(
+        fact(F.lit(True), "event", event_code=F.col("event.code")),
+        *[
+            fact(runs(*own[r.engine]) & (F.size(R.matched_fields(r)) > 0), "alert", rule_id=F.lit(r.rule_id), engine=F.lit(r.engine))
+            for r in _SINGLE
+        ],
+        fact(anomaly & F.col("feature_error").isNull() & F.col("is_anomaly"), "alert", rule_id=F.lit(ANOMALY_RULE["id"]), engine=F.lit("ml-anomaly")),
+        fact(anomaly & F.col("feature_error").isNotNull(), "failure", error=F.col("feature_error")),
+    )
+    single = prepared.select("case_id", F.col(order).cast("bigint").alias("ord"), F.explode(F.array_compact(found)).alias("f")).select(
+        "case_id", "ord", "f.*", F.lit(None).cast("string").alias("sequence_name")
+    )
+    behavioral = tagged.where(runs("behavioral"))
+    sequences = Q.behavioral_alerts(behavioral, window_seconds=window_seconds, key=order, order=order, scope="case_id").select(
+        "case_id", F.lit(None).cast("bigint").alias("ord"), F.lit("alert").alias("kind"), F.lit(None).cast("string").alias("event_code"),
+        F.col("rule.id").alias("rule_id"), F.lit("behavioral").alias("engine"), F.lit(None).cast("string").alias("error"),
+        F.col("detection.sequence_name").alias("sequence_name"),
     )
-    return rows if failures is None else V.with_failures(rows, failures)
+    rows = single.unionByName(sequences)
+    technique = F.element_at(F.create_map(*[F.lit(x) for pair in _TECHNIQUES.items() for x in pair]), F.col("rule_id"))
+    planned = (F.col("kind") == "alert") & P.is_planned(F.col("rule_id"), technique, playbooks)
+    kinds = F.array_compact(F.array(F.col("kind"), F.when(planned, F.lit("response"))))
+    return rows.withColumn("kind", F.explode(kinds)).select(
+        "case_id", "kind", "ord", F.lit(1).cast("bigint").alias("n"), "event_code", "rule_id", "engine", "sequence_name", "error"
+    )
+
+
+def run_case_matrix(cases: DataFrame, events: DataFrame, **options) -> DataFrame:
+    """The case matrix: all engines run once over the events of all cases; ``options`` as in ``case_facts``.
+
+    ``cases``: the catalogue with ``case_id, engine, expected_alert`` and more; ``events``: normalized events with ``case_id``.
+    """
+    return V.case_rows_of(cases, case_facts(cases, events, **options))

@@ -29,6 +29,7 @@ from ..sources import telemetry_view as T
 from ..streaming import correlator as SC
 from ..streaming import evaluation as SE
 from ..streaming import pipelines as SP
+from . import pipelines
 
 CREATED_AT = "2026-01-01T00:00:00Z"
 # The test tables are sparse in time, so windows are widened through the window parameter.
@@ -298,6 +299,15 @@ def host_ordinals(spark: SparkSession, sf: str) -> DataFrame:
     return Q.host_ordinals(T.supported_events(spark, sf)).select("seq", F.col("host.name").alias("host_name"), "host_ord")
 
 
+def sequence_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """All matched sequences, numbered over hosts and definitions."""
+    alerts = Q.behavioral_alerts(T.supported_events(spark, sf), window_seconds=SEQUENCE_WINDOW).select(
+        F.col("host.name").alias("host_name"), F.col("detection.sequence_name").alias("sequence_name"),
+        F.col("src_doc.document_ids")[0].cast("bigint").alias("anchor"),
+    )
+    return Q.running_numbers(alerts, ("host_name", "sequence_name", "anchor"), "number")
+
+
 def correlate_batch(spark: SparkSession, sf: str) -> DataFrame:
     return RT.correlate(T.supported_events(spark, sf), CORRELATION_WINDOW).select(
         "process_id", "network_id", "file_id", "timestamp", "rule_id"
@@ -382,8 +392,36 @@ def _case_id(user: Column, seq: Column) -> Column:
     return F.concat(F.lit("case_"), (user * 7 + seq % 7).cast("string"))
 
 
-def _cases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Labelled cases over the telemetry: groups of a user's events, their alerts and their events."""
+ENGINE_CASES = 60
+
+
+def case_matrix_engines(spark: SparkSession, sf: str) -> DataFrame:
+    """A case matrix whose cases name their engine, all four of them, with planned responses and failed cases.
+
+    A case holds the events of some users; most cases of the anomaly engine hold process events only, the others fail.
+    """
+    raw = T.read_events(spark, sf, catalog.SUPPORTED_CODES)
+    number = lambda user: user % ENGINE_CASES
+    engine = lambda no: F.element_at(S.str_array(catalog.CASE_ENGINES), (no % 5 + 1).cast("int"))
+    name = lambda no: F.concat(F.lit("engine_case_"), no.cast("string"))
+    no = F.col("no")
+    cases = raw.select(number(F.col("user_id")).alias("no")).distinct().select(
+        name(no).alias("case_id"), engine(no).alias("engine"), (no % 3 != 0).alias("expected_alert")
+    )
+    ev = T.nested_view(T.flat_view(spark, sf, catalog.SUPPORTED_CODES))
+    ev = ev.withColumn("no", number(F.regexp_extract("user.name", r"(\d+)$", 1).cast("bigint")))
+    ev = ev.where((engine(no) != "ml-anomaly") | (no % 3 == 0) | (F.col("event.code") == 1)).withColumn("case_id", name(no)).drop("no")
+    rows = pipelines.run_case_matrix(cases, ev, playbooks=PLAYBOOKS, window_seconds=SEQUENCE_WINDOW)
+    sorted_text = lambda c: _joined(F.array_sort(c)).alias(c)
+    return rows.select(
+        "case_id", "engine", "status", _s("error", "error"), "expected_alert", "classification", "alert_count", "response_count", "correlated_sequence_count",
+        "normalized_event_count", sorted_text("actual_rule_ids"), sorted_text("actual_engines"), sorted_text("actual_sequence_names"),
+        _s("event_code", "event_code"),
+    )
+
+
+def _cases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Labelled cases over the telemetry: groups of a user's events, their alerts, their events and the responses planned for them."""
     raw = T.read_events(spark, sf, catalog.SUPPORTED_CODES)
     number = F.col("user_id") * 7 + F.col("event_id") % 7
     n = F.col("no")
@@ -406,19 +444,20 @@ def _cases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
         "case_id", (F.col("seq") * 10 + F.col("rule_ord")).alias("ord"), "rule_id",
         F.element_at(engines, F.col("rule_id")).alias("engine"), F.lit(None).cast("string").alias("sequence_name"),
     )
+    technique = F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.rule_id, r.technique_id)]), F.col("rule_id"))
+    responses = S.where_computed(alerts, P.is_planned(F.col("rule_id"), technique, PLAYBOOKS)).select("case_id")
     events = ev.select("case_id", F.col("seq").alias("ord"), F.col("event.code").alias("event_code"))
-    return cases, alerts, events
+    return cases, alerts, events, responses
 
 
 def _case_rows(spark: SparkSession, sf: str) -> DataFrame:
-    cases, alerts, events = _cases(spark, sf)
-    return V.case_rows(cases, alerts, events)
+    return V.case_rows(*_cases(spark, sf))
 
 
 def case_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return _case_rows(spark, sf).select(
         "case_id", "technique_id", "expected_alert", "actual_alert", "classification", "alert_count",
-        "normalized_event_count", _joined("actual_rule_ids").alias("actual_rule_ids"),
+        "normalized_event_count", "response_count", _joined("actual_rule_ids").alias("actual_rule_ids"),
         _joined("actual_engines").alias("actual_engines"), _s("event_code", "event_code"),
     )
 
@@ -428,11 +467,9 @@ def case_dashboard(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def technique_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    rows = session.cut_lineage(_case_rows(spark, sf))
-    sequences = rows.groupBy(F.lit("t1105_download_sequence").alias("sequence_name")).agg(F.count_if("actual_alert").alias("n"))
-    agg = C.aggregate_techniques(
-        C.covered_techniques(spark), C.rule_inventory(spark), rows.withColumn("indexed_response_count", F.lit(0)), sequences
-    )
+    rows = session.cut_lineage(_case_rows(spark, sf).withColumn("indexed_response_count", F.col("response_count")))
+    stored = _stored(spark, "alerts", Q.behavioral_alerts(T.supported_events(spark, sf), window_seconds=SEQUENCE_WINDOW), sinks.write_alerts)
+    agg = C.aggregate_techniques(C.covered_techniques(spark), C.rule_inventory(spark), rows, C.stored_sequences(stored))
     layer = C.navigator_rows(agg).select("technique_id", "color", F.col("tactic").alias("slug"), "comment", "rank", "metadata")
     return agg.join(layer, "technique_id").select(
         "technique_id", "technique_name", _joined("tactic").alias("tactic"), _joined("engines").alias("engines"),
@@ -443,6 +480,23 @@ def technique_coverage(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def coverage_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The coverage report over the telemetry: each engine must fire all its rules."""
+    ev = T.supported_events(spark, sf)
+    inventory = C.rule_inventory(spark)
+    single = R.evaluate(ev, R.union_rules(R.NATIVE_RULES, R.SIGMA_LIKE_RULES)).select("rule_id")
+    fired = single.unionByName(Q.behavioral_alerts(ev, window_seconds=SEQUENCE_WINDOW).select(F.col("rule.id").alias("rule_id")))
+    actual = fired.join(F.broadcast(inventory.select("rule_id", "engine")), "rule_id").groupBy(F.col("engine").alias("name"), "rule_id").agg(F.count("*").alias("n"))
+    checks = V.containment_checks(inventory.select(F.col("engine").alias("name"), "rule_id"), actual)
+    report = C.coverage_report(spark, checks, CREATED_AT)
+    each = lambda c, f: F.array_join(F.array_sort(F.transform(c, f)), ";")
+    check = lambda v: F.concat_ws(":", v["name"], v["required_count"].cast("string"), v["missing_count"].cast("string"), v["actual_alert_count"].cast("string"), v["passed"].cast("string"))
+    return report.select(
+        "generated_at", F.size("covered_techniques").cast("bigint").alias("n_techniques"), each("rule_inventory", lambda r: r["rule_id"]).alias("rules"),
+        F.col("engine_coverage_summary.total_rule_count").alias("total_rule_count"), each("validation_results", check).alias("validations"), "all_passed",
+    )
+
+
 def engine_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Rules per engine, and how many of them fired how often over the telemetry."""
     rules = R.union_rules(R.NATIVE_RULES, R.SIGMA_LIKE_RULES)
@@ -495,10 +549,16 @@ def zero_filled_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dashboard_totals(spark: SparkSession, sf: str) -> DataFrame:
-    rows = session.cut_lineage(_case_rows(spark, sf))
-    rules = rows.select(F.explode("actual_rule_ids").alias("rule_id"), "technique_id", F.lit("").alias("sequence_name"))
-    return D.totals(rows, C.rule_inventory(spark), C.covered_techniques(spark)).join(
-        D.distinct_counts(rules).select(F.col("rule_count").alias("fired_rules"), F.col("technique_count").alias("fired_techniques")),
+    """Totals of the cases, and what the stored alerts of all engines name: rules, techniques and sequences."""
+    ev = T.supported_events(spark, sf)
+    alerts = A.run_engines(ev, "all", CREATED_AT).unionByName(Q.behavioral_alerts(ev, window_seconds=SEQUENCE_WINDOW), True)
+    stored = _stored(spark, "alerts", alerts, sinks.write_alerts).select(
+        F.col("rule.id").alias("rule_id"), F.col("attack.technique.id").alias("technique_id"), F.col("detection.sequence_name").alias("sequence_name")
+    )
+    return D.totals(_case_rows(spark, sf), C.rule_inventory(spark), C.covered_techniques(spark)).join(
+        D.distinct_counts(stored).select(
+            F.col("rule_count").alias("fired_rules"), F.col("technique_count").alias("fired_techniques"), F.col("sequence_alert_count").alias("sequence_alerts")
+        ),
         on=F.lit(True),
     )
 
@@ -515,7 +575,7 @@ def dashboard_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def expected_rule_checks(spark: SparkSession, sf: str) -> DataFrame:
-    cases, alerts, _ = _cases(spark, sf)
+    cases, alerts, *_ = _cases(spark, sf)
     wanted = cases.where("expected_alert").select(
         "case_id", F.lit("det.t1105.lolbin_download").alias("rule_id"), F.lit(2).cast("bigint").alias("expected_count")
     )
@@ -646,6 +706,10 @@ def daily_upsert(spark: SparkSession, sf: str) -> DataFrame:
     ev = T.supported_events(spark, sf).select("seq", "ts", "`@timestamp`", "event", "host", "process", "sysmon")
     for _ in range(2):
         sinks.write_events(ev, path, F.col("ts").cast("date"))
+    # rows without an id of their own stay apart, and writing them again adds none
+    nameless = ev.where(F.col("seq") % 500 == 0)
+    sinks.upsert_daily(nameless, path, F.lit(None).cast("string"), F.lit("2001-01-01").cast("date"))
+    sinks.upsert_daily(nameless, path, F.lit(None).cast("string"), F.lit("2001-01-01").cast("date"))
     # a later batch that touches the rows without a day only
     sinks.write_events(ev.where(F.col("ts").isNull()), path, F.col("ts").cast("date"))
     back = readers.read_event_table(spark, path)
@@ -683,8 +747,12 @@ def xml_rejects(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == 4, F.regexp_replace(xml, "<EventID>.*</EventID>", "<EventID>99999999999</EventID>"))
         .when(kind == 5, F.regexp_replace(xml, "<Computer>.*</Computer>", ""))
         .when(kind == 6, F.regexp_replace(xml, '<Data Name="ProcessId">[^<]*</Data>', '<Data Name="ProcessId">x1</Data>'))
-        .when(kind == 0, F.concat(xml, F.lit("\n<!-- end -->")))
+        .when(kind == 0, F.concat(xml, F.lit("\n<!-- end </Event> -->")))
     )
+    # Every third document of the second sort has another tail that a parser of the first element would not see.
+    damaged = F.when(
+        (kind == 2) & (F.col("seq") % 3 > 0), F.concat(xml, F.when(F.col("seq") % 3 == 1, F.lit("<x/>")).otherwise(F.lit("junk/>")))
+    ).otherwise(damaged)
     docs = T.xml_documents(T.flat_view(spark, sf, catalog.SUPPORTED_CODES)).select("seq", damaged.alias("xml"))
     return N.normalize_xml(docs, keep=("seq",)).select("seq", "error_reason")
 
@@ -758,9 +826,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         normalize_route, xml_events, message_fields, path_scalars, text_scalars, timestamp_scalars, document_ids,
         raw_projection, log_row_decode, sensor_exclusion, envelope_validation, native_rule_matches,
         sigma_like_matches, multi_branch_rules, alert_documents, realtime_rules, candidate_topk, evidence_projection,
-        sequence_process_network_file, sequence_with_optional, host_ordinals, correlate_batch, correlate_host_scoped,
-        anomaly_features, anomaly_scores, anomaly_alerts, response_plan, policy_decisions, case_matrix, case_dashboard,
-        technique_coverage, engine_summary, filtered_alert_counts, collection_counts, zero_filled_counts,
+        sequence_process_network_file, sequence_with_optional, host_ordinals, sequence_numbers, correlate_batch, correlate_host_scoped,
+        anomaly_features, anomaly_scores, anomaly_alerts, response_plan, policy_decisions, case_matrix, case_matrix_engines, case_dashboard,
+        technique_coverage, coverage_report, engine_summary, filtered_alert_counts, collection_counts, zero_filled_counts,
         dashboard_totals, dashboard_rows, expected_rule_checks, unknown_cases, episode_sessions, case_classification,
         evaluation_counts, realtime_summary, count_maps, latest_events, alert_case_lookup, episode_links, untimed_activity, dedupe_records,
         distinct_realtime_alerts, daily_upsert, written_alerts, written_responses, xml_rejects, stream_correlation, stream_evaluation,

@@ -20,12 +20,18 @@ def upsert_daily(df: DataFrame, path: str, doc_id: Column, index_date: Column, o
     Touched days are read back, merged and rewritten in one dynamic partition overwrite, which a
     retried or lost task cannot leave half done. The batch is kept while it is used twice: first for its days, a few values
     that select the partitions to read (above ``MAX_DAYS`` by a join), then for its rows. Other days are neither read nor written; rows without a day have
-    a partition of their own. A replayed batch gives the same table. Within a batch the last document by ``order`` wins.
+    a partition of their own. A replayed batch gives the same table. Within a batch the last document by ``order`` wins, among equals the one of
+    the largest content digest. A document without an id has that digest as its id, so different ones stay apart. Columns named like
+    the table's own fail the call.
     """
+    own = {"_doc_id", "index_date", "_new"} & set(df.columns)
+    if own:
+        raise ValueError(f"rename these columns, which the table uses itself: {sorted(own)}")
     spark = df.sparkSession
-    fresh = df.withColumns({"_doc_id": doc_id, "index_date": index_date})
+    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), 256)
+    fresh = df.withColumns({"_doc_id": F.coalesce(doc_id, F.concat(F.lit("content-"), digest)), "index_date": index_date})
     rank = order if order is not None else F.lit(0)
-    fresh = fresh.withColumn("_new", F.struct(F.lit(1).alias("fresh"), rank.alias("rank"))).persist(StorageLevel.DISK_ONLY_2)
+    fresh = fresh.withColumn("_new", F.struct(F.lit(1).alias("fresh"), rank.alias("rank"), digest.alias("digest"))).persist(StorageLevel.DISK_ONLY_2)
     try:
         _merge_days(spark, fresh, path)
     finally:
@@ -46,7 +52,7 @@ def _merge_days(spark: SparkSession, fresh: DataFrame, path: str) -> None:
                 touched = touched | F.col("index_date").isNull()
             kept = stored.where(touched)
         kept = kept.withColumn(
-            "_new", F.struct(F.lit(0).alias("fresh"), F.lit(None).cast(fresh.schema["_new"].dataType["rank"].dataType).alias("rank"))
+            "_new", F.struct(F.lit(0).alias("fresh"), F.lit(None).cast(fresh.schema["_new"].dataType["rank"].dataType).alias("rank"), F.lit("").alias("digest"))
         )
         rows = kept.unionByName(fresh, allowMissingColumns=True)
     columns = [c for c in rows.columns if c not in ("_doc_id", "index_date", "_new")]

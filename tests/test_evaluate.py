@@ -200,3 +200,32 @@ def test_dedupe(spark):
     df = spark.createDataFrame([(1, 5, "b"), (1, 3, "a"), (2, 9, "c")], "k int, o int, v string")
     assert sorted((r.k, r.v) for r in U.first_by(df, "k", F.col("o")).collect()) == [(1, "a"), (2, "c")]
     assert [r.k for r in U.only_new(df, df.where("k = 1"), "k").collect()] == [2]
+
+
+def test_required_rules(spark):
+    required = spark.createDataFrame([("a", "r1"), ("a", "r2"), ("b", "r3"), ("c", "r4")], "name string, rule_id string")
+    actual = spark.createDataFrame([("a", "r1", 3), ("a", "r9", 2), ("b", "r3", 1)], "name string, rule_id string, n bigint")
+    rows = V.containment_checks(required, actual)
+    assert sorted(tuple(r) for r in rows.collect()) == [("a", 2, 1, 5, False), ("b", 1, 0, 1, True), ("c", 1, 1, 0, False)]
+    report = C.coverage_report(spark, rows, "now").first()
+    assert (report.all_passed, len(report.rule_inventory), len(report.covered_techniques), len(report.validation_results)) == (False, 11, 4, 3)
+    assert C.coverage_report(spark, rows.where("passed"), "now").first().all_passed
+    assert C.coverage_report(spark, rows.limit(0), "now").first().all_passed
+
+
+def test_case_failures_are_dead_letters_of_the_plan(spark):
+    docs = [{**calm(1, ts=T.format(1)), "case_id": "good"}, {**download_network(2, ts=T.format(2)), "case_id": "bad"}, {**shell(3, ts=T.format(3)), "case_id": "bad"}]
+    cases = spark.createDataFrame(
+        [("good", "ml-anomaly", False), ("bad", "ml-anomaly", True), ("none", "behavioral", True)], "case_id string, engine string, expected_alert boolean"
+    )
+    rows = {r.case_id: r for r in pipelines.run_case_matrix(cases, events_df(spark, docs, "case_id string")).collect()}
+    assert (rows["good"].status, rows["good"].normalized_event_count, rows["good"].classification) == ("passed", 1, "true_negative")
+    assert (rows["bad"].status, rows["bad"].error, rows["bad"].alert_count, rows["bad"].normalized_event_count) == ("failed", "wrong_event_code", 0, 0)
+    assert rows["bad"].classification == "false_negative" and rows["none"].status == "passed" and rows["none"].event_code is None
+
+
+def test_running_numbers(spark):
+    df = spark.range(0, 5000, 1, 9).select((F.col("id") * 7919 % 5000).alias("k"), F.lit("x").alias("_range_name"))
+    got = Q.running_numbers(df, ("k",)).collect()
+    assert sorted((r.k, r.number) for r in got) == [(i, i + 1) for i in range(5000)]
+    assert Q.running_numbers(df.limit(0), ("k",)).count() == 0

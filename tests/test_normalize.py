@@ -198,3 +198,17 @@ def test_only_one_whole_document_counts(spark):
     df = spark.createDataFrame([(t,) for t in texts], "xml string")
     got = {r.original: r.error_reason for r in normalize_xml(df).selectExpr("event.original", "error_reason").collect()}
     assert got == texts
+
+
+@pytest.mark.parametrize(
+    "text,whole",
+    [
+        ("<a><b/></a>", True), ("  <a/>\n", True), ("<?xml version='1.0'?><!-- x --><a>t</a><!-- </a> -->", True), ("<a><a>x</a></a>", True),
+        ("<a><![CDATA[</a><b>]]></a>", True), ("<a x='>'/>", True), ('<a x="</a>">t</a>', True), ("<a></a ><?end?>", True),
+        ("<a/><b/>", False), ("<a></a><b/>", False), ("<a></a><a></a>", False), ("<a></a>junk/>", False), ("<a></a>t", False), ("t<a></a>", False),
+        ("<a><b></a>", True), ("<a>", False), ("", False), ("plain", False), ("<a/>t", False),
+    ],
+)
+def test_one_document(spark, text, whole):
+    # what is inside the root is the parser's to judge
+    assert spark.createDataFrame([(text,)], "x string").select(N.is_one_document(F.col("x")).alias("w")).first().w is whole
