@@ -98,6 +98,7 @@ REALTIME_CONTEXT_MARKERS = ("EDR_DEMO_T1105", "edr_demo_t1105", "edr_demo")
 REALTIME_WINDOW_SECONDS = 300
 REALTIME_EVENT_LIMIT = 500
 REALTIME_ALERT_LIMIT = 200
+SHOWN_EVENT_LIMIT = 80
 # Label markers that fire a rule directly: (rule key, markers).
 LABEL_MARKER_RULES = (
     ("t1059", ("edr_demo_tp_1", "edr_demo_tp_5", "edr_demo_fp_1", "edr_demo_fp_5")),

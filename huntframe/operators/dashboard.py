@@ -221,6 +221,12 @@ def observed_states(states: DataFrame) -> DataFrame:
 def summary(events: DataFrame, alerts: DataFrame) -> DataFrame:
     """Realtime summary as ``metric, key, value`` rows: counts by code, technique, engine and severity,
     the latest times and the totals.
+    """
+    return summary_rows(summary_parts(events, alerts))
+
+
+def summary_parts(events: DataFrame, alerts: DataFrame) -> DataFrame:
+    """The summary before it is spelled out: ``metric, key, n, latest``, where ``n`` adds up and ``latest`` is a maximum.
 
     ``events``: ``event_code, timestamp``; ``alerts``: ``technique_id, engine, severity, timestamp``. Every row adds
     its entries once, and they are combined before they are shuffled.
@@ -243,9 +249,10 @@ def summary(events: DataFrame, alerts: DataFrame) -> DataFrame:
             entry("alert", F.lit("")),
         ],
     )
-    grouped = ev.unionByName(al).groupBy("metric", "key").agg(
-        F.count("*").alias("n"), F.max("timestamp").alias("latest")
-    )
+    return ev.unionByName(al).groupBy("metric", "key").agg(F.count("*").alias("n"), F.max("timestamp").alias("latest"))
+
+
+def summary_rows(grouped: DataFrame) -> DataFrame:
     total = F.col("key") == ""
     out = F.when(
         total & F.col("metric").isin("event", "alert"),

@@ -320,8 +320,8 @@ def correlation_rejects(events: DataFrame, order: str = "seq") -> DataFrame:
     return rows.where(F.col("ts").isNull() & (F.size("keys") > 0)).select("eid", "o", "step", F.lit("missing_time").alias("reason"))
 
 
-def _behavioral_alert(trios: DataFrame) -> DataFrame:
-    """Flat alert rows for (process, network, file) event triples."""
+def behavioral_alerts(trios: DataFrame) -> DataFrame:
+    """Flat alert rows for (process, network, file) event triples; their time ``t`` stays."""
     r = BEHAVIORAL_RULE
     material = [F.lit(r.rule_id), F.col("process_id"), F.col("network_id"), F.col("file_id"), F.col("timestamp")]
     return trios.select(
@@ -333,7 +333,53 @@ def _behavioral_alert(trios: DataFrame) -> DataFrame:
         F.lit(r.severity).alias("severity"),
         F.lit(SEQUENCE_NAME).alias("sequence_name"),
         F.lit(len(STEPS)).alias("correlated_event_count"),
-        "process_id", "network_id", "file_id",
+        "process_id", "network_id", "file_id", "t",
+    )
+
+
+def correlated_alert_documents(alerts: DataFrame, events: DataFrame, order: str = "seq") -> DataFrame:
+    """Full documents of the correlator's alerts: evidence, source event and the three related events.
+
+    ``alerts``: rows of ``behavioral_alerts``. Only ids pass through the correlator; here they are joined once with the events they name. Of events
+    that share an id the first by ``order`` counts. An event that is not at hand leaves its place empty.
+    """
+    r = BEHAVIORAL_RULE
+    stamp = timestamp()
+    shown = events.select(
+        ids.event_identity(stamp).alias("_event"), F.col(order).alias("_o"), compact_event().alias("_compact"),
+        F.struct(
+            selected_event().alias("event"), "host", "user", A.selected_process().alias("process"), "file", "registry", "destination", "network",
+            evidence().alias("evidence"),
+        ).alias("_doc"),
+    )
+    places = alerts.select("alert_id", F.posexplode(F.array("process_id", "network_id", "file_id")).alias("_step", "_event"))
+    one = places.join(shown, "_event").groupBy("alert_id", "_step").agg(F.min_by(F.struct("_compact", "_doc"), "_o").alias("_found"))
+    related = one.groupBy("alert_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("_step", F.col("_found._compact")))).alias("_related"),
+        F.max_by("_found", "_step").alias("_last"),
+    )
+    df = alerts.join(related, "alert_id", "left")
+    return df.select(
+        "timestamp",
+        F.struct(
+            F.col("alert_id").alias("id"), F.lit("signal").alias("kind"), F.lit("open").alias("status"), F.col("timestamp").alias("created"),
+            F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"),
+        ).alias("alert"),
+        F.struct(F.lit(r.rule_id).alias("id"), F.lit(r.name).alias("name"), F.lit(1).alias("version"), F.lit(r.reason).alias("description")).alias("rule"),
+        F.struct(
+            F.lit(r.engine).alias("engine"), S.str_array([f"sequence.{s}" for s in STEPS]).alias("matched_fields"), F.lit(r.reason).alias("reason"),
+            F.lit(r.reason).alias("explanation"), F.lit(SEQUENCE_NAME).alias("sequence_name"), S.str_array(STEPS).alias("sequence_steps"),
+            F.lit(len(STEPS)).alias("correlated_event_count"),
+        ).alias("detection"),
+        F.lit(r.severity).alias("severity"),
+        F.lit(r.confidence).alias("confidence"),
+        F.struct(
+            F.struct(F.lit(r.technique_id).alias("id"), F.lit(r.technique_name).alias("name")).alias("technique"), S.str_array(r.tactic).alias("tactic")
+        ).alias("attack"),
+        *[F.col(f"_last._doc.{c}").alias(c) for c in ("event", "host", "user", "process", "file", "registry", "destination", "network", "evidence")],
+        F.col("_last._compact").alias("source_event"),
+        F.array_compact(F.array(*[F.element_at("_related", F.lit(n)) for n in range(len(STEPS))])).alias("related_events"),
+        F.array("process_id", "network_id", "file_id").alias("source_event_ids"),
     )
 
 
@@ -383,4 +429,4 @@ def correlate(
     rows = correlation_input(events, order, host_scoped).withColumn("t", F.unix_micros("ts"))
     # Few events are steps; they are read three times, so they are materialised.
     steps = cut_lineage(rows.where("step IS NOT NULL"))
-    return _behavioral_alert(correlated_trios(rows, steps, window_seconds).drop("t"))
+    return behavioral_alerts(correlated_trios(rows, steps, window_seconds))

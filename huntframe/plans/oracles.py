@@ -237,17 +237,22 @@ _RT_TEXT = "concat_ws(' ', lower(stamp), CAST(event_code AS VARCHAR), name, exe,
 _RT_TOOL = within("name", catalog.REALTIME_DOWNLOAD_TOOLS)
 
 
-def correlation(window: int, select: str, host_scoped: bool = False) -> str:
+def correlation(window: int, select: str, host_scoped: bool = False, within_: str = "@", more: tuple[str, ...] = ()) -> str:
+    """The correlator's triples; ``within_`` is a query with ``@`` in their place."""
     markers = ", ".join(
         f"CASE WHEN contains(etext, {q(m)}) THEN {q('marker:' + m)} END"
         for m in dict.fromkeys(x.lower() for x in catalog.REALTIME_CONTEXT_MARKERS)
     )
     scope = "host_name || '|' || " if host_scoped else ""
     earliest = lambda s: f"arg_min(j.seq, (j.t, j.seq)) FILTER (WHERE j.step = {q(s)})"
-    return tele(
+    found = (
         f"SELECT DISTINCT {select} FROM triples JOIN ev f ON f.seq = file_no "
-        "WHERE process_no IS NOT NULL AND network_no IS NOT NULL AND file_no IS NOT NULL",
+        "WHERE process_no IS NOT NULL AND network_no IS NOT NULL AND file_no IS NOT NULL"
+    )
+    return tele(
+        within_.replace("@", found),
         LOWS,
+        *more,
         f"texts AS (SELECT *, {_RT_TEXT} AS etext FROM low WHERE ts IS NOT NULL)",
         f"""ev AS (SELECT *, epoch_us(ts) AS t, CASE
       WHEN event_code = 1 AND {_RT_TOOL} AND {has('etext', catalog.REALTIME_PROCESS_STEP_MARKERS)} THEN 'process'
@@ -263,6 +268,7 @@ def correlation(window: int, select: str, host_scoped: bool = False) -> str:
     )
 
 
+_FILE_STAMP = "strftime(f.ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
 _TRIPLE = "CAST(process_no AS VARCHAR) AS process_id, CAST(network_no AS VARCHAR) AS network_id, CAST(file_no AS VARCHAR) AS file_id, strftime(f.ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS timestamp"
 _TRIPLE_RULE = _TRIPLE + ", 'behavioral.realtime.t1105.process_network_file' AS rule_id"
 
@@ -458,6 +464,17 @@ def _policy(mode: str) -> str:
     FROM native"""
 
 
+SUMMARY_SQL = tele(
+        """SELECT 'event_count_by_code' AS metric, CAST(event_code AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS value FROM e GROUP BY 1, 2
+UNION ALL SELECT 'event_count', '', CAST(count(*) AS VARCHAR) FROM e UNION ALL SELECT 'latest_event_at', '', max(st) FROM e
+UNION ALL SELECT 'alert_count_by_technique', technique_id, CAST(count(*) AS VARCHAR) FROM r GROUP BY 1, 2
+UNION ALL SELECT 'alert_count_by_engine', 'realtime-native', CAST(count(*) AS VARCHAR) FROM r
+UNION ALL SELECT 'severity_counts', severity, CAST(count(*) AS VARCHAR) FROM r GROUP BY 1, 2
+UNION ALL SELECT 'alert_count', '', CAST(count(*) AS VARCHAR) FROM r UNION ALL SELECT 'latest_alert_at', '', max(st) FROM r""",
+        LOWS, RT_HITS, f"e AS (SELECT *, {MS_STAMP} AS st FROM low)", f"r AS (SELECT *, {MS_STAMP} AS st FROM rt)",
+    )
+
+
 ORACLES: dict[str, str] = {
     "normalize_route": tele(
         """SELECT seq, category, type, action,
@@ -564,6 +581,13 @@ ORDER BY stamp DESC, seq LIMIT 100""",
         "SELECT host_name, sequence_name, seq AS anchor, row_number() OVER (ORDER BY host_name, sequence_name, seq) AS number FROM seqs", LOWS, *SEQUENCE_HITS
     ),
     "correlate_batch": correlation(CORRELATION_WINDOW, _TRIPLE_RULE),
+    "correlated_alert_documents": correlation(
+        CORRELATION_WINDOW,
+        f"""{digest("'behavioral-realtime-t1105-process-network-file'", ["'behavioral.realtime.t1105.process_network_file'", "process_no", "network_no", "file_no", _FILE_STAMP])} AS alert_id, {_FILE_STAMP} AS timestamp,
+  'high' AS severity, 'behavioral.realtime.t1105.process_network_file' AS rule_id, 'T1105' AS technique_id, 'sequence.process,sequence.network,sequence.file' AS matched_fields, CAST(3 AS BIGINT) AS n,
+  concat_ws(',', process_no, network_no, file_no) AS source_event_ids, '1,3,11' AS codes, CAST(file_no AS VARCHAR) AS source_event, f.host_name, f.process_name, f.file_path,
+  'file.path,process.executable,process.name' AS evidence_keys, (SELECT e.command_line FROM ev e WHERE e.seq = process_no) AS first_command_line""",
+    ),
     "correlate_host_scoped": correlation(SEQUENCE_WINDOW, _TRIPLE, True),
     "stream_correlation": correlation(CORRELATION_WINDOW, _TRIPLE_RULE),
     "anomaly_features": tele(
@@ -572,6 +596,22 @@ ORDER BY stamp DESC, seq LIMIT 100""",
         LOWS, _FEATURES,
     ),
     "anomaly_scores": tele("SELECT seq, score, score >= 0.7 AS is_anomaly, reasons FROM scored", LOWS, _FEATURES, _score(range(6, 20))),
+    "anomaly_rejects": tele(
+        f"SELECT CASE WHEN event_code = 1 THEN '' ELSE 'wrong_event_code' END AS reason, count(*) AS n FROM tele WHERE {SUPPORTED} GROUP BY 1"
+    ),
+    "response_rejects": tele(
+        "SELECT CASE seq % 4 WHEN 1 THEN 'missing_alert_id' WHEN 3 THEN 'missing_rule_or_technique' ELSE '' END AS reason, count(*) AS n FROM allhits GROUP BY 1", *ENGINES
+    ),
+    "written_protection": tele("SELECT mode, status, count(*) AS n FROM (" + _policy("dry-run") + ") GROUP BY ALL", LOWS, NATIVE),
+    "case_totals": tele(
+        "SELECT CAST(7 AS BIGINT) AS total_cases, " + ", ".join(f"count(*) FILTER (WHERE classification = {q(c)}) AS {c}_count" for c in _CLS) + " FROM rows_", *CASES
+    ),
+    "capability_report": tele(
+        """SELECT capability, CASE WHEN capability IN ('unknown') OR (capability IN ('anomaly', 'everything') AND bad > 0) THEN 'failed' ELSE 'passed' END AS status
+FROM (VALUES ('rules'), ('sequences'), ('anomaly'), ('everything'), ('unknown'), ('plain')) v(capability),
+  (SELECT count(*) AS bad FROM low WHERE (user_no % 60) % 5 = 3 AND (user_no % 60) % 3 = 0 AND event_code <> 1)""",
+        LOWS,
+    ),
     "anomaly_alerts": tele(
         "SELECT CAST(seq AS VARCHAR) AS document_id, 'ml.process_anomaly' AS rule_id, 'ml-anomaly' AS engine, score, CAST(n_reasons AS BIGINT) AS n_reasons FROM scored WHERE score >= 0.7",
         LOWS, _FEATURES, _score(range(24)),
@@ -683,17 +723,10 @@ FROM rows_ LEFT JOIN sev USING (case_id)""",
         + ", count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'not_seen') AS not_seen FROM latest",
         *EPISODES,
     ),
-    "realtime_summary": tele(
-        """SELECT 'event_count_by_code' AS metric, CAST(event_code AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS value FROM e GROUP BY 1, 2
-UNION ALL SELECT 'event_count', '', CAST(count(*) AS VARCHAR) FROM e UNION ALL SELECT 'latest_event_at', '', max(st) FROM e
-UNION ALL SELECT 'alert_count_by_technique', technique_id, CAST(count(*) AS VARCHAR) FROM r GROUP BY 1, 2
-UNION ALL SELECT 'alert_count_by_engine', 'realtime-native', CAST(count(*) AS VARCHAR) FROM r
-UNION ALL SELECT 'severity_counts', severity, CAST(count(*) AS VARCHAR) FROM r GROUP BY 1, 2
-UNION ALL SELECT 'alert_count', '', CAST(count(*) AS VARCHAR) FROM r UNION ALL SELECT 'latest_alert_at', '', max(st) FROM r""",
-        LOWS, RT_HITS, f"e AS (SELECT *, {MS_STAMP} AS st FROM low)", f"r AS (SELECT *, {MS_STAMP} AS st FROM rt)",
-    ),
+    "realtime_summary": SUMMARY_SQL,
+    "stream_summary": SUMMARY_SQL,
     "latest_events": tele(
-        f"SELECT seq, stamp AS timestamp, CAST(event_code AS BIGINT) AS event_code FROM tele WHERE {SUPPORTED} AND ts IS NOT NULL ORDER BY ts DESC, seq DESC LIMIT 500"
+        f"SELECT seq, stamp AS timestamp, CAST(event_code AS BIGINT) AS event_code FROM tele WHERE {SUPPORTED} ORDER BY ts DESC NULLS LAST, seq DESC LIMIT 500"
     ),
     "alert_case_lookup": tele(
         """SELECT CAST(r.seq AS VARCHAR) || '-' || CAST(r.rule_ord AS VARCHAR) AS alert_id, coalesce(nullif(l.classification, ''), l.status, 'pending') AS classification, r.rule_id, r.severity,
@@ -736,6 +769,19 @@ FROM (SELECT *, {_PB_ORD} AS ord FROM alerts) JOIN pb USING (ord) GROUP BY 1, 2"
   WHEN 5 THEN 'missing_element:Computer' WHEN 6 THEN 'bad_integer:ProcessId' WHEN 7 THEN 'missing_xml' WHEN 0 THEN CASE WHEN pid IS NULL THEN 'bad_integer:ProcessId' END END AS error_reason
 FROM tele WHERE {SUPPORTED}"""
     ),
+    "stream_alerts": correlation(
+        CORRELATION_WINDOW, _TRIPLE_RULE,
+        within_="SELECT rule_id, 'behavioral' AS engine, 'high' AS severity, timestamp, concat_ws(',', process_id, network_id, file_id) AS source_event_ids FROM (@) "
+        f"UNION ALL SELECT rule_id, 'realtime-native', severity, {MS_STAMP}, CAST(seq AS VARCHAR) FROM (SELECT * FROM rt QUALIFY row_number() OVER (PARTITION BY seq, rule_id ORDER BY rule_ord) = 1)",
+        more=(RT_HITS,),
+    ),
+    "stream_latest": tele(
+        f"""SELECT 'kept_event' AS kind, seq, stamp AS timestamp, '' AS rule_id FROM (SELECT * FROM low ORDER BY ts DESC NULLS LAST, seq DESC LIMIT 500)
+UNION ALL SELECT 'shown_event', seq, stamp, '' FROM (SELECT * FROM low ORDER BY ts DESC NULLS LAST, seq DESC LIMIT 80)
+UNION ALL SELECT 'alert', seq, {MS_STAMP}, rule_id FROM (SELECT * FROM (SELECT * FROM rt QUALIFY row_number() OVER (PARTITION BY seq, rule_id ORDER BY rule_ord) = 1) ORDER BY ts DESC NULLS LAST, seq DESC, rule_id LIMIT 200)""",
+        LOWS, RT_HITS,
+    ),
+    "stream_record_order": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS out_of_order FROM events",
     "stream_rules_summary": tele("SELECT rule_id, severity, count(*) AS n FROM rt GROUP BY ALL", LOWS, RT_HITS),
     "stream_evaluation": tele(
         f"""SELECT case_id, episode, classification, {_TEXT_TS.format('first_seen')} AS first_seen, {_TEXT_TS.format('last_seen')} AS last_seen, event_count, alert_count, rules AS actual_rule_ids FROM stream""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import catalog, session
@@ -28,7 +28,9 @@ from ..sources import readers, sinks
 from ..sources import telemetry_view as T
 from ..streaming import correlator as SC
 from ..streaming import evaluation as SE
+from ..streaming import live
 from ..streaming import pipelines as SP
+from ..streaming.versions import Versions
 from . import pipelines
 
 CREATED_AT = "2026-01-01T00:00:00Z"
@@ -314,6 +316,20 @@ def correlate_batch(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def correlated_alert_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The correlator's alerts as full documents."""
+    ev = T.supported_events(spark, sf)
+    docs = RT.correlated_alert_documents(RT.correlate(ev, CORRELATION_WINDOW), ev)
+    return docs.select(
+        F.col("alert.id").alias("alert_id"), "timestamp", "severity", F.col("rule.id").alias("rule_id"), F.col("attack.technique.id").alias("technique_id"),
+        _joined("detection.matched_fields").alias("matched_fields"), F.col("detection.correlated_event_count").cast("bigint").alias("n"),
+        _joined("source_event_ids").alias("source_event_ids"), _joined(F.transform("related_events", lambda e: e["event"]["code"])).alias("codes"),
+        F.col("source_event.id").alias("source_event"), F.col("host.name").alias("host_name"), F.col("process.name").alias("process_name"),
+        F.col("file.path").alias("file_path"), _joined(F.array_sort(F.map_keys("evidence"))).alias("evidence_keys"),
+        F.col("related_events")[0]["evidence"]["process.command_line"].alias("first_command_line"),
+    )
+
+
 def correlate_host_scoped(spark: SparkSession, sf: str) -> DataFrame:
     return RT.correlate(T.supported_events(spark, sf), SEQUENCE_WINDOW, host_scoped=True).select(
         "process_id", "network_id", "file_id", "timestamp"
@@ -344,6 +360,12 @@ def anomaly_scores(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("seq", "score", "is_anomaly", _joined("reasons", "; ").alias("reasons"))
 
 
+def anomaly_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """All events by why they cannot be scored."""
+    df = M.with_features(T.nested_view(T.flat_view(spark, sf, catalog.SUPPORTED_CODES)), on_reject="keep")
+    return df.groupBy(_s("feature_error", "reason")).agg(F.count("*").alias("n"))
+
+
 def anomaly_alerts(spark: SparkSession, sf: str) -> DataFrame:
     scored = M.score_events(T.nested_view(T.flat_view(spark, sf, (1,))))
     return A.anomaly_alerts(scored, CREATED_AT).select(
@@ -385,6 +407,21 @@ def policy_decisions(spark: SparkSession, sf: str) -> DataFrame:
     ).agg(F.count("*").alias("n"), F.count_distinct("target.pid").alias("pids"))
 
 
+def response_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts by why no response can be planned; some have lost their id, their rule or also their technique."""
+    alerts = A.run_engines(T.supported_events(spark, sf), "all", CREATED_AT)
+    kind = F.pmod(F.col("src_doc.document_id").cast("bigint"), F.lit(4))
+    lost = lambda name, field, when: F.when(when, F.col(name).withField(field, F.lit(None).cast("string"))).otherwise(F.col(name))
+    damaged = alerts.withColumns(
+        {
+            "alert": lost("alert", "id", kind == 1),
+            "rule": lost("rule", "id", kind >= 2),
+            "attack": F.when(kind == 3, F.lit(None)).otherwise(F.col("attack")),
+        }
+    )
+    return P.with_alert_ids(damaged).groupBy(S.text(P.alert_error()).alias("reason")).agg(F.count("*").alias("n"))
+
+
 # --- cases ---------------------------------------------------------------------------------------
 
 
@@ -534,6 +571,28 @@ def collection_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def case_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals of the matrix; a stored number is taken before a counted one, unless it is zero."""
+    stored = spark.range(1).selectExpr(
+        "7L total_cases", "0L true_positive_count", "0L true_negative_count", "0L false_positive_count", "cast(null as bigint) false_negative_count"
+    )
+    return C.case_matrix_totals(_case_rows(spark, sf), stored)
+
+
+def capability_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Capabilities with the status of the checks they rest on: cases of each engine that all ended as expected."""
+    rows = case_matrix_engines(spark, sf)
+    checks = rows.groupBy(F.col("engine").alias("id")).agg(
+        F.when(F.bool_and(F.col("status") == "passed"), F.lit("passed")).otherwise(F.lit("failed")).alias("status")
+    )
+    capabilities = spark.createDataFrame(
+        [("rules", ["native", "sigma-like", "all"]), ("sequences", ["behavioral"]), ("anomaly", ["ml-anomaly"]), ("everything", list(catalog.CASE_ENGINES)),
+         ("unknown", ["not-run"]), ("plain", [])],
+        "capability string, validation_ids array<string>",
+    )
+    return C.capability_status(capabilities, checks)
+
+
 def zero_filled_counts(spark: SparkSession, sf: str) -> DataFrame:
     rows = session.cut_lineage(_case_rows(spark, sf))
     tag = lambda m, df: df.select(F.lit(m).alias("metric"), "key", "n")
@@ -650,7 +709,7 @@ def count_maps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def latest_events(spark: SparkSession, sf: str) -> DataFrame:
-    ev = T.supported_events(spark, sf).where(F.col("ts").isNotNull())
+    ev = T.supported_events(spark, sf)
     kept = D.latest(ev.select("seq", "ts", F.col("`@timestamp`").alias("timestamp"), F.col("event.code").cast("bigint").alias("event_code")), catalog.REALTIME_EVENT_LIMIT, "ts")
     return kept.select("seq", "timestamp", "event_code")
 
@@ -737,6 +796,12 @@ def written_responses(spark: SparkSession, sf: str) -> DataFrame:
     return back.groupBy(F.col("playbook.id").alias("playbook_id"), F.col("alert.rule_id").alias("rule_id")).agg(F.count("*").alias("n"))
 
 
+def written_protection(spark: SparkSession, sf: str) -> DataFrame:
+    records = P.protection_records(P.decide(A.run_engines(T.supported_events(spark, sf), "native", CREATED_AT)), CREATED_AT)
+    back = _stored(spark, "protection", records, sinks.write_protection)
+    return back.groupBy(F.col("protection.mode").alias("mode"), F.col("protection.status").alias("status")).agg(F.count("*").alias("n"))
+
+
 def xml_rejects(spark: SparkSession, sf: str) -> DataFrame:
     """Every event's document, each eighth of them damaged in another way, with the reason it is rejected for."""
     xml, kind = F.col("xml"), F.col("seq") % 8
@@ -798,6 +863,53 @@ def stream_rules_summary(spark: SparkSession, sf: str) -> DataFrame:
     return last
 
 
+def stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts of the rules and the correlator from a stream, each id once."""
+    base = session.scratch_path(spark, "live-alerts")
+    log = live.AlertLog(base, SC.Correlator(f"{base}/correlator", CORRELATION_WINDOW, 6 * 3600), 31 * 86_400)
+    live.run_jobs(_stream(spark, sf), f"{base}/checkpoint", log).awaitTermination()
+    return log.alerts(spark).select("rule_id", "engine", "severity", "timestamp", _joined("source_event_ids").alias("source_event_ids"))
+
+
+def stream_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """``realtime_summary`` from a stream."""
+    base = session.scratch_path(spark, "live-summary")
+    summary = live.LiveSummary(base)
+    live.run_jobs(_stream(spark, sf), f"{base}/checkpoint", summary).awaitTermination()
+    return summary.rows(spark)
+
+
+def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest events and alerts of a stream: those kept, and of the events those shown."""
+    base = session.scratch_path(spark, "live-latest")
+    events, alerts = live.latest_events(base), live.latest_alerts(base)
+    live.run_jobs(_stream(spark, sf), f"{base}/checkpoint", events, alerts).awaitTermination()
+    kind = lambda name, df: df.select(F.lit(name).alias("kind"), "seq", "timestamp", (F.col("rule_id") if "rule_id" in df.columns else F.lit("")).alias("rule_id"))
+    return Q.union_alerts(
+        kind("kept_event", events.rows(spark)), kind("shown_event", events.rows(spark, catalog.SHOWN_EVENT_LIMIT)), kind("alert", alerts.rows(spark))
+    )
+
+
+def stream_record_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Records whose files arrive in another order than their times, released in record order: how many, and how many out of order."""
+    base = session.scratch_path(spark, "live-order")
+    raw = T.read_events(spark, sf)
+    days = F.datediff("ts", F.lit("2024-01-01"))
+    for n, part in enumerate((1, 0, 2)):  # a file holds every third day, so late days come before early ones
+        raw.where(F.pmod(days, F.lit(3)) == part).select(F.col("event_id").alias("record_id"), "ts").coalesce(1).write.parquet(f"{base}/in/part-{n}")
+    stream = spark.readStream.schema("record_id bigint, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    released = Versions(f"{base}/released", "record_id bigint, ts timestamp, place bigint")
+    # the partitions of a sorted batch follow each other, and so do the numbers inside them
+    keep = lambda batch, n: released.write(batch.withColumn("place", F.monotonically_increasing_id()), n)
+    ordered = live.OrderedRelease(f"{base}/order", stream.schema, keep, 31 * 86_400)
+    live.run_jobs(stream, f"{base}/checkpoint", ordered).awaitTermination()
+    ordered.finish(spark)
+    later = F.lag("record_id").over(Window.partitionBy("batch_id", F.shiftright("place", 33)).orderBy("place"))
+    checked = released.all(spark).withColumn("late", later > F.col("record_id"))
+    return checked.agg(F.count("*").alias("n"), F.count_if("late").alias("out_of_order"))
+
+
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     v = T.event_stream(spark, sf).withColumns({"record_id": F.floor(F.col("seq") / 2), "ts": F.col("raw_ts")})
     records = SP.distinct_records(v.select("record_id", "ts"), watermark="31 days")
@@ -826,13 +938,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         normalize_route, xml_events, message_fields, path_scalars, text_scalars, timestamp_scalars, document_ids,
         raw_projection, log_row_decode, sensor_exclusion, envelope_validation, native_rule_matches,
         sigma_like_matches, multi_branch_rules, alert_documents, realtime_rules, candidate_topk, evidence_projection,
-        sequence_process_network_file, sequence_with_optional, host_ordinals, sequence_numbers, correlate_batch, correlate_host_scoped,
-        anomaly_features, anomaly_scores, anomaly_alerts, response_plan, policy_decisions, case_matrix, case_matrix_engines, case_dashboard,
-        technique_coverage, coverage_report, engine_summary, filtered_alert_counts, collection_counts, zero_filled_counts,
+        sequence_process_network_file, sequence_with_optional, host_ordinals, sequence_numbers, correlate_batch, correlated_alert_documents, correlate_host_scoped,
+        anomaly_features, anomaly_scores, anomaly_rejects, anomaly_alerts, response_plan, response_rejects, policy_decisions, case_matrix, case_matrix_engines, case_dashboard,
+        technique_coverage, coverage_report, case_totals, capability_report, engine_summary, filtered_alert_counts, collection_counts, zero_filled_counts,
         dashboard_totals, dashboard_rows, expected_rule_checks, unknown_cases, episode_sessions, case_classification,
         evaluation_counts, realtime_summary, count_maps, latest_events, alert_case_lookup, episode_links, untimed_activity, dedupe_records,
-        distinct_realtime_alerts, daily_upsert, written_alerts, written_responses, xml_rejects, stream_correlation, stream_evaluation,
-        stream_episode_links, stream_rules_summary,
+        distinct_realtime_alerts, daily_upsert, written_alerts, written_responses, written_protection, xml_rejects, stream_correlation, stream_evaluation,
+        stream_episode_links, stream_alerts, stream_summary, stream_latest, stream_record_order, stream_rules_summary,
         stream_dedupe, stream_series, stream_consume,
     )
 }

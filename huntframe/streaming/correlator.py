@@ -58,9 +58,10 @@ class Correlator:
         for state in (self._arrived, self._steps, self._emitted):
             state.forget(spark, batch_id)
 
-    def alerts(self, spark: SparkSession) -> DataFrame:
-        """Alert rows of all triples found so far, each once."""
-        return RT._behavioral_alert(self._found.all(spark))
+    def alerts(self, spark: SparkSession, batch_id: int | None = None) -> DataFrame:
+        """Alert rows of all triples found so far, each once, or of one micro-batch."""
+        found = self._found.all(spark).drop("batch_id") if batch_id is None else self._found.read(spark, batch_id)
+        return RT.behavioral_alerts(found)
 
 
 def correlate_stream(events: DataFrame, correlator: Correlator, checkpoint: str, **trigger) -> StreamingQuery:

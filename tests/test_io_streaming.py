@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from huntframe import catalog, schemas
 from huntframe.operators import alerts as A
+from huntframe.operators import dashboard as D
 from huntframe.operators import envelope as E
 from huntframe.operators import evaluate as V
 from huntframe.operators import realtime as RT
@@ -17,6 +18,7 @@ from huntframe.operators import rules as R
 from huntframe.sources import readers, sinks
 from huntframe.sources import telemetry_view as TV
 from huntframe.streaming import correlator as SC
+from huntframe.streaming import live
 from huntframe.streaming import evaluation as SE
 from huntframe.streaming import pipelines as SP
 
@@ -189,6 +191,60 @@ def test_hot_key_in_one_window(spark):
     assert short == queue_triples(docs, 3)
 
 
+def in_files(spark, path, df, order):
+    """A stream that gets one file per micro-batch: the rows whose number modulo the files is next in ``order``."""
+    for place, n in enumerate(order):
+        df.where(F.pmod("seq", F.lit(len(order))) == n).coalesce(1).write.parquet(str(path / f"part-{place}"))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+def test_live_view_over_several_files(spark, tmp_path):
+    """Summary, newest rows and alert log of a stream of several files against the batch forms."""
+    docs = correlator_docs() + [event(s, 1, ts=T.format(s % 9), name="powershell.exe", cmd="powershell.exe -NoProfile x") for s in range(24, 32)]
+    df = events_df(spark, docs).withColumn("ts", F.to_timestamp("`@timestamp`"))
+    df = df.unionByName(df.where("seq = 31").withColumns({"seq": F.lit(99).cast("bigint"), "ts": F.lit(None).cast("timestamp"), "@timestamp": F.lit("x")}))
+    stream = in_files(spark, tmp_path / "in", df, (0, 1))
+    base = str(tmp_path)
+    summary, newest = live.LiveSummary(base), live.latest_events(base, 5)
+    log = live.AlertLog(base, SC.Correlator(f"{base}/correlator"), 86_400)
+    live.run_jobs(stream, f"{base}/checkpoint", summary, newest, log).awaitTermination()
+    events = df.select(F.col("event.code").cast("string").alias("event_code"), RT.timestamp().alias("timestamp"))
+    alerts = RT.realtime_alerts(df)
+    flat = alerts.select(F.col("attack.technique.id").alias("technique_id"), F.col("detection.engine").alias("engine"), "severity", "timestamp")
+    assert {tuple(r) for r in summary.rows(spark).collect()} == {tuple(r) for r in D.summary(events, flat).collect()}
+    wanted = [r.seq for r in df.orderBy(F.desc_nulls_last("ts"), F.desc("seq")).limit(5).collect()]
+    assert [r.seq for r in newest.rows(spark).collect()] == wanted and [r.seq for r in newest.rows(spark, 2).collect()] == wanted[:2]
+    logged = log.alerts(spark).collect()
+    ids = [r.alert_id for r in logged]
+    assert len(ids) == len(set(ids))
+    assert {r.alert_id for r in logged if r.engine != "behavioral"} == {r.id for r in RT.distinct_alerts(alerts).select("alert.id").collect()}
+    # the last micro-batch again, as after a failure, leaves everything as it is
+    before = [sorted(map(repr, x.collect())) for x in (summary.rows(spark), newest.rows(spark), log.alerts(spark))]
+    for job in (summary, newest, log):
+        job(df.where(F.pmod("seq", F.lit(2)) == 1), 1)
+    assert before == [sorted(map(repr, x.collect())) for x in (summary.rows(spark), newest.rows(spark), log.alerts(spark))]
+
+
+def test_shuffled_files_give_the_batch_result(spark, tmp_path):
+    df = events_df(spark, correlator_docs()).withColumn("ts", F.to_timestamp("`@timestamp`"))
+    stream = in_files(spark, tmp_path / "in", df, (2, 0, 1))
+    correlator = SC.Correlator(str(tmp_path / "correlator"))
+    ordered = live.OrderedRelease(str(tmp_path / "order"), stream.schema, correlator, 3600, record_id="seq")
+    live.run_jobs(stream, str(tmp_path / "checkpoint"), ordered).awaitTermination()
+    ordered.finish(spark)
+    assert triples(correlator.alerts(spark)) == triples(RT.correlate(df))
+
+
+def test_correlated_documents(spark):
+    df = events_df(spark, correlator_docs())
+    docs = {tuple(d.source_event_ids): d for d in RT.correlated_alert_documents(RT.correlate(df), df.unionByName(df)).collect()}
+    d = docs["1", "2", "3"]
+    assert [e.event.code for e in d.related_events] == ["1", "3", "11"] and d.source_event.id == "3" and d.host.name == "H2"
+    assert d.detection.sequence_steps == ["process", "network", "file"] and "file.path" in d.evidence and d.alert.severity == "high"
+    gone = RT.correlated_alert_documents(RT.correlate(df), df.where("seq <> 2")).collect()
+    assert sorted(len(g.related_events) for g in gone) == [2, 2]
+
+
 def test_evaluation_stream_with_timers(spark, tmp_path):
     cases = (
         catalog.EvaluationCase("tp", "MARK_TP", "T", True, 8),
@@ -227,6 +283,13 @@ def test_upserts_keep_rows_without_a_day(spark, tmp_path):
     path = str(tmp_path / "days")
     day = F.col("d").cast("date")
     put = lambda rows: sinks.upsert_daily(spark.createDataFrame(rows, "id string, d string, v int"), path, F.col("id"), day)
+    nameless = str(tmp_path / "nameless")
+    for _ in range(2):
+        rows = spark.createDataFrame([(None, "a", 1), (None, "a", 2), (None, "a", 2), ("x", "a", 3), ("x", "a", 4)], "id string, d string, v int")
+        sinks.upsert_daily(rows, nameless, F.col("id"), F.lit("2026-05-01").cast("date"), F.col("v"))
+    assert sorted(r.v for r in spark.read.parquet(nameless).collect()) == [1, 2, 4]
+    with pytest.raises(ValueError, match="index_date"):
+        sinks.upsert_daily(rows.withColumn("index_date", F.lit(1)), nameless, F.col("id"), F.lit(None).cast("date"))
     put([("n1", None, 1), ("a", "2026-05-01", 1), ("b", "2026-05-02", 1)])
     put([("n2", None, 2)])
     put([("a", "2026-05-01", 3)])
