@@ -146,12 +146,12 @@ def plan_responses(
 
 def decide(
     alerts: DataFrame,
-    execute: bool = False,
-    lab_allow_execute: bool = False,
-    force_lab_demo: bool = False,
+    execute: bool | Column = False,
+    lab_allow_execute: bool | Column = False,
+    force_lab_demo: bool | Column = False,
     explicit_pid: int | None = None,
 ) -> DataFrame:
-    """Adds the ``decision`` struct of the process policy to alert or response rows.
+    """Adds the ``decision`` struct of the process policy to alert or response rows. Flags may be columns of the alerts.
 
     Rows whose pid is not positive get ``decision_error`` and no decision.
     """
@@ -185,6 +185,7 @@ def decide(
     supported = approved | marked | forced
     run, lab = F.lit(execute), F.lit(lab_allow_execute)
     goes_on = ~protected & supported
+    # Check names and reason texts.
     checks = F.array_compact(
         F.array(
             F.when(~run, F.lit("dry_run_default")),
@@ -216,7 +217,7 @@ def decide(
     bad_pid = F.coalesce(F.col("_pid") <= 0, F.lit(False))
     decision = F.struct(
         allowed.alias("allowed"),
-        F.lit("execute" if execute else "dry-run").alias("mode"),
+        F.when(run, F.lit("execute")).otherwise(F.lit("dry-run")).alias("mode"),
         reason.alias("reason"),
         F.col("_pid").alias("pid"),
         F.col("_name").alias("process_name"),

@@ -398,10 +398,10 @@ def response_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def policy_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions without and with execution, from one run of the rules."""
     alerts = A.run_engines(T.supported_events(spark, sf), "native", CREATED_AT)
-    dry = P.protection_records(P.decide(alerts), CREATED_AT)
-    run = P.protection_records(P.decide(alerts, execute=True, lab_allow_execute=True), CREATED_AT)
-    return dry.unionByName(run).groupBy(
+    both = alerts.withColumn("_run", F.explode(F.array(F.lit(False), F.lit(True))))
+    return P.protection_records(P.decide(both, F.col("_run"), F.col("_run")), CREATED_AT).groupBy(
         F.col("protection.mode").alias("mode"), F.col("protection.status").alias("status"),
         F.col("protection.reason").alias("reason"), _joined("safety.checks").alias("checks"),
     ).agg(F.count("*").alias("n"), F.count_distinct("target.pid").alias("pids"))
