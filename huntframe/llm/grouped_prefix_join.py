@@ -2,10 +2,11 @@
 
 A document's set holds its distinct 4-word shingles (64-bit hashes). Two documents link when their sets' Jaccard similarity is 0.85 or more.
 
-1. Equal sets collapse into one class. Shingles are put in one order for all: rare ones by hash, then up to ``HEAVY`` frequent ones by
-   frequency. The frequent ones are those that repeat most within the tasks' batches; the order never changes a result, only how many
-   candidates there are.
-2. Sets that link share a shingle of their prefixes (the first ``n - ceil(0.85 n) + 1``). Classes with one prefix and size collapse into a
+1. Equal sets collapse into one class. Shingles are put in one order for all: those whose hash is in the lowest part of the hash range
+   first, the rarest ahead, then all others by hash. The part is ``COUNTED`` times the share of a set that is its prefix, so that prefixes
+   seldom leave it, and only its shingles are counted, exactly and over all documents.
+2. Sets that link share a shingle of their prefixes (the first ``n - ceil(0.85 n) + 1``). A shingle of one document alone meets nothing, so
+   only prefixes' repeated shingles are handed on. Classes with one such prefix and size collapse into a
    group. Only groups meet in the prefix buckets: a task streams a bucket in the order of sizes and yields a star of size-compatible
    groups, not all pairs. The stars' components are clusters: links cannot leave them.
 3. Clusters are expanded to their member classes, whose whole sets are verified exactly. A cluster above ``BLOCK_SHINGLES`` is cut into
@@ -35,8 +36,8 @@ from huntframe.llm.word_hashes import BETWEEN_BLANKS, grams, words_of
 
 WORDS = 4
 PERCENT = 85
-HEAVY = 1 << 21
-HEAVY_IN_BATCH = 2
+COUNTED = 2
+REMEMBERED = 1 << 18
 BLOCK_SHINGLES = 1 << 21
 
 
@@ -55,65 +56,53 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def _heavy(docs: DataFrame, text: str, words: int) -> np.ndarray:
-    """Up to ``HEAVY`` shingles that repeat within the tasks' batches, the most frequent one last."""
-
-    def count(batches):
-        for batch in batches:
-            sets = list(shingle_sets(batch.column(0), words))
-            values, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-            often = counts >= HEAVY_IN_BATCH
-            yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["shingle", "n"])
-
-    found = docs.select(F.col(f"`{text}`")).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    found = written(found, "frequent-shingles")
-    # the smallest count that leaves no more than HEAVY shingles
-    sizes = found.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
-    total = F.sum("k").over(Window.orderBy(F.desc("n")))
-    least = sizes.withColumn("total", total).filter(F.col("total") <= HEAVY).agg(F.min("n")).first()[0]
-    if least is None:
-        return np.zeros(0, np.uint64)
-    top = found.filter(F.col("n") >= least).toArrow()  # HEAVY rows at most
-    shingles, counts = top.column("shingle").to_numpy(), top.column("n").to_numpy()
-    return shingles[np.lexsort((shingles, counts))].view(np.uint64)
-
-
-def _prefix(shingles: np.ndarray, known: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    size = len(shingles) - -(-len(shingles) * percent // 100) + 1
-    if not len(known):
-        return shingles[:size]
-    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
-    heavy = known[at] == shingles
-    light = shingles[~heavy]
-    if len(light) >= size:
-        return light[:size]
-    last = shingles[heavy][np.argsort(rank[at[heavy]])]
-    return np.concatenate([light, last[: size - len(light)]])
-
-
 def _sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """``key, digest, n, same, prefix_key, prefix`` per row: ``same`` names the set, ``prefix_key`` the prefix."""
-    heavy = _heavy(docs, text, words)
-    order = np.argsort(heavy)
-    shared = docs.sparkSession.sparkContext.broadcast((heavy[order], order.astype(np.int32)))  # HEAVY entries at most, 12 bytes each
-    name = lambda a: hashlib.blake2b(a.tobytes(), digest_size=16).hexdigest()
+    """``key, digest, n, same, spare, low, rest`` per row: ``same`` names the set, ``low`` holds its counted shingles, ``spare`` how many
+    of them the prefix does not need, and ``rest`` those of the prefix that are not counted.
+
+    A task gives a repeated set's shingles once, as long as it remembers the set: its last ``REMEMBERED`` ones. The first row of a set
+    in a task always has them.
+    """
+    limit = np.uint64(min(int(COUNTED * (100 - percent)), 100) * ((1 << 64) - 1) // 100)
 
     def make(batches):
-        known, rank = shared.value
+        seen = set()
         for batch in batches:
-            sets = list(shingle_sets(batch.column(2), words))
-            prefixes = [_prefix(s, known, rank, percent) if len(s) else s for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(map(name, sets), pa.string()),
-                    pa.array(map(name, prefixes), pa.string()), pa.array([p.view(np.int64) for p in prefixes], pa.list_(pa.int64())),
-                ],
-                names=["key", "digest", "n", "same", "prefix_key", "prefix"],
-            )
+            names, sizes, spare, low, rest = [], [], [], [], []
+            for s in shingle_sets(batch.column(2), words):
+                name = hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest()
+                prefix = len(s) - -(-len(s) * percent // 100) + 1 if len(s) else 0
+                known = int(np.searchsorted(s, limit, side="right"))
+                again = name in seen
+                if not again:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(name)
+                names.append(name)
+                sizes.append(len(s))
+                spare.append(known - prefix)
+                low.append(s[: 0 if again else known].view(np.int64))
+                rest.append(s[known : known if again else max(known, prefix)].view(np.int64))
+            columns = [pa.array(sizes, pa.int64()), pa.array(names, pa.string()), pa.array(spare, pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in (low, rest))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["key", "digest", "n", "same", "spare", "low", "rest"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("key"), _digest(text).alias("digest"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(make, f"key {kind}, digest string, n long, same string, prefix_key string, prefix array<long>")
+    return rows.mapInArrow(make, f"key {kind}, digest string, n long, same string, spare long, low array<long>, rest array<long>")
+
+
+def _prefixes(made: DataFrame, classes: DataFrame) -> DataFrame:
+    """``row, n, prefix`` of the classes whose prefix holds shingles that other documents may hold, those shingles sorted."""
+    counted = made.select("row", F.explode("low").alias("shingle"))
+    often = written(counted.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "repeated-shingles")
+    leaders = classes.select(F.col("cls").alias("row"), "n", "spare")
+    hits = counted.join(often, "shingle").join(leaders, "row")
+    # counted from the most frequent one, so that shingles of one document need no row
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("f"), F.desc("shingle")))
+    held = hits.withColumn("place", place).filter("place > spare").select("row", "n", "shingle")
+    others = made.filter(F.size("rest") > 0).join(classes.select(F.col("cls").alias("row")), "row").select("row", "n", F.explode("rest").alias("shingle"))
+    prefixes = held.unionByName(others).groupBy("row").agg(F.min("n").alias("n"), F.sort_array(F.collect_list("shingle")).alias("prefix"))
+    return written(prefixes, "prefixes")
 
 
 def _digest(text: str) -> Column:
@@ -292,13 +281,17 @@ def joined_documents(
     """``key, n_shingles, component_id, n_links, digest``: per row its set's size, the smallest key it reaches by links, and how many other
     rows it links to."""
     made = written(_sets(docs, key, text, words, percent).withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
-    full = made.filter("n > 0")
-    classes = written(full.groupBy("same").agg(F.min("row").alias("cls"), F.min("key").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
-    own = full.drop("prefix").join(classes.select(F.col("cls").alias("row"), "copies"), "row").withColumnRenamed("row", "cls")
-    groups = own.groupBy("n", "prefix_key").agg(F.min("cls").alias("gid"), F.count(F.lit(1)).alias("members"))
-    members = written(own.join(groups, ["n", "prefix_key"]).select("gid", "members", "cls", "copies", "key", "digest", "n"), "group-members")
+    classes = made.filter("n > 0").groupBy("same")
+    classes = classes.agg(F.min("row").alias("cls"), F.min("key").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("spare").alias("spare"))
+    classes = written(classes, "classes")
+    prefixes = _prefixes(made, classes)
+    named = prefixes.withColumn("p", F.xxhash64(F.lit(1), "prefix")).withColumn("q", F.xxhash64(F.lit(2), "prefix"))
+    groups = named.groupBy("n", "p", "q").agg(F.min("row").alias("gid"), F.count(F.lit(1)).alias("members"))
+    grouped = named.drop("prefix").join(groups, ["n", "p", "q"]).select("row", "gid", "members")
+    rows = made.select("row", "key", "digest", "n").join(grouped, "row").join(classes.select(F.col("cls").alias("row"), "copies"), "row")
+    members = written(rows.withColumnRenamed("row", "cls"), "group-members")
     leaders = members.filter("gid = cls").select(F.col("gid").alias("row"))
-    buckets = full.select("row", "n", "prefix").join(leaders, "row").select(F.explode("prefix").alias("shingle"), "n", F.col("row").alias("gid"))
+    buckets = prefixes.join(leaders, "row").select(F.explode("prefix").alias("shingle"), "n", F.col("row").alias("gid"))
     clusters = components(_stars(buckets, percent), "clusters").withColumnRenamed("node", "gid")
     expanded = members.join(clusters, "gid", "left").filter("label is not null or members > 1")
     expanded = expanded.withColumn("cluster", F.coalesce("label", "gid"))
@@ -307,7 +300,7 @@ def joined_documents(
     links = written(_verified(_tiles(rows), percent, words), "links")
     linked = components(links, "linked").withColumnRenamed("node", "cls")
     counts = links.filter("a = b").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
-    named = classes.join(linked, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    named = classes.drop("n", "spare").join(linked, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     n_links = F.col("copies") - 1 + F.coalesce("others", F.lit(0))
     named = named.join(least, "label").join(counts, "cls", "left").select("same", "component_id", n_links.alias("n_links"))

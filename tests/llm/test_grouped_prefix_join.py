@@ -60,9 +60,10 @@ EDGE = [(900, None), (901, ""), (902, " \n"), (903, "one"), (904, "ONE"), (905,
 
 @pytest.mark.parametrize("small", [False, True])
 def test_equals_brute_force(spark, monkeypatch, small):
-    if small:  # many blocks, bands and frequent shingles
+    if small:  # many blocks and bands, prefixes beyond the counted shingles, sets that a task forgets
         monkeypatch.setattr(g, "BLOCK_SHINGLES", 300)
-        monkeypatch.setattr(g, "HEAVY_IN_BATCH", 2)
+        monkeypatch.setattr(g, "COUNTED", 0.5)
+        monkeypatch.setattr(g, "REMEMBERED", 2)
     rows = make_rows(3, 12, 22, 220) + EDGE
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n int").repartition(4)
     got = sorted((tuple(r)[:3] for r in g.joined_documents(df).collect()), key=repr)
