@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A task works on slices of about so many text bytes at a time; a longer text forms a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -18,16 +19,35 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def map_rows(df: DataFrame, columns: dict, schema: str, rows: Callable[..., Iterator[tuple]]) -> DataFrame:
+def beside(taken: str | list[str], *names: str) -> list[str]:
+    """The names; one that is taken, in any case of its letters, gets ``_`` at its end until it is not."""
+    used = {n.lower() for n in ([taken] if isinstance(taken, str) else taken)}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def keyed(df: DataFrame, key: str, **fields: T.DataType) -> T.StructType:
+    """The schema of a key, of any name and type, and the outputs beside it."""
+    made = T.StructType([T.StructField(key, df.schema[key].dataType)])
+    for name, kind in zip(beside(key, *fields), fields.values(), strict=True):
+        made = made.add(name, kind)
+    return made
+
+
+def map_rows(df: DataFrame, columns: dict, schema: T.StructType, rows: Callable[..., Iterator[tuple]]) -> DataFrame:
     """Runs ``rows`` over each Arrow batch of the given columns and returns its tuples under ``schema``.
 
     ``columns`` maps the names ``rows`` gets as keyword lists to columns of ``df``; columns of ``df`` that are not named never
     reach the task, so their names cannot clash with those of ``schema``.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    with_types = to_arrow_schema(_parse_datatype_string(schema))
+    with_types = to_arrow_schema(schema)
     names = list(columns)
 
     def run(batches):
@@ -38,7 +58,7 @@ def map_rows(df: DataFrame, columns: dict, schema: str, rows: Callable[..., Iter
                 [pa.array(values, type=f.type) for values, f in zip(by_column, with_types, strict=True)], schema=with_types
             )
 
-    return df.select(*[F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for n, c in columns.items()]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`").alias(n) if isinstance(c, str) else c.alias(n) for n, c in columns.items()]).mapInArrow(run, schema)
 
 
 def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

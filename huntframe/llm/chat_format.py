@@ -26,8 +26,10 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from huntframe.llm.arrow_text import map_rows
+from huntframe.llm.arrow_text import keyed, map_rows
 from huntframe.llm.storage import written
 
 FRAMES = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
@@ -125,7 +127,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
             yield (c, n, rendered, start, end) if r == "assistant" else (c, n, rendered, None, None)
 
     columns = {c: c for c in ("conv_id", "turn", "role", "text")}
-    return map_rows(turns, columns, "conv_id long, turn long, rendered string, mask_start int, mask_end int", rows)
+    whole, text = T.IntegerType(), T.StringType()
+    return map_rows(turns, columns, keyed(turns, "conv_id", turn=T.LongType(), rendered=text, mask_start=whole, mask_end=whole), rows)
 
 
 def parse_turns(formatted: DataFrame) -> DataFrame:
@@ -137,15 +140,15 @@ def parse_turns(formatted: DataFrame) -> DataFrame:
             yield c, n, role, text, None if start is None else unescape(r[start:end]), len(r)
 
     columns = {c: c for c in ("conv_id", "turn", "rendered", "mask_start", "mask_end")}
-    return map_rows(formatted, columns, "conv_id long, turn long, role string, text string, masked string, chars long", rows)
+    text = T.StringType()
+    return map_rows(formatted, columns, keyed(formatted, "conv_id", turn=T.LongType(), role=text, text=text, masked=text, chars=T.LongType()), rows)
 
 
 def conversation_digests(parsed: DataFrame) -> DataFrame:
     """One row per conversation. A task streams the turns in order and keeps two running digests, whatever a conversation's length."""
-    schema = pa.schema(
-        [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string())]
-        + [("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
-    )
+    number, digest = T.LongType(), T.StringType()
+    made = keyed(parsed, "conv_id", n_turns=number, turns_sha256=digest, loss_chars=number, loss_sha256=digest, formatted_chars=number)
+    schema = to_arrow_schema(made)
 
     def run(batches):
         now, state = object(), None
@@ -174,7 +177,7 @@ def conversation_digests(parsed: DataFrame) -> DataFrame:
             yield batch_of([closed()])
 
     ordered = parsed.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(run, made)
 
 
 def op10_chat_format(spark, sf_dir: str) -> DataFrame:

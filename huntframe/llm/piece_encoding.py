@@ -15,8 +15,9 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from huntframe.llm.arrow_text import map_rows
+from huntframe.llm.arrow_text import keyed, map_rows
 from huntframe.llm.piece_model import BYTE, CONTROL, SPACE, Normaliser, parse_model, read_model
 
 
@@ -73,6 +74,7 @@ def encode_pieces(
     """``key, ids, starts, ends, decoded``: ids of the whole text, each id's source byte span, and the decoded text.
 
     One narrow pass without a shuffle; each text is encoded alone, so a task holds one batch of texts and their ids.
+    An empty table gives an empty one; an output that is named like the key gets a ``_`` at its end.
     """
     data = read_model(model_path)
 
@@ -83,8 +85,8 @@ def encode_pieces(
             starts, ends = e.spans(t or "", ids)
             yield k, ids, starts.tolist(), ends.tolist(), e.lib.decode(ids)
 
-    kind = df.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, ids array<int>, starts array<long>, ends array<long>, decoded string"
+    longs = T.ArrayType(T.LongType())
+    schema = keyed(df, key, ids=T.ArrayType(T.IntegerType()), starts=longs, ends=longs, decoded=T.StringType())
     return map_rows(df, {"key": key, "text": text}, schema, rows)
 
 
@@ -110,8 +112,7 @@ def encode_digests(
                 hashlib.sha256(decoded.encode()).hexdigest(), tile,
             )
 
-    kind = df.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_tile boolean"
+    schema = keyed(df, key, n_tokens=T.LongType(), ids_sha256=T.StringType(), decoded_sha256=T.StringType(), spans_tile=T.BooleanType())
     return map_rows(df, {"key": key, "text": text}, schema, rows)
 
 

@@ -30,8 +30,9 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from huntframe.llm.arrow_text import map_rows
+from huntframe.llm.arrow_text import keyed, map_rows
 
 KINDS = ("email", "ip", "card", "phone")
 SPELLED_RUN = 3
@@ -362,7 +363,10 @@ def _joined(spans: dict[str, list[tuple[int, int]]]) -> str:
 
 
 def detect_pii(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, counts of plain findings by kind, ``n_added``, ``base_sha256`` of the plain spans, and ``spans`` of all."""
+    """Per row: key, counts of plain findings by kind, ``n_added``, ``base_sha256`` of the plain spans, and ``spans`` of all.
+
+    An empty table gives an empty one; an output that is named like the key gets a ``_`` at its end.
+    """
 
     def rows(key, text):
         for k, t in zip(key, text, strict=True):
@@ -373,8 +377,8 @@ def detect_pii(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 hashlib.sha256(_joined(plain).encode()).hexdigest(), _joined(both),
             )
 
-    counts = ", ".join(f"n_{kind} long" for kind in (*KINDS, "added"))
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, {counts}, base_sha256 string, spans string"
+    counts = {f"n_{kind}": T.LongType() for kind in (*KINDS, "added")}
+    schema = keyed(df, key, **counts, base_sha256=T.StringType(), spans=T.StringType())
     return map_rows(df, {"key": key, "text": text}, schema, rows)
 
 

@@ -65,7 +65,7 @@ def with_metrics(df: DataFrame, text: str = "text", lang: str = "lang", prefix:
         F.length(w) <= _LONGEST, F.substring(F.lit("." + _CODES), F.find_in_set(w, listed) + 1, F.lit(1))
     ).otherwise(".")
     df = df.select(
-        *[k for k in df.columns if not k.startswith(f"{p}text") or k == text],
+        *[k for k in df.columns if k not in {f"{p}text{i}" for i in range(len(CLASSES) + 1)}],
         words.alias(f"{p}words"),
         lines.alias(f"{p}lines"),
         F.array(
@@ -144,7 +144,7 @@ def with_verdict(metrics: DataFrame, refs: DataFrame, prefix: str = "") -> DataF
     renamed = refs.select(*[F.col(k).alias(f"{p}{k}") for k in refs.columns])
     joined = metrics.join(F.broadcast(renamed), c("key") == c("ref_key"), "left")
     joined = joined.select(
-        *[k for k in joined.columns if not k.startswith(f"{p}ref_")],
+        *[k for k in joined.columns if k not in renamed.columns],
         F.when(n_chars >= MIN_CHARS, distance(c("chars"), c("ref_chars"))).alias(f"{p}char_distance"),
         F.when(c("n_words") >= MIN_WORDS, distance(c("common"), c("ref_common"))).alias(f"{p}word_distance"),
     )

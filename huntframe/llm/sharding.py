@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from huntframe.llm.arrow_text import beside
 from huntframe.llm.storage import shared_path, written
 
 SLOTS = 4096
@@ -85,15 +86,16 @@ def placed(rows: DataFrame, slot_map: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``shard`` and ``slot``, the row's place in its shard, gapless from 0.
 
     The place is the number of rows in the shard's earlier slots, from the map, plus the row's place in its own slot. So
-    no task sorts more than one slot's rows.
+    no task sorts more than one slot's rows. Where the rows have a ``shard`` or ``slot`` of their own, the new one gets a ``_`` at its end.
     """
+    number, offset, shard, slot = beside(rows.columns, "_number", "_offset", "shard", "slot")
     before = Window.partitionBy("shard").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slot_map.select(
-        F.col("slot").alias("virtual_slot"), "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_offset")
+        F.col("slot").alias("virtual_slot"), F.col("shard").alias(shard), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(offset)
     )
     within = Window.partitionBy("virtual_slot").orderBy(*order)
-    numbered = rows.withColumn("_number", F.row_number().over(within).cast("long") - 1)
-    return numbered.join(F.broadcast(offsets), "virtual_slot").withColumn("slot", F.col("_offset") + F.col("_number")).drop("_offset", "_number")
+    numbered = rows.withColumn(number, F.row_number().over(within).cast("long") - 1)
+    return numbered.join(F.broadcast(offsets), "virtual_slot").withColumn(slot, F.col(offset) + F.col(number)).drop(offset, number)
 
 
 def op4_slot_shards(spark, sf_dir: str) -> DataFrame:

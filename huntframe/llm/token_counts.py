@@ -20,8 +20,9 @@ from functools import lru_cache
 
 import ahocorasick
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from huntframe.llm.arrow_text import map_rows
+from huntframe.llm.arrow_text import keyed, map_rows
 from huntframe.llm.piece_model import BYTE, NORMAL, SPACE, USER_DEFINED, Normaliser, parse_model, read_model
 
 #: Words a worker remembers; the memory is emptied when full. It changes the speed only.
@@ -109,14 +110,15 @@ def counter(data: bytes) -> PieceCounter:
 
 
 def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", model_path: str | None = None) -> DataFrame:
-    """``key, n_tokens``: one narrow pass, no shuffle."""
+    """``key, n_tokens``: one narrow pass, no shuffle. An empty table gives an empty one, a text of any length is counted by one task, and an
+    output that is named like the key gets a ``_`` at its end."""
     data = read_model(model_path)
 
     def rows(key, text):
         count = counter(data).count
         return ((k, count(t or "")) for k, t in zip(key, text, strict=True))
 
-    return map_rows(df, {"key": key, "text": text}, f"{key} {df.schema[key].dataType.simpleString()}, n_tokens long", rows)
+    return map_rows(df, {"key": key, "text": text}, keyed(df, key, n_tokens=T.LongType()), rows)
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
