@@ -16,6 +16,8 @@ A document's set holds its distinct 4-word shingles (64-bit hashes). Two documen
 
 Memory: a task holds two parts. Null and empty texts have empty sets and link with nothing. Repeated rows share a class. A null
 document id counts as larger than all others.
+An empty table gives an empty one. A text of any length is one set of one task. Other columns are not read; an output that is named like the
+key gets a ``_`` at its end.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from huntframe.llm.arrow_text import slices
+from huntframe.llm.arrow_text import beside, slices
 from huntframe.llm.components import components
-from huntframe.llm.storage import written
+from huntframe.llm.storage import delete, written, written_at
 from huntframe.llm.word_hashes import BETWEEN_BLANKS, grams, words_of
 
 WORDS = 4
@@ -94,7 +96,7 @@ def _sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> Dat
 def _prefixes(made: DataFrame, classes: DataFrame) -> DataFrame:
     """``row, n, prefix`` of the classes whose prefix holds shingles that other documents may hold, those shingles sorted."""
     counted = made.select("row", F.explode("low").alias("shingle"))
-    often = written(counted.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "repeated-shingles")
+    often, path = written_at(counted.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "repeated-shingles")
     leaders = classes.select(F.col("cls").alias("row"), "n", "spare")
     hits = counted.join(often, "shingle").join(leaders, "row")
     # counted from the most frequent one, so that shingles of one document need no row
@@ -102,7 +104,9 @@ def _prefixes(made: DataFrame, classes: DataFrame) -> DataFrame:
     held = hits.withColumn("place", place).filter("place > spare").select("row", "n", "shingle")
     others = made.filter(F.size("rest") > 0).join(classes.select(F.col("cls").alias("row")), "row").select("row", "n", F.explode("rest").alias("shingle"))
     prefixes = held.unionByName(others).groupBy("row").agg(F.min("n").alias("n"), F.sort_array(F.collect_list("shingle")).alias("prefix"))
-    return written(prefixes, "prefixes")
+    made_prefixes = written(prefixes, "prefixes")
+    delete(made.sparkSession, path)
+    return made_prefixes
 
 
 def _digest(text: str) -> Column:
@@ -255,8 +259,8 @@ def _placed(members: DataFrame, percent: int) -> DataFrame:
         "cluster", "band", (F.col("all") <= BLOCK_SHINGLES).alias("small"), F.ceil(F.col("size") / BLOCK_SHINGLES).cast("int").alias("parts")
     )
     cut = written(cut, "cluster-bands")
-    beside = lambda by, label: cut.select("cluster", (F.col("band") + by).alias("band"), F.col("parts").alias(label))
-    cut = cut.join(beside(1, "before"), ["cluster", "band"], "left").join(beside(-1, "after"), ["cluster", "band"], "left")
+    next_to = lambda by, label: cut.select("cluster", (F.col("band") + by).alias("band"), F.col("parts").alias(label))
+    cut = cut.join(next_to(1, "before"), ["cluster", "band"], "left").join(next_to(-1, "after"), ["cluster", "band"], "left")
     return rows.join(cut, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
 
 
@@ -280,11 +284,14 @@ def joined_documents(
 ) -> DataFrame:
     """``key, n_shingles, component_id, n_links, digest``: per row its set's size, the smallest key it reaches by links, and how many other
     rows it links to."""
-    made = written(_sets(docs, key, text, words, percent).withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
+    spark = docs.sparkSession
+    sets, path = written_at(_sets(docs, key, text, words, percent).withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
+    made = written(sets.drop("low", "rest"), "documents")
     classes = made.filter("n > 0").groupBy("same")
     classes = classes.agg(F.min("row").alias("cls"), F.min("key").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("spare").alias("spare"))
     classes = written(classes, "classes")
-    prefixes = _prefixes(made, classes)
+    prefixes = _prefixes(sets, classes)
+    delete(spark, path)
     named = prefixes.withColumn("p", F.xxhash64(F.lit(1), "prefix")).withColumn("q", F.xxhash64(F.lit(2), "prefix"))
     groups = named.groupBy("n", "p", "q").agg(F.min("row").alias("gid"), F.count(F.lit(1)).alias("members"))
     grouped = named.drop("prefix").join(groups, ["n", "p", "q"]).select("row", "gid", "members")
@@ -296,8 +303,9 @@ def joined_documents(
     expanded = members.join(clusters, "gid", "left").filter("label is not null or members > 1")
     expanded = expanded.withColumn("cluster", F.coalesce("label", "gid"))
     narrow = written(_placed(expanded.select("cluster", "cls", "copies", "key", "digest", "n"), percent), "cluster-members")
-    rows = written(_fetched(docs, narrow, key, text), "cluster-texts")
+    rows, path = written_at(_fetched(docs, narrow, key, text), "cluster-texts")
     links = written(_verified(_tiles(rows), percent, words), "links")
+    delete(spark, path)
     linked = components(links, "linked").withColumnRenamed("node", "cls")
     counts = links.filter("a = b").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
     named = classes.drop("n", "spare").join(linked, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
@@ -305,9 +313,10 @@ def joined_documents(
     n_links = F.col("copies") - 1 + F.coalesce("others", F.lit(0))
     named = named.join(least, "label").join(counts, "cls", "left").select("same", "component_id", n_links.alias("n_links"))
     out = made.join(named, "same", "left")
+    size, component, n_links, digest = beside(key, "n_shingles", "component_id", "n_links", "digest")
     return out.select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), "digest",
+        F.col("key").alias(key), F.col("n").alias(size), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias(component),
+        F.coalesce("n_links", F.lit(0)).alias(n_links), F.col("digest").alias(digest),
     )
 
 
@@ -317,13 +326,14 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     Rows of texts without words link with nothing and stay. Rows that repeat key and text are one document: one of them stays.
     """
     judged = joined_documents(docs, key, text, words, percent)
-    lead = judged.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_lead"), F.col("digest").alias("_same")).distinct()
+    own, _, component, _, digest = (F.col(f"`{name}`") for name in judged.columns)
+    lead = judged.filter(own.eqNullSafe(component)).select(own.alias("_lead"), digest.alias("_same")).distinct()
     lead = written(lead, "leaders")
     name = "_text_digest"
     while name in docs.columns:
         name += "_"
     marked = docs.withColumn(name, _digest(text))
-    kept = marked.join(lead, (marked[name] == lead["_same"]) & marked[key].eqNullSafe(lead["_lead"]), "left_semi")
+    kept = marked.join(lead, (marked[name] == lead["_same"]) & marked[f"`{key}`"].eqNullSafe(lead["_lead"]), "left_semi")
     return kept.dropDuplicates([key, name]).select(*docs.columns)
 
 
