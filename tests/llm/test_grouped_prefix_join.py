@@ -108,3 +108,36 @@ def test_link_counts_equal_brute_force(spark, monkeypatch, block):
     want = links(rows)
     assert got == sorted(want, key=repr)
     assert max(n for _, n in want) > 5
+
+
+@pytest.mark.parametrize("kind", ["chain", "stars"])
+def test_components_edges_shrink(spark, monkeypatch, kind):
+    """Each round joins only what is left of the edges, not all of them."""
+    from huntframe.llm import components as module
+
+    rng = random.Random(kind)
+    if kind == "chain":
+        edges = [(i, i + 1) for i in range(1500)]
+    else:  # a group of near copies, tied to the pivots of several buckets
+        edges = [(p, rng.randrange(10, 600)) for p in range(8) for _ in range(400)] + [(1000, 1001), (1001, 1001), (1002, 1002)]
+    sizes, real = [], module.written_at
+
+    def spy(df, label):
+        made = real(df, label)
+        if label.endswith("-edges"):
+            sizes.append(made[0].count())
+        return made
+
+    monkeypatch.setattr(module, "written_at", spy)
+    found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want: dict[int, int] = {}
+    for root in sorted({x for a, b in edges if a != b for x in (a, b)}):
+        stack = [root] if root not in want else []
+        while stack:
+            x = stack.pop()
+            if x not in want:
+                want[x] = root
+                stack += [b for a, b in edges if a == x] + [a for a, b in edges if b == x]
+    assert found == want
+    assert len(sizes) > 1 and sizes[-1] == 0 and all(b < a for a, b in zip(sizes, sizes[1:], strict=False))
+    assert sum(sizes) <= 3 * sizes[0]
