@@ -9,6 +9,9 @@ found with counters of a fixed number of slots (by hash), and windows end before
 it, so no phrase that counts is cut; two parts in one slot only make a window longer than needed. What is broadcast is one bit per
 slot, ``SLOTS`` of them per size, whatever the corpus. All counts are of words themselves, not of hashes.
 
+A task adds up equal windows before it hands them on. A phrase that counts is in nearly every task, so rows are handed on as often as there are
+tasks; windows are therefore counted by ``ROUNDS`` tasks a core, each of several splits of the input, not by one task a split.
+
 Null texts are empty, empty texts and tables have no phrases, null languages count as ``und``. Repeated rows count each. Texts of any length are
 cut into words whole; a task holds about ``SLICE`` bytes of texts at a time, or one longer text. Only the two named columns are read, so others may
 have any name.
@@ -36,7 +39,9 @@ SLOTS = {1: 1 << 24, 2: 1 << 26, 3: 1 << 26}
 SEGMENT = 1 << 15
 SLICE = 8 << 20
 #: A task adds up so many windows before it hands them on.
-HELD = 400_000
+HELD = 1_000_000
+#: Tasks a core that count windows, at most.
+ROUNDS = 2
 #: Each language's phrases are ranked in so many groups first.
 SALTS = 64
 
@@ -151,6 +156,12 @@ def windows(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str =
         known.unpersist()
         known = context.broadcast(frequent)
 
+    return _task_windows(read, known).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
+
+
+def _task_windows(read: DataFrame, known: Broadcast) -> DataFrame:
+    """``lang, w1, ..., n``: the padded windows of each task, added up as far as ``HELD`` allows."""
+
     def counted(batches):
         parts, rows = [], 0
         for name, words in _by_language(batches):
@@ -164,7 +175,8 @@ def windows(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str =
             yield from _summed(parts).to_batches()
 
     schema = ", ".join(f"{c} string" for c in ("lang", *WORDS))
-    return read.mapInArrow(counted, f"{schema}, n long").groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
+    tasks = ROUNDS * read.sparkSession.sparkContext.defaultParallelism
+    return read.coalesce(tasks).mapInArrow(counted, f"{schema}, n long")
 
 
 def _padded(lang: str, words: Words, frequent: dict[int, np.ndarray]) -> pa.Table:

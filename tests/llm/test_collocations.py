@@ -69,6 +69,17 @@ def test_long_text_and_hot_language(spark):
     assert sorted(tuple(r) for r in co.collocations(made(spark, docs)).collect()) == brute(docs, 100, 2000)
 
 
+def test_rows_handed_on_follow_cores_not_splits(spark):
+    docs = [("one two three four, five six seven " * 40, lang) for lang in ("en", "de") for _ in range(64)]
+    read = co._read(made(spark, docs).repartition(128), "text", "lang")
+    handed = co._task_windows(read, spark.sparkContext.broadcast({}))
+    keys = ["lang", *co.WORDS]
+    different = handed.select(keys).distinct().count()
+    assert handed.count() <= different * co.ROUNDS * spark.sparkContext.defaultParallelism < different * 64
+    totals = {r.lang: r.n for r in handed.groupBy("lang").sum("n").toDF("lang", "n").collect()}
+    assert totals == {"en": 64 * 280, "de": 64 * 280}
+
+
 def test_empty_table(spark):
     assert co.collocations(made(spark, [("a", "b")]).limit(0)).count() == 0
 
