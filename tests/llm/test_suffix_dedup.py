@@ -77,3 +77,18 @@ def test_empty_and_bodies(spark):
     df = spark.createDataFrame([(1, "a" * 500), (2, "b")], "doc_id long, text string")
     assert sd.without_repeats(df.limit(0)).count() == 0
     assert {r.doc_id: bytes(r.kept) for r in sd.without_repeats(df, bodies=True).collect()} == {1: b"", 2: b"b"}
+
+
+def test_query_goes_by_bytes_not_by_words(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda words: " ".join("".join(rng.choice("abcdefé") for _ in range(rng.randrange(1, 11))) for _ in range(words))
+    passages = [text(n) for n in range(51, 101, 7)] + ["é" * 30 + text(200).encode("ascii", "ignore").decode()[: n - 60] for n in (399, 400, 401)]
+    rows = [(2 * i + k, f"{text(80)}{edge}{p}{edge}{text(80)}") for i, p in enumerate(passages) for k, edge in enumerate("<>")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sd.op6_suffix_dedup(spark, str(tmp_path)).collect()
+    assert sorted((tuple(r)[:5] for r in found), key=repr) == brute(rows, sd.LENGTH)
+    sizes = [len(p.encode()) for p in passages]
+    assert sizes[-3:] == [399, 400, 401] and min(sizes[:-3]) < 400 < max(sizes[:-3])
+    for r in found:
+        size = sizes[r.doc_id // 2]
+        assert (r.n_removed, r.n_spans, r.has_repeats) == ((size, 1, True) if size >= 400 else (0, 0, False))
