@@ -92,3 +92,17 @@ def test_query_goes_by_bytes_not_by_words(spark, tmp_path):
     for r in found:
         size = sizes[r.doc_id // 2]
         assert (r.n_removed, r.n_spans, r.has_repeats) == ((size, 1, True) if size >= 400 else (0, 0, False))
+
+
+def test_a_run_is_one_row_of_its_text(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefé") for _ in range(n))
+    rows = [(i, word(300) + "x" * (900 + 100 * i) + word(300)) for i in range(6)] + [(10, "-=" * 700), (11, word(80) + "-=" * 400), (12, "x" * 399), (13, "y" * 401)]
+    df = spark.createDataFrame(rows, "key long, text string").repartition(3)
+    places = [p for r in sd._anchor_rows(df, 400, 200).collect() for p in r.places]
+    grams = Counter(p.gram for p in places)
+    # six runs of x, each with its inside and two edges: a gram has few rows, whatever the length of the runs
+    assert max(grams.values()) <= 3 * 6
+    all_at = lambda text: sd.anchors(np.frombuffer(text.encode(), np.uint8), 400, 200)[0].tolist()
+    assert sorted(a for p in places for a in p[-1]) == sorted(a for _, t in rows for a in all_at(t))
+    assert sorted(map(tuple, sd.without_repeats(df, key="key").collect()), key=repr) == brute(rows, 400)
