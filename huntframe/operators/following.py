@@ -18,11 +18,29 @@ from pyspark.sql import functions as F
 
 #: A window is cut into so many slices when one key may hold most of its rows.
 SLICES = 256
+#: Bits of the map that says which groups are probed: 4 MB, whatever the size of the input.
+PROBED_BITS = 1 << 25
 
 # Rows without a time share t = 0; their runs are cut by the tie-breaker instead.
 _UNTIMED_RUN = 1 << 20
 
 
+def maybe_among(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], bits: int = PROBED_BITS) -> DataFrame:
+    """The rows whose ``keys`` are among those of ``wanted``, and a few others, before anything is shuffled.
+
+    A bitmap of fixed size over the hashes of the wanted keys goes to all tasks. Nulls equal nulls. No wanted row is lost: equal keys
+    have equal hashes, so the map only decides how many others stay.
+    """
+    # One type on both sides, as equal numbers of two types have two hashes.
+    place = F.pmod(F.xxhash64(*[F.col(k).cast(wanted.schema[k].dataType) for k in keys]), F.lit(bits))
+    part, at = F.bitmap_bucket_number("_place"), F.bitmap_bit_position("_place")
+    maps = wanted.select(place.alias("_place")).groupBy(part.alias("_part")).agg(F.bitmap_construct_agg(at).alias("_map"))
+    byte = F.conv(F.hex(F.substring(F.col("_map"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    marked = F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
+    placed = rows.withColumn("_place", place).withColumn("_part", part)
+    return placed.join(F.broadcast(maps), "_part").where(marked).drop("_part", "_place", "_map")
+
+
 def nearest(probes: DataFrame, candidates: DataFrame, by: Sequence[str], depth: int = 1) -> DataFrame:
     """Each probe with ``found``: up to ``depth`` next candidates of its group, nearest first."""
     probe_type = probes.schema["probe"].dataType
@@ -60,14 +78,15 @@ def nearest_within(
     """``nearest`` for probes that only accept candidates in ``[start, start + width]``.
 
     Groups are cut into time buckets of the window's width. A window reaches at most into the
-    next bucket, so each candidate is laid into its own and the bucket before it.
+    next bucket, so each candidate is laid into its own and the bucket before it, and only where there may be a probe.
     ``start`` is evaluated on probes, ``width`` (microseconds, a function of ``by``) on both.
     The caller still checks the window itself on what was found.
     """
     p = probes.withColumn("_bucket", F.floor(start / width))
     own = F.floor(F.col("t") / width)
     c = candidates.withColumn("_bucket", F.explode(F.array(own, own - 1)))
-    return nearest(p, c, [*by, "_bucket"], depth).drop("_bucket")
+    cut = [*by, "_bucket"]
+    return nearest(p, maybe_among(c, p, cut), cut, depth).drop("_bucket")
 
 
 def nearest_anywhere(
@@ -86,8 +105,7 @@ def nearest_anywhere(
         }
     )
     # Only groups that are probed at all matter; usually few or none.
-    wanted = probes.select(*by).distinct()
-    p, c = run(probes), run(candidates.join(wanted, list(by), "left_semi"))
+    p, c = run(probes), run(maybe_among(candidates, probes, by))
     cut = [*by, "_run", "_sub"]
     inside = nearest(p, c, cut, depth)
 

@@ -3,7 +3,7 @@
 All definitions are matched together. Events that fit no step of any definition are dropped
 first; what remains is materialised once and then read as anchors and as candidates. Step *n* of
 every definition is found in one as-of lookup (``following``), so a definition costs no
-plan of its own.
+plan of its own. Lookups carry ids and times only; the documents of matched events are fetched once at the end.
 
 Context is always tested against the anchor. Its four alternatives (parent link, same entity,
 same pid and name, shared marker) become equality keys:
@@ -264,7 +264,7 @@ def match_sequences(
     base = cut_lineage(_slim(events, definitions, key, order, scope))
     width = _per_definition("def", [d.window_seconds * _MICROS for d in definitions], "bigint")
 
-    event = F.struct("eid", "t", "o", "doc")
+    event = F.struct("t", "o", "eid")
     first = _per_definition("def", [d.required_steps[0] for d in definitions], "string")
     chains = base.where(F.array_contains("steps", first)).select(
         "def",
@@ -274,13 +274,35 @@ def match_sequences(
         F.col("o").alias("a_o"),
         "timed",
         _anchor_keys().alias("keys"),
-        F.array(F.struct(first.alias("step"), "eid", "t", "o", "doc")).alias("matched"),
+        F.array(F.struct(first.alias("step"), "eid", "t", "o")).alias("matched"),
     )
 
     total_steps = max(len(d.required_steps) + len(d.optional_steps) for d in definitions)
     for position in range(1, total_steps):
-        chains = _advance(chains, base, definitions, position, width, event)
-    return chains.drop("keys", "a_t", "a_o", "timed")
+        # Read several times by the next step, and small: one row per anchor that is left, without documents.
+        chains = cut_lineage(_advance(chains, base, definitions, position, width, event))
+    return _with_documents(chains, base, total_steps)
+
+
+def _with_documents(chains: DataFrame, base: DataFrame, total_steps: int) -> DataFrame:
+    """Adds the document of each matched event, read from the step events; only those that may be matched are shuffled."""
+    keys = ["def", "host", "eid", "t", "o"]
+    numbered = chains.select("def", "host", "anchor", F.monotonically_increasing_id().alias("_chain"), "matched")
+    wanted = numbered.select("def", "host", "anchor", "_chain", F.posexplode("matched").alias("_at", "m")).select(
+        "def", "host", "anchor", "_chain", "_at", "m.step", "m.eid", "m.t", "m.o"
+    )
+    docs = following.maybe_among(base, wanted, keys).select(*[F.col(k).alias(f"_{k}") for k in keys], "steps", "doc")
+    same = F.array_contains("steps", F.col("step"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    # Rows that repeat an id have one document each; the least stands for them.
+    at = lambda n: F.min(F.when(F.col("_at") == n, F.struct("step", "eid", "t", "o", "doc")))
+    return (
+        wanted.join(docs, same)
+        .groupBy("def", "host", "anchor", "_chain")
+        .agg(F.array_compact(F.array(*[at(n) for n in range(total_steps)])).alias("matched"))
+        .drop("_chain")
+    )
 
 
 def _advance(
@@ -304,11 +326,17 @@ def _advance(
     start = F.when(is_required, F.element_at("matched", -1)["t"]).otherwise(F.col("a_t"))
     start_o = F.when(is_required, F.element_at("matched", -1)["o"]).otherwise(F.col("a_o"))
     by = ["def", "host", "key"]
-    # A chain without any key still gets one probe, so that optional steps can miss.
+    # A chain without any key still gets one probe, so that optional steps can miss. Its first probe carries the chain, the others what
+    # they are compared with.
+    chain = F.struct("a_t", "a_o", "timed", "keys", "matched")
     probes = chains.select(
-        "def", "host", start.alias("t"), start_o.alias("o"),
-        F.explode(F.when(F.size("keys") > 0, F.col("keys")).otherwise(F.array(F.lit("-")))).alias("key"),
-        F.struct("anchor", "a_t", "a_o", "timed", "keys", "matched").alias("probe"),
+        "*", start.alias("t"), start_o.alias("o"),
+        F.posexplode(F.when(F.size("keys") > 0, F.col("keys")).otherwise(F.array(F.lit("-")))).alias("_at", "key"),
+    ).select(
+        "def", "host", "t", "o", "key",
+        F.struct(
+            "anchor", "a_t", "timed", F.transform("matched", lambda m: m["eid"]).alias("used"), F.when(F.col("_at") == 0, chain).alias("chain")
+        ).alias("probe"),
     )
     step_name = _per_definition("def", names, "string")
     candidates = base.where(F.array_contains("steps", step_name)).select(
@@ -323,27 +351,20 @@ def _advance(
         following.nearest_anywhere(probes.where("NOT probe.timed"), candidates.drop("cand_timed"), by, width, depth)
     )
 
-    used = F.transform(F.col("probe.matched"), lambda m: m["eid"])
     in_window = lambda c: ~F.col("probe.timed") | (c["t"] - F.col("probe.a_t") <= width)
-    usable = F.filter("found", lambda c: in_window(c) & ~F.array_contains(used, c["eid"]))
-    pick = F.get(usable, F.lit(0))
+    usable = F.filter("found", lambda c: in_window(c) & ~F.array_contains(F.col("probe.used"), c["eid"]))
     best = (
-        found.withColumn("_pick", pick)
-        .where(~is_required | F.col("_pick").isNotNull())
+        found.withColumn("_pick", F.get(usable, F.lit(0)))
+        .where(F.col("probe.chain").isNotNull() | F.col("_pick").isNotNull())
         .groupBy("def", "host", F.col("probe.anchor").alias("anchor"))
-        .agg(
-            F.min(F.when(F.col("_pick").isNotNull(), F.struct("_pick.t", "_pick.o", "_pick.eid", "_pick.doc"))).alias("pick"),
-            F.any_value("probe").alias("probe"),
-        )
-    )
-    added = F.struct(
-        step_name.alias("step"), F.col("pick.eid").alias("eid"), F.col("pick.t").alias("t"),
-        F.col("pick.o").alias("o"), F.col("pick.doc").alias("doc"),
+        .agg(F.min("_pick").alias("pick"), F.any_value("probe.chain", True).alias("chain"))
+        .where(~is_required | F.col("pick").isNotNull())
     )
+    added = F.struct(step_name.alias("step"), F.col("pick.eid").alias("eid"), F.col("pick.t").alias("t"), F.col("pick.o").alias("o"))
     return best.select(
-        "def", "host", "anchor", "probe.a_t", "probe.a_o", "probe.timed", "probe.keys",
-        F.when(F.col("pick").isNull(), F.col("probe.matched"))
-        .otherwise(F.concat("probe.matched", F.array(added)))
+        "def", "host", "anchor", "chain.a_t", "chain.a_o", "chain.timed", "chain.keys",
+        F.when(F.col("pick").isNull(), F.col("chain.matched"))
+        .otherwise(F.concat("chain.matched", F.array(added)))
         .alias("matched"),
     )
 

@@ -323,3 +323,47 @@ def test_upserts_of_very_many_days(spark, tmp_path, monkeypatch):
     put([("a", "2024-01-01", 2), ("b", "2024-01-02", 2), ("c", None, 2), ("f", "2024-01-03", 2)])
     got = {(r.id, r.d, r.v) for r in spark.read.parquet(path).collect()}
     assert got == {("a", "2024-01-01", 2), ("b", "2024-01-02", 2), ("c", None, 2), ("d", "2024-01-09", 1), ("e", "2024-01-01", 1), ("f", "2024-01-03", 2)}
+
+
+def test_a_replay_does_not_shuffle_documents(spark, tmp_path):
+    path, day = str(tmp_path / "daily"), F.lit("2024-01-01").cast("date")
+    docs = spark.range(100).select(F.col("id").cast("string").alias("name"), F.repeat(F.lit("x"), 50).alias("text"))
+    sinks.upsert_daily(docs, path, F.col("name"), day)
+    fresh = docs.select("*", F.col("name").alias("_doc_id"), day.alias("index_date"), F.struct(F.lit(1).alias("fresh"), F.lit(0).alias("rank")).alias("_new"))
+    for stored in (None, spark.read.parquet(path)):
+        merged = sinks.merged_days(fresh, stored)
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "Union" not in plan
+        assert merged.count() == 100
+
+
+@pytest.mark.parametrize("few", [100_000, 3, 0])
+def test_upserts_against_brute_force(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(sinks, "FEW_IDS", few)
+    path, day = str(tmp_path / "daily"), F.col("d").cast("date")
+    days = ("2024-01-01", "2024-01-02", None)
+    batches = [
+        [(f"n{n}", days[n % 3], n, None) for n in range(20)],
+        [(f"n{n}", days[0], 100 + n, "late") for n in (0, 1, 3, 6, 30)] + [("n0", days[0], 99, "lost"), ("n30", days[0], 500, "last")],
+        [("n2", None, 7, None)],
+        [(f"n{n}", days[n % 3], 200 + n, None) for n in range(20)],
+    ]
+    want = {}
+    for rows in batches:
+        put = {}
+        for r in rows:
+            put[r[:2]] = max(put.get(r[:2], r), r, key=lambda x: x[2])
+        want |= put
+        sinks.upsert_daily(spark.createDataFrame(rows, "id string, d string, v int, note string"), path, F.col("id"), day, F.col("v"))
+        got = spark.read.parquet(path)
+        assert got.columns == ["_doc_id", "id", "d", "v", "note", "index_date"]
+        assert sorted(map(str, want.values())) == sorted(str((r.id, r.d, r.v, r.note)) for r in got.collect())
+    assert [p.name for p in tmp_path.iterdir()] == ["daily"]
+
+
+def test_stored_copies_of_an_id_count_once(spark, tmp_path):
+    path, day = str(tmp_path / "daily"), F.lit("2024-01-01").cast("date")
+    stored = spark.createDataFrame([("a", "a", 1), ("a", "a", 1), ("b", "b", 2)], "_doc_id string, id string, v int").withColumn("index_date", day)
+    stored.write.partitionBy("index_date").parquet(path)
+    sinks.upsert_daily(spark.createDataFrame([("b", 3)], "id string, v int"), path, F.col("id"), day)
+    assert sorted((r.id, r.v) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 3)]

@@ -187,3 +187,31 @@ def test_host_ordinals_are_dense(spark):
     for host in {key(r) for r in rows}:
         mine = sorted((r for r in rows if key(r) == host), key=lambda r: (when(r), r.seq))
         assert [r.host_ord for r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_lookups_carry_no_documents(spark, monkeypatch):
+    seen = []
+    within = following.nearest_within
+
+    def watched(probes, candidates, *rest):
+        seen.append(probes.schema["probe"].dataType.simpleString() + candidates.schema["cand"].dataType.simpleString())
+        return within(probes, candidates, *rest)
+
+    monkeypatch.setattr(following, "nearest_within", watched)
+    match = Q.match_sequences(events_df(spark, trio())).first()
+    assert len(seen) == 2 and not any("doc" in s for s in seen)
+    assert [m.doc.stamp for m in match.matched] == [T.format(n) for n in range(3)]
+
+
+def test_events_that_come_twice_match_once(spark):
+    assert found(spark, trio() + trio()) == [(0, (1, 2, 3))]
+
+
+@pytest.mark.parametrize("bits", [following.PROBED_BITS, 8])
+def test_the_map_of_probed_keys_loses_no_row(spark, bits):
+    rows = spark.sql("SELECT CASE WHEN id % 7 > 0 THEN cast(id % 400 AS string) END AS a, cast(id % 3 AS int) AS b, id FROM range(3000)")
+    wanted = rows.where("a IS NULL OR a < '2'").select("a", F.col("b").cast("bigint").alias("b")).where("b = 1")
+    kept = {r.id for r in following.maybe_among(rows, wanted, ["a", "b"], bits).collect()}
+    exact = {r.id for r in rows.where("(a IS NULL OR a < '2') AND b = 1").collect()}
+    assert exact == kept if bits > 8 else exact < kept
+    assert following.maybe_among(rows, wanted.limit(0), ["a", "b"], bits).count() == 0
